@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quantspark.llm.common import table
 from quantspark.llm.mixing import mix_sources
+from quantspark.llm.secrets import secret_digest, secret_spans
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,5 +50,9 @@ copied AS (
 SELECT doc_id, size, source_size, target, size * copies AS taken, source, copies FROM copied
 """
 
-QUERIES = {"op8_mixing": op8_mixing}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(secret_spans(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op10_secrets": op10_secrets, "op8_mixing": op8_mixing}
 ORACLE = {"op8_mixing": OP8_SQL}
