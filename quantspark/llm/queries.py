@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quantspark.llm.common import table
+from quantspark.llm.decontaminate import contained_items
 from quantspark.llm.mixing import mix_sources
 from quantspark.llm.secrets import secret_digest, secret_spans
 
@@ -50,9 +51,35 @@ copied AS (
 SELECT doc_id, size, source_size, target, size * copies AS taken, source, copies FROM copied
 """
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+i AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM benchmark),
+ik AS (SELECT item_id, w, least(5, len(w)) AS k FROM i WHERE len(w) > 0),
+si AS (
+  SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' '))) AS sh
+  FROM ik),
+n AS (SELECT item_id, count(*) AS q FROM si GROUP BY item_id),
+sd AS (
+  SELECT DISTINCT doc_id, k, sh FROM (
+    SELECT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' '))) AS sh
+    FROM d, (SELECT DISTINCT k FROM ik) WHERE len(w) >= k)),
+c AS (SELECT doc_id, item_id, count(*) AS n_shared FROM sd JOIN si USING (k, sh) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shared, q AS n_item, CAST(n_shared AS DOUBLE) / q AS containment
+FROM c JOIN n USING (item_id) WHERE n_shared >= q * 0.8 - 1e-9
+"""
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(secret_spans(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op10_secrets": op10_secrets, "op8_mixing": op8_mixing}
-ORACLE = {"op8_mixing": OP8_SQL}
+QUERIES = {"op3_decontamination": op3_decontamination, "op10_secrets": op10_secrets, "op8_mixing": op8_mixing}
+ORACLE = {"op3_decontamination": OP3_SQL, "op8_mixing": OP8_SQL}
