@@ -156,11 +156,11 @@ def shingles(hashes: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, n
     if len(short):
         extra = []
         for d in short:
-            h = np.uint64(count[d])
-            for x in hashes[first[d] : first[d] + count[d]]:
-                h = mix(np.array([h * _ODD + x], dtype=np.uint64))[0]
+            h = np.array([count[d]], dtype=np.uint64)
+            for i in range(first[d], first[d] + count[d]):
+                h = mix(h * _ODD + hashes[i : i + 1])
             extra.append(h)
-        out, where = np.concatenate((out, np.array(extra, dtype=np.uint64))), np.concatenate((where, short))
+        out, where = np.concatenate((out, *extra)), np.concatenate((where, short))
     return out, where
 
 

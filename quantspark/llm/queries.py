@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quantspark.llm.common import table
 from quantspark.llm.decontaminate import contained_items
 from quantspark.llm.mixing import mix_sources
+from quantspark.llm.neardup import NearDupConfig, near_duplicates
 from quantspark.llm.secrets import secret_digest, secret_spans
 
 
@@ -77,9 +78,13 @@ FROM c JOIN n USING (item_id) WHERE n_shared >= q * 0.8 - 1e-9
 """
 
 
+def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), NearDupConfig(words=2))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(secret_spans(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op3_decontamination": op3_decontamination, "op10_secrets": op10_secrets, "op8_mixing": op8_mixing}
+QUERIES = {"op4_near_dup": op4_near_dup, "op3_decontamination": op3_decontamination, "op10_secrets": op10_secrets, "op8_mixing": op8_mixing}
 ORACLE = {"op3_decontamination": OP3_SQL, "op8_mixing": OP8_SQL}
