@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quantspark.llm.common import table
 from quantspark.llm.decontaminate import contained_items
 from quantspark.llm.mixing import mix_sources
 from quantspark.llm.neardup import NearDupConfig, near_duplicates
+from quantspark.llm.quality import remainder, score_quality, train_quality
 from quantspark.llm.secrets import secret_digest, secret_spans
 
 
@@ -52,6 +54,13 @@ copied AS (
 SELECT doc_id, size, source_size, target, size * copies AS taken, source, copies FROM copied
 """
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_quality(docs.select("doc_id", "text"), train_quality(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -86,5 +95,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(secret_spans(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op4_near_dup": op4_near_dup, "op3_decontamination": op3_decontamination, "op10_secrets": op10_secrets, "op8_mixing": op8_mixing}
+QUERIES = {"op2_quality": op2_quality, "op4_near_dup": op4_near_dup, "op3_decontamination": op3_decontamination, "op10_secrets": op10_secrets, "op8_mixing": op8_mixing}
 ORACLE = {"op3_decontamination": OP3_SQL, "op8_mixing": OP8_SQL}
