@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quantspark.llm.common import table
 from quantspark.llm.decontaminate import contained_items
 from quantspark.llm.language import predict_language, train_language
+from quantspark.llm.licenses import scan_licenses
 from quantspark.llm.mixing import mix_sources
 from quantspark.llm.neardup import NearDupConfig, near_duplicates
 from quantspark.llm.quality import remainder, score_quality, train_quality
@@ -92,6 +93,10 @@ def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), NearDupConfig(words=2))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out")
@@ -102,5 +107,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(secret_spans(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op6_language": op6_language, "op2_quality": op2_quality, "op4_near_dup": op4_near_dup, "op3_decontamination": op3_decontamination, "op10_secrets": op10_secrets, "op8_mixing": op8_mixing}
+QUERIES = {"op5_licenses": op5_licenses, "op6_language": op6_language, "op2_quality": op2_quality, "op4_near_dup": op4_near_dup, "op3_decontamination": op3_decontamination, "op10_secrets": op10_secrets, "op8_mixing": op8_mixing}
 ORACLE = {"op3_decontamination": OP3_SQL, "op8_mixing": OP8_SQL}
