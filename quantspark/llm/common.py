@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,17 +25,46 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; only where the session names none (tests), a folder of our own."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt-"))
+_MADE: list[tuple[SparkSession, str]] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the cluster's, or where the session names none (tests) our own."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="ckpt-")
+        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows go to the shared folder and survive lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows as a table written once to the shared folder, so they survive lost executors and aren't made again.
+
+    The table is deleted when the Python process ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/quantspark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _MADE:
+        atexit.register(clear)
+    _MADE.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear() -> None:
+    """Delete every table that cut() wrote; their DataFrames can't be read afterwards."""
+    while _MADE:
+        spark, path = _MADE.pop()
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001  the session may have ended before
+            continue
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -175,22 +206,24 @@ def bytes_of(column) -> list[bytes]:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for the end points of ``edges(a, b)``: the smallest id reachable.
 
-    Minimum over neighbours plus pointer jumping; every round is two shuffles of the still small label table and
-    ends in a reliable checkpoint. No link, label or component leaves the executors. Ids must not be null.
+    Contraction: every vertex takes the least of itself and its neighbours, edges are rewritten to what their ends
+    took, loops and repeats drop out, until no edge is left. The number of vertices with edges at least halves each
+    round; every round ends in written tables, and nothing leaves the executors. Ids must not be null.
     """
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    left = cut(edges.select("a", "b").where("a <> b").distinct())
+    labels = None
     while True:
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("near"))
-        hooked = (
-            labels.join(near, labels.id == near.a)
-            .select("id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        )
-        root = hooked.select(F.col("id").alias("root"), F.col("component").alias("up"))
-        after = cut(
-            hooked.join(root, hooked.component == root.root)
-            .select("id", "was", F.least("component", "up").alias("component"))
-        )
-        if after.where("was <> component").isEmpty():
-            return after.select("id", "component")
-        labels = after.select("id", "component")
+        both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("to")))
+        if labels is None:
+            labels = least.select("id", F.col("to").alias("component"))
+        else:
+            step = least.select(F.col("id").alias("component"), "to")
+            labels = labels.join(step, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+        labels = cut(labels)
+        first = least.select(F.col("id").alias("a"), F.col("to").alias("ta"))
+        second = least.select(F.col("id").alias("b"), F.col("to").alias("tb"))
+        left = left.join(first, "a").join(second, "b").where("ta <> tb")
+        left = cut(left.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
+        if left.isEmpty():
+            return labels

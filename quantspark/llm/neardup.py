@@ -33,7 +33,7 @@ class NearDupConfig:
     bands: int = 42
     rows: int = 6
     #: Star rounds before the pairs between still separate parts of a bucket are compared one by one.
-    stars: int = 3
+    stars: int = 2
     seed: int = 11
 
     @property
@@ -142,7 +142,7 @@ def _verified(cfg: NearDupConfig):
                 both = len(x) + len(y) - len(np.union1d(x, y))
                 good[i] = 100 * both >= cfg.percent * (len(x) + len(y) - both)
             keep = np.flatnonzero(good)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(4).take(pa.array(keep)), batch.column(5).take(pa.array(keep))], names=["a", "b"])
 
     return run
 
@@ -187,10 +187,9 @@ def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> Da
     texts = cut(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
 
     labels = nodes.withColumn("component", F.col("node"))
-    edges = None
     tested = None
     for step in range(cfg.stars + 1):
-        placed = members.join(labels, "node")
+        placed = members.join(labels, "node") if step else members.withColumn("component", F.col("node"))
         if step < cfg.stars:
             # Hubs differ by round: the smallest, the largest, then the smallest by another hash.
             pick = (F.min, F.max)[step] if step < 2 else F.min
@@ -199,27 +198,31 @@ def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> Da
                 pick(F.struct(key.alias("key"), "node", "component", "n")).alias("h"),
                 F.min("component").alias("lo"), F.max("component").alias("hi"),
             ).where("lo <> hi").select("bucket", F.col("h.node").alias("a"), F.col("h.component").alias("ca"), F.col("h.n").alias("na"))
-            pairs = placed.join(hubs, "bucket").select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb"), "ca", F.col("component").alias("cb"))
+            met = placed.join(hubs, "bucket")
         else:
             apart = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-            left = placed.join(apart, "bucket")
-            right = left.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-            pairs = left.join(right, "bucket").where("a < node").select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb"), "ca", F.col("component").alias("cb"))
-        pairs = pairs.where(f"ca <> cb and 100 * least(na, nb) >= {cfg.percent} * greatest(na, nb)").select("a", "b").distinct()
+            placed = placed.join(apart, "bucket")
+            other = placed.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+            met = placed.join(other, "bucket").where("a < node")
+        pairs = (
+            met.select("a", F.col("node").alias("b"), "ca", F.col("component").alias("cb"), "na", F.col("n").alias("nb"))
+            .where(f"ca <> cb and 100 * least(na, nb) >= {cfg.percent} * greatest(na, nb)")
+            .select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "b", "ca", "cb").dropDuplicates(["x", "y"])
+        )
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = pairs.join(tested, ["x", "y"], "left_anti")
         pairs = cut(pairs)
         if pairs.isEmpty():
             continue
-        seen = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        tested = seen if tested is None else tested.union(seen)
+        done = pairs.select("x", "y")
+        tested = done if tested is None else tested.union(done)
         ta = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         tb = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        met = pairs.join(tb, "b").join(ta, "a").select("a", "b", "text_a", "text_b")
-        new = cut(met.mapInArrow(_verified(cfg), "a long, b long"))
-        edges = new if edges is None else edges.union(new)
-        found = connected_components(edges)
-        labels = nodes.join(found, nodes.node == found.id, "left").select("node", F.coalesce("component", "node").alias("component"))
+        seen = pairs.join(tb, "b").join(ta, "a").select("a", "b", "text_a", "text_b", "ca", "cb")
+        # Links join the components of the rounds before, so each round contracts only what is new.
+        links = connected_components(seen.mapInArrow(_verified(cfg), "a long, b long"))
+        joined_ = links.select(F.col("id").alias("component"), F.col("component").alias("to"))
+        labels = cut(labels.join(joined_, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
     named = classes.select("cls", "node", "least").join(labels, "node", "left")
     smallest = named.where("component is not null").groupBy("component").agg(F.min("least").alias("first"))
     final = named.join(smallest, "component", "left").select("cls", F.coalesce("first", "least").alias("first"))

@@ -11,6 +11,7 @@ from quantspark.llm.language import predict_language, train_language
 from quantspark.llm.licenses import scan_licenses
 from quantspark.llm.mixing import mix_sources
 from quantspark.llm.neardup import NearDupConfig, near_duplicates
+from quantspark.llm.pages import extract_pages
 from quantspark.llm.quality import remainder, score_quality, train_quality
 from quantspark.llm.secrets import secret_digest, secret_spans
 
@@ -103,9 +104,13 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(docs, train_language(docs)).select("doc_id", held_out, "lang_pred", "score")
 
 
+def op7_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(secret_spans(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op5_licenses": op5_licenses, "op6_language": op6_language, "op2_quality": op2_quality, "op4_near_dup": op4_near_dup, "op3_decontamination": op3_decontamination, "op10_secrets": op10_secrets, "op8_mixing": op8_mixing}
+QUERIES = {"op7_pages": op7_pages, "op5_licenses": op5_licenses, "op6_language": op6_language, "op2_quality": op2_quality, "op4_near_dup": op4_near_dup, "op3_decontamination": op3_decontamination, "op10_secrets": op10_secrets, "op8_mixing": op8_mixing}
 ORACLE = {"op3_decontamination": OP3_SQL, "op8_mixing": OP8_SQL}
