@@ -9,6 +9,7 @@ from quantspark.llm.common import table
 from quantspark.llm.decontaminate import contained_items
 from quantspark.llm.language import predict_language, train_language
 from quantspark.llm.licenses import scan_licenses
+from quantspark.llm.lm import score_lm, train_lm
 from quantspark.llm.mixing import mix_sources
 from quantspark.llm.neardup import NearDupConfig, near_duplicates
 from quantspark.llm.pages import extract_pages
@@ -108,9 +109,14 @@ def op7_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_lm(docs, train_lm(docs))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(secret_spans(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op7_pages": op7_pages, "op5_licenses": op5_licenses, "op6_language": op6_language, "op2_quality": op2_quality, "op4_near_dup": op4_near_dup, "op3_decontamination": op3_decontamination, "op10_secrets": op10_secrets, "op8_mixing": op8_mixing}
+QUERIES = {"op9_lm": op9_lm, "op7_pages": op7_pages, "op5_licenses": op5_licenses, "op6_language": op6_language, "op2_quality": op2_quality, "op4_near_dup": op4_near_dup, "op3_decontamination": op3_decontamination, "op10_secrets": op10_secrets, "op8_mixing": op8_mixing}
 ORACLE = {"op3_decontamination": OP3_SQL, "op8_mixing": OP8_SQL}
