@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quantspark.llm.common import table
 from quantspark.llm.decontaminate import contained_items
+from quantspark.llm.embeddings import embedding_duplicates
 from quantspark.llm.language import predict_language, train_language
 from quantspark.llm.licenses import scan_licenses
 from quantspark.llm.lm import score_lm, train_lm
@@ -58,6 +59,10 @@ copied AS (
 SELECT doc_id, size, source_size, target, size * copies AS taken, source, copies FROM copied
 """
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_quality(docs.select("doc_id", "text"), train_quality(docs, table(spark, sf_dir, "labels")))
@@ -118,5 +123,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(secret_spans(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op9_lm": op9_lm, "op7_pages": op7_pages, "op5_licenses": op5_licenses, "op6_language": op6_language, "op2_quality": op2_quality, "op4_near_dup": op4_near_dup, "op3_decontamination": op3_decontamination, "op10_secrets": op10_secrets, "op8_mixing": op8_mixing}
+QUERIES = {"op1_embeddings": op1_embeddings, "op9_lm": op9_lm, "op7_pages": op7_pages, "op5_licenses": op5_licenses, "op6_language": op6_language, "op2_quality": op2_quality, "op4_near_dup": op4_near_dup, "op3_decontamination": op3_decontamination, "op10_secrets": op10_secrets, "op8_mixing": op8_mixing}
 ORACLE = {"op3_decontamination": OP3_SQL, "op8_mixing": OP8_SQL}
