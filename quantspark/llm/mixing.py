@@ -64,18 +64,12 @@ def unit_draw(key) -> F.Column:
     return (F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
-def mix_sources(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
-    """How many words of every document the mix takes: doc_id, source, size, source_size, target, copies, taken.
+def _draw(doc_id) -> F.Column:
+    return unit_draw(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
 
-    Every document first gets the certain copies, floor(target / source size). The rest of the target is drawn as one
-    more copy by Pareto order sampling: documents are ranked by the odds of a fixed random number over the odds of
-    their inclusion (target left / source size: unequal between sources), and taken in that order while the middle of
-    the document still lies within what is left. The sample thus has a fixed size in words, to half a document.
 
-    Null text counts 0 words and takes none; null sources form one source, last in order; a null doc_id draws as the
-    empty string; repeated rows draw alike and are ranked next to each other; an empty table gives no rows. Other
-    columns of ``docs`` are not read.
-    """
+def _planned(docs: DataFrame, cfg: MixConfig) -> DataFrame:
+    """mix_sources() with the certain copies (_whole) and the draw (_u)."""
     # Three consumers follow; the sizes are kept, so that the texts are read once.
     base = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     targets = source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), cfg)
@@ -85,7 +79,7 @@ def mix_sources(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
         .withColumn("_left", F.col("target") - F.col("_whole") * F.col("source_size"))
         .withColumn("_pi", F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.col("_ratio") - F.col("_whole"))))
     )
-    drawn = base.withColumn("_u", unit_draw(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn(
+    drawn = base.withColumn("_u", _draw("doc_id")).withColumn(
         "_slice", F.floor(F.col("_u") * cfg.slices)
     )
     # The order of the ranks is that of the draws within a source, so slices of draws are slices of ranks.
@@ -107,6 +101,43 @@ def mix_sources(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
         .withColumn("copies", F.least(F.col("_whole") + F.col("_more"), F.lit(cfg.max_repeats)).cast("int"))
         .select(
             "doc_id", "source", "size", "source_size", "target", "copies",
-            (F.col("size") * F.col("copies")).alias("taken"),
+            (F.col("size") * F.col("copies")).alias("taken"), "_whole", "_u",
         )
     )
+
+
+def mix_sources(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
+    """How many words of every document the mix takes: doc_id, source, size, source_size, target, copies, taken.
+
+    Every document first gets the certain copies, floor(target / source size). The rest of the target is drawn as one
+    more copy by Pareto order sampling: documents are ranked by the odds of a fixed random number over the odds of
+    their inclusion (target left / source size: unequal between sources), and taken in that order while the middle of
+    the document still lies within what is left. The sample thus has a fixed size in words, to half a document.
+
+    Null text counts 0 words and takes none; null sources form one source, last in order; a null doc_id draws as the
+    empty string; repeated rows draw alike and are ranked next to each other; an empty table gives no rows. Other
+    columns of ``docs`` are not read.
+    """
+    return _planned(docs, cfg).drop("_whole", "_u")
+
+
+def mix_rows(docs: DataFrame, cfg: MixConfig = MixConfig(), broadcast_sources: int = 20_000) -> DataFrame:
+    """``docs`` with copies (int), as mix_sources() takes them.
+
+    What a source's order statistic takes is a prefix of the order, so one row a source (its certain copies and the
+    last document of the prefix) decides for whole rows without moving them. Rows that tie with the last one count
+    as taken. The table of sources is broadcast only up to ``broadcast_sources`` rows.
+    """
+    planned = _planned(docs, cfg)
+    edges = cut(planned.groupBy("source").agg(
+        F.first("_whole").alias("_whole"),
+        F.max(F.when(F.col("copies") > F.col("_whole"), F.struct("_u", "doc_id", "size"))).alias("_edge"),
+    ).withColumnRenamed("source", "_source"))
+    few = F.broadcast(edges) if edges.count() <= broadcast_sources else edges
+    own = F.struct(_draw("doc_id").alias("_u"), F.col("doc_id"), word_count(F.col("text")).alias("size"))
+    taken = F.coalesce((own <= F.col("_edge")).cast("int"), F.lit(0))
+    return (
+        docs.join(few, F.col("source").eqNullSafe(F.col("_source")))
+        .withColumn("copies", F.least(F.col("_whole") + taken, F.lit(cfg.max_repeats)).cast("int"))
+        .drop("_source", "_whole", "_edge")
+    )

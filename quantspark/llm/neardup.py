@@ -147,29 +147,16 @@ def _verified(cfg: NearDupConfig):
     return run
 
 
-def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``.
+def _row_key(docs: DataFrame) -> F.Column:
+    return F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.coalesce(docs["text"], F.lit("")))
 
-    Documents are linked when the Jaccard similarity of their sets of distinct k-word shingles reaches the threshold
-    (words: white-space separated, A-Z folded; fewer words than k: the whole sequence as one shingle). component_id is
-    the smallest doc_id reachable by links.
 
-    1. One pass of Arrow batches gives size, class (equal sets, equal class) and band hashes of every document.
-    2. Equal sets collapse to one class each, so copies cost nothing further.
-    3. Classes meet in band buckets. Instead of all pairs of a bucket, every member is compared with one hub of its
-       bucket; later rounds take other hubs for what is still apart, and a last round compares every pair of a bucket
-       that lies in different components and wasn't compared. No pair that shares a band is thus lost to the stars,
-       and a group of n near copies takes about n comparisons a band.
-    4. A comparison is exact, on the full sets. Only texts in a comparison are moved, once.
-
-    Null and wordless texts have an empty set, n_shingles 0, and are linked with nothing; repeated rows are equal
-    sets; a null doc_id counts in no minimum (a document linked with nothing keeps it); an empty table gives no rows;
-    other columns are not read.
-    """
+def _grouped(docs: DataFrame, cfg: NearDupConfig) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, rk, n, cls) of every row, and (cls, first, keep): smallest doc_id of the class's component and the key
+    of the row that has it."""
     spark = docs.sparkSession
     small_batches(spark)
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = base.withColumn("rk", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"))
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _row_key(docs).alias("rk"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     signed = cut(base.select("doc_id", "text", "rk").mapInArrow(
         _signed(cfg), f"doc_id {id_type}, rk long, n long, cls long, bands array<long>"
@@ -224,11 +211,45 @@ def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> Da
         joined_ = links.select(F.col("id").alias("component"), F.col("component").alias("to"))
         labels = cut(labels.join(joined_, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
     named = classes.select("cls", "node", "least").join(labels, "node", "left")
-    smallest = named.where("component is not null").groupBy("component").agg(F.min("least").alias("first"))
-    final = named.join(smallest, "component", "left").select("cls", F.coalesce("first", "least").alias("first"))
-    rows = signed.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls"))
+    named = named.withColumn("component", F.coalesce("component", "node"))
+    order = F.struct(F.col("least").isNull(), "least", "node")
+    smallest = named.groupBy("component").agg(F.min(order).alias("m"))
+    final = named.join(smallest, "component").select("cls", F.col("m.least").alias("first"), F.col("m.node").alias("keep"))
+    rows = signed.select("doc_id", "rk", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls"))
+    return rows, final
+
+
+def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``.
+
+    Documents are linked when the Jaccard similarity of their sets of distinct k-word shingles reaches the threshold
+    (words: white-space separated, A-Z folded; fewer words than k: the whole sequence as one shingle). component_id is
+    the smallest doc_id reachable by links.
+
+    1. One pass of Arrow batches gives size, class (equal sets, equal class) and band hashes of every document.
+    2. Equal sets collapse to one class each, so copies cost nothing further.
+    3. Classes meet in band buckets. Instead of all pairs of a bucket, every member is compared with one hub of its
+       bucket; later rounds take other hubs for what is still apart, and a last round compares every pair of a bucket
+       that lies in different components and wasn't compared. No pair that shares a band is thus lost to the stars,
+       and a group of n near copies takes about n comparisons a band.
+    4. A comparison is exact, on the full sets. Only texts in a comparison are moved, once.
+
+    Null and wordless texts have an empty set, n_shingles 0, and are linked with nothing; repeated rows are equal
+    sets; a null doc_id counts in no minimum (a document linked with nothing keeps it); an empty table gives no rows;
+    other columns are not read.
+    """
+    rows, final = _grouped(docs, cfg)
     return rows.join(final, "cls", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.coalesce("first", "doc_id").alias("component_id"),
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"),
         F.coalesce(F.coalesce("first", "doc_id") == F.col("doc_id"), F.col("first").isNull()).alias("kept"),
     )
+
+
+def keep_one_of_each(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> DataFrame:
+    """``docs`` without near copies: of each group of near_duplicates() the row with the smallest doc_id stays.
+
+    Rows without words are linked with nothing and stay. Repeated rows (equal doc_id and text) stay once.
+    """
+    rows, final = _grouped(docs, cfg)
+    stay = rows.where("n = 0").select(F.col("rk").alias("_rk")).union(final.select("keep")).distinct()
+    return docs.withColumn("_rk", _row_key(docs)).join(stay, "_rk", "left_semi").dropDuplicates(["_rk"]).drop("_rk")
