@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def t_statistic(x):
@@ -58,7 +59,7 @@ def two_sided_p(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return incomplete_beta(df / 2, np.full_like(df, 0.5), df / (df + t * t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p-value; null where t or the degrees of freedom are."""
     ok = t.notna() & df.notna() & (df > 0)

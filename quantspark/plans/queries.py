@@ -665,3 +665,75 @@ def weekday_calendar(spark, d):
 @query
 def load_fills(spark, d):
     return rounded(ad.fills(spark, d))
+
+
+# --- simulators, learning, streaming: rows only ---
+
+
+@query
+def event_backtest(spark, d):
+    """Long entries after a high close in the day's range; one account a brand."""
+    from quantspark.operators import simulate as sm
+
+    bars = featured(spark, d).select(
+        F.col("symbol").alias("account"), "symbol", F.col("date").cast("timestamp").alias("ts"), "open", "high", "low", "close",
+        (F.col("range_position_20") > 0.8).cast("int").alias("signal"),
+    )
+    cfg = sm.AccountConfig(equity=100_000.0, max_holding=5, risk=rk.RiskConfig(stop=0.03, target=0.03, daily_loss=0.5, drawdown=0.9))
+    return rounded(sm.event_backtest(bars, cfg), 4)
+
+
+@query
+def portfolio_backtest(spark, d):
+    from quantspark.operators import simulate as sm
+
+    panel, plan = daily(spark, d), cs.long_short_targets(scored(spark, d), ends(spark, d), MOM)
+    filled = cal_.next_session(plan, cal_.calendar(panel)).drop("date").withColumnRenamed("fill_date", "date")
+    by_side = filled.where("side = 'long'").withColumn("account", F.lit("long_only")).unionByName(filled.withColumn("account", F.lit("long_short")))
+    prices = panel.select(F.explode(F.array(F.lit("long_only"), F.lit("long_short"))).alias("account"), "date", "symbol", "open", "close")
+    return rounded(sm.portfolio_backtest(prices, by_side), 4)
+
+
+@query
+def gbt_walk_forward(spark, d):
+    """Accuracy and signal count of each fold's out-of-sample rows, with a small ensemble."""
+    from quantspark.operators import ml
+
+    panel = daily(spark, d).withColumn("session_date", F.trunc("date", "month"))
+    data = lb.dataset(ft.add_features(lb.triple_barrier(panel, BARRIER, "date"), time="date"), FEATURES[:2] + FEATURES[9:]).drop("session_date").cache()
+    folds = lb.walk_forward_folds(cal_.calendar(panel), 2, 4)
+    out = ml.walk_forward(data, folds, FEATURES[:2] + FEATURES[9:], ml.ModelConfig(iterations=3, depth=3))
+    return rounded(out.groupBy("fold_id").agg(F.count("*").alias("n"), F.avg((F.col("predicted") == F.col("target")).cast("double")).alias("accuracy"), F.sum("predicted").alias("n_signals")))
+
+
+@query
+def t_pvalue(spark, d):
+    return rounded(mt.paired_t(*two_curves(spark, d), p_value=True))
+
+
+@query
+def stream_features(spark, d):
+    """The hourly bars as a stream of daily files through keyed state."""
+    import uuid
+
+    from quantspark.session import shared_folder
+    from quantspark.streaming import live
+
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    bars = sessions(spark, d).select("symbol", F.col("ts").cast("timestamp").alias("ts"), "open", "high", "low", "close", "volume")
+    bars.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(f"{at}/in")
+    stream = live.stream_features(live.clean_stream(live.read_bars(spark, f"{at}/in", 100), "30 days"))
+    run = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return rounded(spark.read.schema(live.OUT).parquet(f"{at}/out"))
+
+
+@query
+def stream_exits(spark, d):
+    """Exits that one batch of bars gives for positions entered at the first close of each symbol."""
+    from quantspark.streaming import live
+
+    bars = sessions(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    entry = bars.groupBy("symbol").agg(F.min_by("close", "ts").alias("px"))
+    positions = entry.select("symbol", (F.col("px") * 0.5).alias("stop"), (F.col("px") * 4).alias("target"), F.lit(dt.datetime(2024, 2, 1)).alias("deadline"))
+    return rounded(live.exits(positions, bars, dt.datetime(2024, 2, 2)))

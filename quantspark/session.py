@@ -1,5 +1,7 @@
 """Session defaults."""
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -14,3 +16,12 @@ def session(app: str = "quantspark", **conf: str) -> SparkSession:
     for k, v in conf.items():
         builder = builder.config(k.replace("__", "."), v)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors see: the cluster's checkpoint folder, or where none is set (tests) our own."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder.rstrip("/")
