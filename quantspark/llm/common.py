@@ -203,6 +203,25 @@ def bytes_of(column) -> list[bytes]:
 # --- connected components -----------------------------------------------------------------------
 
 
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Links that span the components of ``n`` vertices: at most n - 1 of them."""
+    up = list(range(n))
+    out = []
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        rx, ry = root(x), root(y)
+        if rx != ry:
+            up[max(rx, ry)] = min(rx, ry)
+            out.append((x, y))
+    return out
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for the end points of ``edges(a, b)``: the smallest id reachable.
 

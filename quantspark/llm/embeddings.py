@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantspark.llm.common import connected_components, cut
+from quantspark.llm.common import connected_components, cut, forest
 
 
 @dataclass(frozen=True)
@@ -103,25 +103,6 @@ def tile_links(home: np.ndarray, other: np.ndarray, cfg: EmbeddingConfig, first:
     return np.concatenate([none, *found_i]), np.concatenate([none, *found_j])
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Links that span the components of ``n`` vertices: at most n - 1 of them."""
-    up = list(range(n))
-    out = []
-
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        rx, ry = root(x), root(y)
-        if rx != ry:
-            up[max(rx, ry)] = min(rx, ry)
-            out.append((x, y))
-    return out
-
-
 def embedding_links(vectors: DataFrame, cfg: EmbeddingConfig = EmbeddingConfig()) -> tuple[DataFrame, DataFrame]:
     """Distinct vectors with their links: (nodes, links).
 

@@ -1,11 +1,10 @@
 """MinHash near-dedup: SuperMinHash signatures, banding, exact verification, components."""
 
-from __future__ import annotations
-
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +15,7 @@ from quantspark.llm.common import (
     bytes_of,
     connected_components,
     cut,
+    forest,
     groups_of_texts,
     joined,
     mix,
@@ -29,11 +29,15 @@ class NearDupConfig:
     #: Words in a shingle; least Jaccard similarity in percent.
     words: int = 5
     percent: int = 80
-    #: Bands of rows of the signature. At 80 % a pair shares no band with probability (1 - 0.8^6)^42 < 3e-6.
-    bands: int = 42
-    rows: int = 6
+    #: Bands of rows of the signature. At 80 % a pair shares no band with probability (1 - 0.8^8)^56 < 4e-5, and
+    #: unlike texts that share common shingles seldom do.
+    bands: int = 56
+    rows: int = 8
     #: Star rounds before the pairs between still separate parts of a bucket are compared one by one.
-    stars: int = 2
+    stars: int = 2  # at least 2
+    #: Buckets of up to so many members are compared pair by pair, larger ones in tiles of so many rows a side.
+    few: int = 32
+    tile: int = 512
     seed: int = 11
 
     @property
@@ -147,6 +151,70 @@ def _verified(cfg: NearDupConfig):
     return run
 
 
+def _sets(cfg: NearDupConfig):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher(SPACE_WORDS)
+        for batch in batches:
+            texts, out = bytes_of(batch.column(1)), []
+            for a, b in groups_of_texts(texts):
+                s, where = shingle_sets(texts[a:b], cfg.words, hasher)
+                out += [x.tobytes() for x in np.split(s, np.searchsorted(where, np.arange(1, b - a)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "elements"])
+
+    return run
+
+
+def tile_links(sets: list[np.ndarray], ask: np.ndarray, percent: int, columns: int = 8192) -> list[tuple[int, int]]:
+    """Spanning links between the asking sets and the others whose exact similarity reaches the threshold.
+
+    Intersections are counted for all of a tile at once, as products of incidence matrices over the elements that
+    several sets hold, some thousand elements at a time.
+    """
+    element, back = np.unique(np.concatenate(sets), return_inverse=True)
+    size = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), size)
+    common = np.bincount(back, minlength=len(element)) > 1
+    place = np.cumsum(common) - 1
+    keep = common[back]
+    row, col = row[keep], place[back[keep]]
+    q, o = np.flatnonzero(ask), np.flatnonzero(~ask)
+    both = np.zeros((len(q), len(o)))
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    for at in range(0, int(common.sum()), columns):
+        lo, hi = np.searchsorted(col, (at, at + columns))
+        m = np.zeros((len(sets), columns), dtype=np.float32)
+        m[row[lo:hi], col[lo:hi] - at] = 1
+        both += m[q] @ m[o].T
+    union = size[q][:, None] + size[o][None, :] - both
+    i, j = np.nonzero(100 * both >= percent * union)
+    return forest(len(sets), q[i], o[j])
+
+
+def _links_in_tiles(left: DataFrame, texts: DataFrame, cfg: NearDupConfig) -> DataFrame:
+    """(a, b) links between components, from large buckets: members outside the main one against all, in tiles.
+
+    No pair leaves a tile, only links that span what it connects. left: bucket, node, component, main.
+    """
+    sets = cut(texts.join(left.select("node").distinct(), "node", "left_semi").mapInArrow(_sets(cfg), "node long, elements binary"))
+    counts = left.groupBy("bucket").agg(
+        F.ceil(F.count_if(F.expr("component <> main")) / cfg.tile).cast("int").alias("rows"), F.ceil(F.count("*") / cfg.tile).cast("int").alias("cols")
+    ).where("rows > 0")
+    sides = left.join(counts, "bucket")
+    row, col = F.pmod(F.xxhash64("node"), F.col("rows")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("cols")).cast("int")
+    tiles = (
+        sides.where("component <> main").select("bucket", "node", "component", row.alias("r"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c"), F.lit(True).alias("ask"))
+        .unionByName(sides.select("bucket", "node", "component", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"), col.alias("c"), F.lit(False).alias("ask")))
+    )
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        part, ask = pdf["component"].to_numpy(), pdf["ask"].to_numpy()
+        span = tile_links([np.frombuffer(x, dtype=np.uint64) for x in pdf["elements"]], ask, cfg.percent) if ask.any() and not ask.all() else []
+        return pd.DataFrame({"a": [int(part[x]) for x, _ in span], "b": [int(part[y]) for _, y in span]}, dtype="int64")
+
+    return tiles.join(sets, "node").groupBy("bucket", "r", "c").applyInPandas(run, "a long, b long").where("a <> b")
+
+
 def _row_key(docs: DataFrame) -> F.Column:
     return F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.coalesce(docs["text"], F.lit("")))
 
@@ -167,8 +235,11 @@ def _grouped(docs: DataFrame, cfg: NearDupConfig) -> tuple[DataFrame, DataFrame]
         .select("cls", F.col("m.rk").alias("node"), F.col("m.doc_id").alias("least"), "n", "bands")
     )
     dealt = classes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = dealt.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    members = cut(dealt.join(shared, "bucket"))
+    shared = dealt.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    met = dealt.join(shared, "bucket")
+    # How often a node meets others: the original of a group of copies meets most and makes the best hub.
+    degree = met.groupBy("node").agg(F.sum(F.col("size") - 1).alias("degree"))
+    members = cut(dealt.join(shared.select("bucket"), "bucket").join(degree, "node"))
     texts = base.select("rk", "text").withColumnRenamed("rk", "node")
     nodes = members.select("node").distinct()
     texts = cut(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
@@ -177,20 +248,24 @@ def _grouped(docs: DataFrame, cfg: NearDupConfig) -> tuple[DataFrame, DataFrame]
     tested = None
     for step in range(cfg.stars + 1):
         placed = members.join(labels, "node") if step else members.withColumn("component", F.col("node"))
+        # The first hub is the member that meets most; later ones the same in the part the first isn't in.
+        by = F.struct("degree", "node", "component", "n")
+        hubs = placed.groupBy("bucket").agg(
+            F.max(by).alias("h"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")
+        ).where("lo <> hi").select("bucket", F.col("h.node").alias("a"), F.col("h.component").alias("ca"), F.col("h.n").alias("na"), "size")
+        links = None
+        if step == 1:
+            rest = placed.join(hubs.select("bucket", F.col("ca").alias("c1")), "bucket").where("component <> c1")
+            hubs = rest.groupBy("bucket").agg(F.max(by).alias("h")).select("bucket", F.col("h.node").alias("a"), F.col("h.component").alias("ca"), F.col("h.n").alias("na"))
         if step < cfg.stars:
-            # Hubs differ by round: the smallest, the largest, then the smallest by another hash.
-            pick = (F.min, F.max)[step] if step < 2 else F.min
-            key = F.col("node") if step < 2 else F.xxhash64("node", F.lit(step))
-            hubs = placed.groupBy("bucket").agg(
-                pick(F.struct(key.alias("key"), "node", "component", "n")).alias("h"),
-                F.min("component").alias("lo"), F.max("component").alias("hi"),
-            ).where("lo <> hi").select("bucket", F.col("h.node").alias("a"), F.col("h.component").alias("ca"), F.col("h.n").alias("na"))
             met = placed.join(hubs, "bucket")
         else:
-            apart = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-            placed = placed.join(apart, "bucket")
-            other = placed.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-            met = placed.join(other, "bucket").where("a < node")
+            # What isn't in the hub's component by now is compared with all of the bucket.
+            left = cut(placed.join(hubs.select("bucket", F.col("ca").alias("main"), "size"), "bucket"))
+            few, many = left.where(F.col("size") <= cfg.few), left.where(F.col("size") > cfg.few)
+            ask = few.where("component <> main").select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+            met = few.join(ask, "bucket")
+            links = _links_in_tiles(many, texts, cfg)
         pairs = (
             met.select("a", F.col("node").alias("b"), "ca", F.col("component").alias("cb"), "na", F.col("n").alias("nb"))
             .where(f"ca <> cb and 100 * least(na, nb) >= {cfg.percent} * greatest(na, nb)")
@@ -199,15 +274,14 @@ def _grouped(docs: DataFrame, cfg: NearDupConfig) -> tuple[DataFrame, DataFrame]
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
         pairs = cut(pairs)
-        if pairs.isEmpty():
-            continue
         done = pairs.select("x", "y")
         tested = done if tested is None else tested.union(done)
         ta = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         tb = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         seen = pairs.join(tb, "b").join(ta, "a").select("a", "b", "text_a", "text_b", "ca", "cb")
+        found = seen.mapInArrow(_verified(cfg), "a long, b long")
         # Links join the components of the rounds before, so each round contracts only what is new.
-        links = connected_components(seen.mapInArrow(_verified(cfg), "a long, b long"))
+        links = connected_components(found if links is None else found.union(links))
         joined_ = links.select(F.col("id").alias("component"), F.col("component").alias("to"))
         labels = cut(labels.join(joined_, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
     named = classes.select("cls", "node", "least").join(labels, "node", "left")
@@ -229,10 +303,10 @@ def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> Da
     1. One pass of Arrow batches gives size, class (equal sets, equal class) and band hashes of every document.
     2. Equal sets collapse to one class each, so copies cost nothing further.
     3. Classes meet in band buckets. Instead of all pairs of a bucket, every member is compared with one hub of its
-       bucket; later rounds take other hubs for what is still apart, and a last round compares every pair of a bucket
-       that lies in different components and wasn't compared. No pair that shares a band is thus lost to the stars,
-       and a group of n near copies takes about n comparisons a band.
-    4. A comparison is exact, on the full sets. Only texts in a comparison are moved, once.
+       bucket, then with another. A last round compares what is still outside the hub's component with all of its
+       bucket, in tiles where the bucket is large. No pair that shares a band is thus lost to the stars, and a group of
+       n near copies takes about n comparisons a band.
+    4. A comparison is exact, on the full sets.
 
     Null and wordless texts have an empty set, n_shingles 0, and are linked with nothing; repeated rows are equal
     sets; a null doc_id counts in no minimum (a document linked with nothing keeps it); an empty table gives no rows;
