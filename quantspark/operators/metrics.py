@@ -152,3 +152,24 @@ def average_folds(folds: DataFrame) -> DataFrame:
 
 def accuracy(predictions: DataFrame) -> DataFrame:
     return predictions.agg(F.avg((F.col("predicted") == F.col("target")).cast("double")).alias("accuracy"))
+
+
+def forward_filled(panel: DataFrame, dates: DataFrame) -> DataFrame:
+    """(symbol, date, close) for every symbol on every date from its first price on, gaps filled with the last one.
+
+    The dates are a few thousand rows and are broadcast to the distinct symbols."""
+    dense = panel.select("symbol").distinct().crossJoin(F.broadcast(dates.select("date")))
+    upto = Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    joined = dense.join(panel.select("symbol", "date", "close"), ["symbol", "date"], "left")
+    return joined.withColumn("close", F.last("close", ignorenulls=True).over(upto)).where("close is not null")
+
+
+def compounded(curve: DataFrame) -> DataFrame:
+    """curve (account, date, equity) + growth: the running product of 1 + returns."""
+    upto = _over_time().rowsBetween(Window.unboundedPreceding, 0)
+    return with_returns(curve).withColumn("growth", F.product(1 + F.coalesce("ret", F.lit(0.0))).over(upto)).drop("peak")
+
+
+def trade_totals(trades: DataFrame, turnover: DataFrame) -> DataFrame:
+    """n_trades, total_fees of trades (fees) and mean_turnover of rebalancings (turnover)."""
+    return trades.agg(F.count("*").alias("n_trades"), F.sum("fees").alias("total_fees")).crossJoin(turnover.agg(F.avg("turnover").alias("mean_turnover")))

@@ -136,6 +136,12 @@ class Account:
             self._exit(symbol, self.last[symbol] * (1 - self.cfg.fill.slippage_bps / 1e4), "end_of_data", time, day)
 
 
+def lookup_signals(bars: DataFrame, signals: DataFrame, time: str = "ts", order: str = "seq") -> DataFrame:
+    """bars + signal of their symbol and stamp: the last of several, 0 for none."""
+    last = signals.groupBy("symbol", time).agg(F.max_by("signal", order).alias("signal"))
+    return bars.join(last, ["symbol", time], "left").withColumn("signal", F.coalesce("signal", F.lit(0)))
+
+
 EVENT = "account string, kind string, date date, equity double, " + TRADE
 
 

@@ -351,3 +351,14 @@ ORACLE["divergence_flags"] = (
     "SELECT l.metric, l.v AS live, b.v AS baseline, round(abs(l.v - b.v) / abs(b.v), 6) AS divergence FROM u l JOIN u b ON b.metric = l.metric AND b.account = 'Brand#13' "
     "WHERE l.account = 'Brand#12' AND b.v <> 0 AND abs(l.v - b.v) / abs(b.v) > 0.05"
 )
+
+ORACLE |= {
+    "signal_lookup": q(f"""SELECT symbol, date, coalesce(s, 0) AS signal FROM daily LEFT JOIN (SELECT symbol, date, last(CAST(volume > 25 AS INT) ORDER BY {K}) AS s FROM arr GROUP BY 1, 2) USING (symbol, date)""", "daily", "arr"),
+    "option_legs": q("""SELECT expiry, entry, round(strike, 6) AS strike, round(premium, 6) AS call_close, round(premium * 1.1::DOUBLE, 6) AS put_close FROM st WHERE moneyness = 1.0 AND month(expiry) % 4 <> 0""", "st"),
+    "accuracy": q("SELECT round(avg(CASE WHEN (ret_5 > 0) = (label = 1) THEN 1.0 ELSE 0 END), 6) AS accuracy FROM lab JOIN f USING (symbol, date) WHERE label IS NOT NULL AND ret_5 IS NOT NULL", "lab", "f"),
+    "edge_rules": q("""SELECT symbol, date, i > 0 AND i - o > 0.5 * abs(i) AND i - o > 0.0005 AS diverges, CASE WHEN abs((i - o) / nullif(o, 0)) < 0.5 THEN 'no clear edge' ELSE 'edge' END AS edge
+      FROM (SELECT symbol, date, high / open - 1 AS i, close / open - 1 AS o FROM daily)""", "daily"),
+    "forward_fill": q("""SELECT * FROM (SELECT symbol, date, round(last_value(d.close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date), 6) AS close FROM (SELECT DISTINCT symbol FROM daily), cal LEFT JOIN daily d USING (symbol, date))
+      WHERE close IS NOT NULL""", "daily", "cal").replace("(SELECT DISTINCT symbol FROM daily), cal LEFT JOIN", "(SELECT symbol, date FROM (SELECT DISTINCT symbol FROM daily) CROSS JOIN cal) LEFT JOIN"),
+    "compounded_growth": q("SELECT account, date, round(product(1 + coalesce(ret, 0)) OVER (PARTITION BY account ORDER BY date), 6) AS growth FROM cvr", "cvr"),
+}

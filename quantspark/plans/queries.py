@@ -667,6 +667,49 @@ def load_fills(spark, d):
     return rounded(ad.fills(spark, d))
 
 
+@query
+def signal_lookup(spark, d):
+    from quantspark.operators.simulate import lookup_signals
+
+    signals = arrivals(spark, d).select("symbol", "date", "seq", (F.col("volume") > 25).cast("int").alias("signal"))
+    return lookup_signals(daily(spark, d).select("symbol", "date"), signals, "date")
+
+
+@query
+def option_legs(spark, d):
+    m = op.with_strike(months(spark, d), (1.0,))
+    right = F.explode(F.array(F.lit("C"), F.lit("P"))).alias("right")
+    legs = m.select("expiry", "entry", "strike", "premium", right).where("not (right = 'P' and month(expiry) % 4 = 0)")
+    bars = legs.select(
+        op.occ_symbol(F.lit("SPY"), F.col("expiry"), F.col("right"), F.col("strike")).alias("occ"), F.col("entry").alias("date"),
+        F.when(F.col("right") == "C", F.col("premium")).otherwise(F.col("premium") * 1.1).alias("close"),
+    )
+    return rounded(op.join_legs(m, bars, "SPY").select("expiry", "entry", "strike", "call_close", "put_close"))
+
+
+@query
+def accuracy(spark, d):
+    s = labelled(spark, d).join(featured(spark, d).select("symbol", "date", "ret_5"), ["symbol", "date"]).where("label is not null and ret_5 is not null")
+    return rounded(mt.accuracy(s.select((F.col("ret_5") > 0).cast("int").alias("predicted"), (F.col("label") == 1).cast("int").alias("target"))))
+
+
+@query
+def edge_rules(spark, d):
+    i, o = F.col("high") / F.col("open") - 1, F.col("close") / F.col("open") - 1
+    return daily(spark, d).select("symbol", "date", mon.sample_divergence(i, o).alias("diverges"), mon.baseline_edge(i, o).alias("edge"))
+
+
+@query
+def forward_fill(spark, d):
+    panel = daily(spark, d)
+    return rounded(mt.forward_filled(panel, cal_.calendar(panel)))
+
+
+@query
+def compounded_growth(spark, d):
+    return rounded(mt.compounded(curve(spark, d)).select("account", "date", "growth"))
+
+
 # --- simulators, learning, streaming: rows only ---
 
 

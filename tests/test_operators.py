@@ -321,3 +321,15 @@ def test_logs_and_runs(spark, tmp_path):
 
 def test_report_table():
     assert "n/a" in io.markdown_table([{"a": math.nan, "b": 1.5}], "T")
+
+
+def test_fold_averages_skip_nulls(spark):
+    f = spark.createDataFrame([(0.5, 0.1, None, -0.1, 3), (0.7, 0.3, 2.0, -0.3, 4)], "win_rate double, expectancy double, sharpe double, max_drawdown double, n_trades int")
+    r = mt.average_folds(f).first()
+    assert (r.win_rate, r.sharpe, r.n_trades) == (pytest.approx(0.6), 2.0, 7)
+
+
+def test_signal_lookup_takes_the_last_of_several(spark):
+    bars = spark.createDataFrame([("A", 1), ("A", 2)], "symbol string, ts int")
+    found = spark.createDataFrame([("A", 1, 1, 0), ("A", 1, 2, 1)], "symbol string, ts int, seq int, signal int")
+    assert [r.signal for r in sm.lookup_signals(bars, found).orderBy("ts").collect()] == [1, 0]
