@@ -1,4 +1,4 @@
-"""LM scoring: masked pseudo-likelihood under a bidirectional window network trained in numpy."""
+"""LM scoring: masked pseudo-likelihood under a bidirectional window network trained in numpy, rare words by their bytes."""
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -8,42 +8,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantspark.llm.common import SPACE_WORDS, WordHasher, bytes_of, cut, groups_of_texts, joined, small_batches
+from quantspark.llm.common import SPACE_WORDS, WordHasher, bytes_of, cut, groups_of_texts, joined, mix, small_batches
 
 
 @dataclass(frozen=True)
 class LMConfig:
-    #: Predicted tokens: "other" and the most frequent ones of the corpus. Words on either side; hidden units.
+    #: Classes of the network: "other" and the most frequent words of the corpus; the words of "other" are spelled by
+    #: their bytes. Words on either side; hidden units.
     vocabulary: int = 128
     side: int = 3
     hidden: int = 24
-    #: One document in so many trains the network (a hash of the row decides), so training grows with the corpus.
-    one_in: int = 32
+    #: One document in so many trains (a hash of the row decides): all.
+    one_in: int = 1
     docs_per_task: int = 1500
     rounds: int = 2
     batch: int = 256
     rate: float = 0.01
     fan_in: int = 16
     seed: int = 17
+    #: Rows of the speller's table: so many a document, a power of two up to the greatest. Buckets of neighbouring
+    #: words; weight of the shorter context.
+    rows_per_doc: int = 32
+    max_rows: int = 1 << 18
+    buckets: int = 1024
+    backoff: float = 2.0
 
 
-_FOLD = np.arange(256, dtype=np.uint64)
-_FOLD[65:91] += np.uint64(32)
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += np.uint8(32)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _WORDS = WordHasher(SPACE_WORDS)
 
 
 def token_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Token of every word and the text of each: a word of up to four bytes is itself, a longer one its last three
-    bytes. A-Z folded. Vectorised; whole texts."""
+    """Hash of every whole word, A-Z folded, and the text of each. Vectorised; whole texts."""
+    return _words(texts)[:2]
+
+
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every word: hash, text, start and end; and the buffer they stand in."""
     buf, at = joined(texts)
-    start, end, _ = _WORDS(buf)
-    size = end - start
-    key = np.zeros(len(start), dtype=np.uint64)
-    for j in range(4):
-        use = (size > j) & ((size <= 4) | (j < 3))
-        key[use] |= _FOLD[buf[end[use] - 1 - j]] << np.uint64(8 * j)
-    key |= np.minimum(size, 5).astype(np.uint64) << np.uint64(32)
-    return key, np.searchsorted(at, start, side="right") - 1
+    start, end, key = _WORDS(buf)
+    return key, np.searchsorted(at, start, side="right") - 1, start, end, buf
 
 
 def corpus_vocabulary(docs: DataFrame, cfg: LMConfig) -> np.ndarray:
@@ -77,6 +83,90 @@ def corpus_vocabulary(docs: DataFrame, cfg: LMConfig) -> np.ndarray:
     return np.sort(np.array([r["token"] for r in top], dtype=np.int64).view(np.uint64))
 
 
+def _salted(level: int, context: np.ndarray) -> np.ndarray:
+    return mix(context.astype(np.uint64) * _ODD + np.uint64(level))
+
+
+class Speller:
+    """p(word | not in the vocabulary, words beside it), byte by byte to the end of the word.
+
+    A byte is two draws of four bits. Each is counted after the byte before, after the three before and after the whole
+    beginning of the word, every context backing off to the shorter one; the first byte instead after a bucket of the
+    word on the left and on the right (the mean of both). Contexts share rows of a hashed table, so every row is a
+    distribution, and every word has a probability, seen or not. Longest contexts have the upper half of the rows.
+    """
+
+    def __init__(self, rows: int, cfg: LMConfig) -> None:
+        self.rows, self.cfg = rows, cfg
+        self.counts = np.zeros(rows * 16, dtype=np.float64)
+        self.totals = np.zeros(rows, dtype=np.float64)
+
+    def load(self, flat: np.ndarray) -> None:
+        self.counts = flat.astype(np.float32)
+        self.totals = flat.reshape(-1, 16).sum(axis=1).astype(np.float32)
+
+    def cells(self, context: np.ndarray, symbol: np.ndarray, upper: bool = False) -> list[np.ndarray]:
+        """Cells of the upper and of the lower four bits of the symbol after the context."""
+        half, high = self.rows // 2, symbol >> np.uint8(4)
+        out = []
+        for h, nibble in ((context, high), (mix(context + high.astype(np.uint64) + np.uint64(1)), symbol & np.uint8(15))):
+            out.append((((h & np.uint64(half - 1)).astype(np.int64) + half * upper) << 4) + nibble)
+        return out
+
+    def letters(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
+        """Symbols of the given words with an end each; the word of each; cells of the contexts, shortest first."""
+        size = end - start + 1
+        word = np.repeat(np.arange(len(start)), size)
+        first = np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64)
+        place = np.arange(len(word)) - first[word]
+        ends = place == size[word] - 1
+        symbol = np.where(ends, np.uint8(32), _FOLD[buf[np.minimum(start[word] + place, len(buf) - 1)]])
+        _WORDS._grow(len(symbol) + 1)
+        total = np.zeros(len(symbol) + 1, dtype=np.uint64)
+        np.cumsum(_WORDS.value[symbol] * _WORDS.power[: len(symbol)], dtype=np.uint64, out=total[1:])
+        begun = (total[:-1] - total[first][word]) * _WORDS.back[first][word]
+        before = [np.where(place >= k, np.concatenate((np.zeros(k, np.uint8), symbol[:-k])), 0)[: len(symbol)].astype(np.uint64) for k in (1, 2, 3)]
+        near = before[0] | (before[1] << np.uint64(8)) | (before[2] << np.uint64(16))
+        levels = [self.cells(_salted(1, before[0]), symbol), self.cells(_salted(2, near), symbol), self.cells(_salted(3, begun), symbol, True)]
+        return symbol, word, levels
+
+    def beside(self, left: np.ndarray, right: np.ndarray, symbol: np.ndarray) -> list:
+        """Cells of the first symbol of words after the word on the left, and before the one on the right."""
+        n = np.uint64(self.cfg.buckets)
+        return [self.cells(_salted(4, left % n), symbol), self.cells(_salted(5, right % n), symbol)]
+
+    def count(self, spelled: tuple) -> None:
+        buf, start, end, back, left, right = spelled
+        symbol, word, levels = self.letters(buf, start, end)
+        times = np.bincount(back, minlength=len(start)).astype(np.float64)[word]
+        for level in levels:
+            for cell in level:
+                np.add.at(self.counts, cell, times)
+        first = np.searchsorted(word, np.arange(len(start)))
+        for level in self.beside(left, right, symbol[first][back]):
+            for cell in level:
+                np.add.at(self.counts, cell, 1.0)
+
+    def after(self, cell: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+        return (self.counts[cell] + self.cfg.backoff * shorter) / (self.totals[cell >> 4] + self.cfg.backoff)
+
+    def log_probabilities(self, spelled: tuple) -> np.ndarray:
+        buf, start, end, back, left, right = spelled
+        symbol, word, levels = self.letters(buf, start, end)
+        p = [np.full(len(symbol), 1 / 16) for _ in range(2)]
+        for level in levels:
+            p = [self.after(cell, q) for cell, q in zip(level, p, strict=True)]
+        first = np.searchsorted(word, np.arange(len(start)))
+        own = np.log(p[0]) + np.log(p[1])
+        own[first] = 0  # the first byte depends on the words beside it
+        rest = np.bincount(word, weights=own, minlength=len(start))[back]
+        sides = self.beside(left, right, symbol[first][back])
+        for i in range(2):
+            shorter = p[i][first][back]
+            rest += np.log(sum(self.after(side[i], shorter) for side in sides) / 2)
+        return rest
+
+
 class WindowNet:
     """Embeddings of the words on both sides, one table for each place, summed; tanh; softmax over the vocabulary.
 
@@ -86,7 +176,7 @@ class WindowNet:
 
     def __init__(self, vocabulary: np.ndarray, cfg: LMConfig) -> None:
         rng = np.random.default_rng(cfg.seed)
-        self.cfg, self.vocabulary = cfg, vocabulary
+        self.cfg, self.vocabulary, self.speller = cfg, vocabulary, None
         v = len(vocabulary) + 1
         self.params = [
             rng.normal(0, 0.3, (2 * cfg.side, v + 1, cfg.hidden)).astype(np.float32), np.zeros(cfg.hidden, np.float32),
@@ -95,7 +185,9 @@ class WindowNet:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(token ids, their contexts, the text of each)."""
-        key, doc = token_keys(texts)
+        return self.encode_words(*token_keys(texts))
+
+    def encode_words(self, key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         v = self.vocabulary
         at = np.minimum(np.searchsorted(v, key), max(len(v) - 1, 0))
         ids = np.where(v[at] == key, at + 1, 0) if len(v) else np.zeros(len(key), dtype=np.int64)
@@ -107,6 +199,21 @@ class WindowNet:
                 context[a, j] = np.where(doc[a] == doc[b], ids[b], edge)
         return ids, context, doc
 
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple | None]:
+        """encode(); the places of the words outside the vocabulary; and those words, each once, as the speller reads
+        them: buffer, starts, ends, the word of each place, the hashes of the words on its left and right."""
+        key, doc, start, end, buf = _words(texts)
+        ids, context, _ = self.encode_words(key, doc)
+        rare = np.flatnonzero(ids == 0)
+        if not len(rare):
+            return ids, context, doc, rare, None
+        _, at, back = np.unique(key[rare], return_index=True, return_inverse=True)
+        side = []
+        for to in (rare - 1, rare + 1):
+            inside = np.clip(to, 0, len(key) - 1)
+            side.append(np.where((to == inside) & (doc[inside] == doc[rare]), key[inside], np.uint64(0)))
+        return ids, context, doc, rare, (buf, start[rare[at]], end[rare[at]], back, *side)
+
     def hidden(self, context: np.ndarray) -> np.ndarray:
         z = self.params[0][0][context[:, 0]]
         for j in range(1, context.shape[1]):
@@ -124,6 +231,7 @@ class WindowNet:
     def train(self, ids: np.ndarray, context: np.ndarray, seed: int) -> None:
         """One pass of Adam over the given tokens."""
         cfg, order = self.cfg, np.random.default_rng(seed).permutation(len(ids))
+        offset, units = np.arange(context.shape[1]) * self.params[0].shape[1], np.arange(cfg.hidden)
         first, second, t = [np.zeros_like(p) for p in self.params], [np.zeros_like(p) for p in self.params], 0
         for i in range(0, len(order), cfg.batch):
             at = order[i : i + cfg.batch]
@@ -136,8 +244,8 @@ class WindowNet:
             s /= len(y)
             dz = (s @ self.params[2].T) * (1 - h * h)
             g = np.zeros_like(self.params[0])
-            for j in range(x.shape[1]):
-                np.add.at(g[j], x[:, j], dz)
+            cells = ((x + offset)[:, :, None] * cfg.hidden + units).ravel()
+            np.add.at(g.reshape(-1), cells, np.repeat(dz[:, None], x.shape[1], 1).ravel())
             t += 1
             for p, d, m, v in zip(self.params, [g, dz.sum(axis=0), h.T @ s, s.sum(axis=0)], first, second, strict=True):
                 m += 0.1 * (d - m)
@@ -155,18 +263,20 @@ class WindowNet:
 
 
 def train_lm(docs: DataFrame, cfg: LMConfig = LMConfig()) -> WindowNet:
-    """Vocabulary from all documents; network by rounds of local passes and averaging.
+    """Vocabulary, network and speller from all documents; the network by rounds of local passes and averaging.
 
-    The training rows, a fixed share of the corpus, are dealt to tasks of a bounded number of documents. In each round
-    every task starts from the common network, passes over its own rows, and returns its parameters and number of
-    tokens; these are averaged in a tree, so the driver reads at most cfg.fan_in small rows however large the corpus.
+    The training rows are dealt to tasks of a bounded number of documents. In each round every task starts from the
+    common network, passes over its own rows, and returns its parameters and number of tokens; these are averaged in a
+    tree, so the driver reads at most cfg.fan_in small rows however large the corpus. The speller's counts are summed
+    likewise, down to one table.
     """
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("_h"))
     net = WindowNet(corpus_vocabulary(texts, cfg), cfg)
-    sample = cut(texts.where(F.pmod("_h", F.lit(cfg.one_in)) == 0).select("text"))
-    tasks = -(-sample.count() // cfg.docs_per_task)
+    sample = texts.where(F.pmod("_h", F.lit(cfg.one_in)) == 0).select("text")
+    documents = sample.count()
+    tasks = -(-documents // cfg.docs_per_task)
     if not tasks:
         return net
     dealt = cut(sample.repartition(tasks))
@@ -205,12 +315,49 @@ def train_lm(docs: DataFrame, cfg: LMConfig = LMConfig()) -> WindowNet:
         weight = sum(x["n"] for x in rows)
         if weight:
             net.load(sum(np.frombuffer(x["flat"], dtype=np.float32).astype(np.float64) * (x["n"] / weight) for x in rows))
+    net.speller = train_speller(dealt, net, documents, tasks)
     return net
 
 
+def train_speller(dealt: DataFrame, net: WindowNet, documents: int, tasks: int) -> Speller:
+    """Counts of the bytes of all words outside the vocabulary. A task returns a table as large as the final one."""
+    spark, cfg, wide, schema = dealt.sparkSession, net.cfg, 4, "flat binary"
+    rows = min(cfg.max_rows, 1 << max(10, (cfg.rows_per_doc * documents - 1).bit_length()))
+    shared = spark.sparkContext.broadcast(net)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, speller = shared.value, Speller(rows, cfg)
+        for batch in batches:
+            texts = bytes_of(batch.column(0))
+            for a, b in groups_of_texts(texts):
+                spelled = net.read(texts[a:b])[-1]
+                if spelled:
+                    speller.count(spelled)
+        yield pa.RecordBatch.from_arrays([pa.array([speller.counts.astype(np.float32).tobytes()])], names=["flat"])
+
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(rows * 16)
+        for batch in batches:
+            for flat in batch.column(0):
+                total += np.frombuffer(flat.as_buffer(), dtype=np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()])], names=["flat"])
+
+    parts = -(-tasks // 8)
+    found = dealt.coalesce(parts).mapInArrow(run, schema)
+    while parts > 1:
+        parts = -(-parts // wide)
+        found = cut(found).coalesce(parts).mapInArrow(merge, schema)
+    speller = Speller(rows, cfg)
+    speller.load(sum(np.frombuffer(x["flat"], dtype=np.float32).astype(np.float64) for x in found.toArrow().to_pylist()))
+    return speller
+
+
 def score_lm(docs: DataFrame, net: WindowNet) -> DataFrame:
     """(doc_id, n_tokens, pll, mean_pll): the sum and the mean of log p(word | words on both sides) over all words.
 
+    A word outside the vocabulary has the probability of "other" times that of its spelling. (Spellings of words in the
+    vocabulary keep their share of it, so the sum over all words is a little below 1.)
+
     Null, empty and wordless texts: 0 tokens, pll 0, mean_pll null. Repeated rows repeat; other columns aren't read.
     """
     spark = docs.sparkSession
@@ -223,8 +370,10 @@ def score_lm(docs: DataFrame, net: WindowNet) -> DataFrame:
             texts = bytes_of(batch.column(1))
             count, total = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
             for a, b in groups_of_texts(texts, 1 << 20):
-                ids, context, doc = net.encode(texts[a:b])
+                ids, context, doc, rare, spelled = net.read(texts[a:b])
                 p = net.log_probabilities(ids, context)
+                if spelled and net.speller:
+                    p[rare] += net.speller.log_probabilities(spelled)
                 count[a:b] = np.bincount(doc, minlength=b - a)
                 total[a:b] = np.bincount(doc, weights=p, minlength=b - a)
             mean = pa.array(total / np.maximum(count, 1), mask=count == 0)

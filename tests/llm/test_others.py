@@ -272,6 +272,43 @@ def test_context_never_holds_the_word_itself():
     assert context[0].tolist() == [edge] * 3 + ids[1:4].tolist() and context[4].tolist() == [edge] * 6
 
 
+def test_words_outside_the_vocabulary_are_told_apart(spark):
+    rng = random.Random(13)
+    rare = ["".join(rng.choice("abcdefgh") for _ in range(6)) + end for end in ("tion", "ment", "ness") for _ in range(40)]
+    text = lambda: " ".join(x for _ in range(40) for x in ("the", rng.choice(rare)))
+    net = lm.train_lm(docs(spark, [text() for _ in range(60)]), lm.LMConfig(vocabulary=2, batch=64))
+    real = " ".join(f"the {w}" for w in rare[:20])
+    invented = " ".join("the " + "".join(rng.choice("ijklmnopqrstuvwxyz") for _ in range(6)) + w[6:] for w in rare[:20])
+    unigram = real.replace("the ", "")
+    got = {r.doc_id: r.pll for r in lm.score_lm(docs(spark, [real, invented, real.upper(), unigram, " ".join(unigram.split()[::-1])]), net).collect()}
+    assert got[0] > got[1] + 20 and got[0] == pytest.approx(got[2]) and abs(got[3] - got[4]) > 1e-3
+
+
+def test_spelling_is_a_distribution():
+    cfg = lm.LMConfig()
+    net = lm.WindowNet(np.sort(lm.token_keys([b"the"])[0]), cfg)
+    speller = lm.Speller(1 << 10, cfg)
+    speller.count(net.read([b"the xyz abc the abd abc"])[-1])
+    speller.load(speller.counts)
+    rest = [bytes([c]) for c in range(256) if c not in (0x20, *range(0x09, 0x0E), *range(65, 91))]
+    words = [b"the ab" + c for c in rest] + [b"the ab"]
+    p = np.array([speller.log_probabilities(net.read([w])[-1])[0] for w in words])
+    start = np.array([speller.log_probabilities(net.read([b"the ab" + c + b"q"])[-1])[0] for c in rest])
+    assert np.isfinite(p).all() and np.exp(p).sum() + np.exp(start).sum() < 1
+    assert p[words.index(b"the abc")] > p[words.index(b"the abz")]
+    every = np.arange(256).astype(np.uint8)
+    cells = speller.cells(np.full(256, lm._salted(1, np.array([97]))[0]), every)
+    q = [speller.after(c, np.full(256, 1 / 16)) for c in cells]
+    assert (q[0] * q[1]).sum() == pytest.approx(1)
+
+
+def test_every_document_trains(spark):
+    df = docs(spark, [f"a b w{i}" for i in range(64)])
+    net = lm.train_lm(df, lm.LMConfig(vocabulary=3))
+    first = net.speller.cells(lm._salted(4, lm.token_keys([b"b"])[0] % np.uint64(net.cfg.buckets)), np.array([ord("w")], dtype=np.uint8))[0]
+    assert net.speller.counts[first[0]] == 64
+
+
 # --- secrets ---
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
