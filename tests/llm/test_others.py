@@ -206,6 +206,20 @@ def test_copies_of_an_article_keep_their_text(spark):
     assert {r.text for r in pg.extract_pages(df).collect()} == {"Title & more\nOne two\nThree é\nFour"}
 
 
+def test_boilerplate_inside_an_article_goes_and_copies_stay(spark):
+    page = "<article><p>Repeated notice</p><p>{0} one of its own text</p><p>{0} two of its own text</p><p>Leave a reply</p></article>"
+    own = lambda w: f"{w} one of its own text\n{w} two of its own text"
+    rows = [(i, f"http://m.example/{i}", page.format(w)) for i, w in enumerate(["alpha", "beta", "beta", "gamma"])]
+    plain = "<p>{0} first long line of the body</p><p>{0} second long line of the body</p>"
+    rows += [(10 + i, f"http://p.example/{i}", plain.format("copy")) for i in range(3)]
+    rows += [(20, "http://t.example/", "<article><p>Teaser</p></article><p>The body stands outside of the card, and is long.</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: r.text for r in pg.extract_pages(df).collect()}
+    assert [got[i] for i in range(4)] == [own(w) for w in ("alpha", "beta", "beta", "gamma")]
+    assert {got[i] for i in (10, 11, 12)} == {"copy first long line of the body\ncopy second long line of the body"}
+    assert got[20] == "Teaser\nThe body stands outside of the card, and is long."
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rng = random.Random(8)
 
