@@ -220,6 +220,11 @@ def test_boilerplate_inside_an_article_goes_and_copies_stay(spark):
     assert got[20] == "Teaser\nThe body stands outside of the card, and is long."
 
 
+def test_deep_elements_are_closed_by_their_own_end_tags():
+    deep = "<article>" + "<div>" * 600 + "<aside>advert</aside>" + "</div>" * 600 + "<p>kept</p></article>"
+    assert pg.lines_of("<div>" + deep + "</div>") == [("advert", True, True), ("kept", False, True)]
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rng = random.Random(8)
 
