@@ -55,7 +55,7 @@ STAGES = [
     ("mixing", mixing),
 ]
 
-#: A trained classifier decides, which SQL can't express; the tests hold run() against brute force.
+#: A trained classifier decides, which SQL can't express. The tests walk STAGES with weak checks; run() itself isn't tested.
 ORACLE_SQL = None
 
 
