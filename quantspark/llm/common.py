@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,48 +27,98 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-_MADE: list[tuple[SparkSession, str]] = []
+#: Written tables that haven't been dropped, by the identity of their DataFrame.
+_MADE: dict[int, tuple[DataFrame, str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's, or where the session names none (tests) our own."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Only a local session, whose executors are the driver's own process, may go without; it gets a folder of its own.
+    """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="ckpt-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
     return folder
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """The rows as a table written once to the shared folder, so they survive lost executors and aren't made again.
 
-    The table is deleted when the Python process ends.
+    drop() deletes the table when its last reader has run; what is left goes when the Python process ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/quantspark-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
     if not _MADE:
         atexit.register(clear)
-    _MADE.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _MADE[id(made)] = made, path
+    return made
+
+
+def _delete(made: DataFrame, path: str) -> None:
+    spark = made.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables that cut() wrote, which nothing reads any more; others are left alone."""
+    for t in tables:
+        if t is not None and id(t) in _MADE:
+            _delete(*_MADE.pop(id(t)))
+
+
+def release(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, so that Spark's cleaner deletes the shuffle files of finished jobs now."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def clear() -> None:
-    """Delete every table that cut() wrote; their DataFrames can't be read afterwards."""
+    """Delete every table of cut() that is left; their DataFrames can't be read afterwards."""
     while _MADE:
-        spark, path = _MADE.pop()
         try:
-            _delete(spark, path)
+            _delete(*_MADE.popitem()[1])
         except Exception:  # noqa: BLE001  the session may have ended before
             continue
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that ``df`` doesn't have, whatever columns a user has added."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def sieve(df: DataFrame, key, keys: DataFrame, words: int = 1 << 18) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be among the values of the one column of ``keys``: all that are, and few others.
+
+    A bitmap of 64 * ``words`` hashed bits is broadcast, never more than ``words`` rows, however many keys there are;
+    with more keys than bits it only lets more rows pass. What follows must join with the keys themselves.
+    """
+    def place(col) -> tuple[F.Column, F.Column]:
+        h = F.pmod(F.xxhash64(col), F.lit(64 * words))
+        return F.floor(h / 64).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+
+    word, bit = place(F.col(keys.columns[0]))
+    bits = keys.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    w, b = fresh(df, "w", "b")
+    word, bit = place(key)
+    held = df.join(F.broadcast(bits.toDF(w, b)), word == F.col(w))
+    return held.where(F.col(b).bitwiseAND(bit) != 0).drop(w, b)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -235,14 +287,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("to")))
         if labels is None:
-            labels = least.select("id", F.col("to").alias("component"))
+            new = least.select("id", F.col("to").alias("component"))
         else:
             step = least.select(F.col("id").alias("component"), "to")
-            labels = labels.join(step, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
-        labels = cut(labels)
+            new = labels.join(step, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+        new = cut(new)
         first = least.select(F.col("id").alias("a"), F.col("to").alias("ta"))
         second = least.select(F.col("id").alias("b"), F.col("to").alias("tb"))
-        left = left.join(first, "a").join(second, "b").where("ta <> tb")
-        left = cut(left.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
+        rest = left.join(first, "a").join(second, "b").where("ta <> tb")
+        rest = cut(rest.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
+        drop(left, least, labels)
+        left, labels = rest, new
         if left.isEmpty():
+            drop(left)
             return labels

@@ -15,11 +15,15 @@ from quantspark.llm.common import (
     bytes_of,
     connected_components,
     cut,
+    drop,
     forest,
+    fresh,
     groups_of_texts,
     joined,
     mix,
+    release,
     shingles,
+    sieve,
     small_batches,
 )
 
@@ -29,15 +33,16 @@ class NearDupConfig:
     #: Words in a shingle; least Jaccard similarity in percent.
     words: int = 5
     percent: int = 80
-    #: Bands of rows of the signature. At 80 % a pair shares no band with probability (1 - 0.8^8)^56 < 4e-5, and
+    #: Bands of rows of the signature. At 80 % a pair shares no band with probability (1 - 0.8^6)^32 < 7e-5, and
     #: unlike texts that share common shingles seldom do.
-    bands: int = 56
-    rows: int = 8
+    bands: int = 32
+    rows: int = 6
     #: Star rounds before the pairs between still separate parts of a bucket are compared one by one.
     stars: int = 2  # at least 2
-    #: Buckets of up to so many members are compared pair by pair, larger ones in tiles of so many rows a side.
+    #: Buckets of up to so many members are compared pair by pair, larger ones in tiles of so many rows a side; and
+    #: comparisons that share one copy of a hub's text.
     few: int = 32
-    tile: int = 512
+    tile: int = 256
     seed: int = 11
 
     @property
@@ -98,28 +103,27 @@ def _signed(cfg: NearDupConfig):
         hasher = WordHasher(SPACE_WORDS)
         for batch in batches:
             texts = bytes_of(batch.column(1))
-            n, cls, bands = [], [], []
+            n, cls, bands = [np.zeros(0, np.int64)], [], [np.zeros((0, cfg.bands), np.uint64)]
             for a, b in groups_of_texts(texts):
                 s, where = shingle_sets(texts[a:b], cfg.words, hasher)
                 size = np.bincount(where, minlength=b - a)
-                # A set's class: a sum of mixed hashes, alike in any order of elements, and its size.
-                total = np.zeros(b - a, dtype=np.uint64)
-                np.add.at(total, where, mix(s ^ np.uint64(0xA24BAED4963EE407)))
+                # A set's class: two sums of differently mixed hashes, 128 bits alike in any order of elements.
+                total = np.zeros((b - a, 2), dtype=np.uint64)
+                for i, salt in enumerate((0xA24BAED4963EE407, 0x9FB21C651E98DF25)):
+                    np.add.at(total[:, i], where, mix(s ^ np.uint64(salt)))
                 n.append(size)
-                cls.append(mix(total + size.astype(np.uint64)))
+                cls += [x.tobytes() for x in total]
                 sig = super_minhash(s, where, b - a, cfg.size, cfg.seed)
                 word = sig.view(np.uint64).reshape(b - a, cfg.bands, cfg.rows)
                 band = np.zeros((b - a, cfg.bands), dtype=np.uint64) + np.arange(cfg.bands, dtype=np.uint64)
                 for r in range(cfg.rows):
                     band = mix(band * np.uint64(0x9E3779B97F4A7C15) + word[:, :, r])
                 bands.append(band)
-            empty = not n
-            sizes = np.concatenate(n).astype(np.int64) if not empty else np.zeros(0, np.int64)
-            keys = np.concatenate(cls).view(np.int64) if not empty else np.zeros(0, np.int64)
-            flat = np.concatenate(bands).view(np.int64).reshape(-1) if not empty else np.zeros(0, np.int64)
-            offsets = np.arange(len(sizes) + 1, dtype=np.int32) * cfg.bands
+            flat = np.concatenate(bands).view(np.int64)
+            offsets = np.arange(len(flat) + 1, dtype=np.int32) * cfg.bands
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(sizes), pa.array(keys), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                [batch.column(0), batch.column(2), pa.array(np.concatenate(n).astype(np.int64)), pa.array(cls, pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.reshape(-1)))],
                 names=["doc_id", "rk", "n", "cls", "bands"],
             )
 
@@ -127,30 +131,51 @@ def _signed(cfg: NearDupConfig):
 
 
 def _verified(cfg: NearDupConfig):
+    """Of rows (hub, other, text, ca, cb), sorted such that a hub's own row (other null) comes before its others: the
+    (ca, cb) of the others whose full set is similar enough to the hub's."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, kept_key, kept = WordHasher(SPACE_WORDS), None, None
+        hasher, hub, held = WordHasher(SPACE_WORDS), None, np.zeros(0, np.uint64)
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            left, right = batch.column(2), bytes_of(batch.column(3))
+            a, other, texts = batch.column(0).to_pylist(), batch.column(1), bytes_of(batch.column(2))
             good = np.zeros(len(a), dtype=bool)
             sets: list[np.ndarray] = []
-            for i, j in groups_of_texts(right):
-                s, where = shingle_sets(right[i:j], cfg.words, hasher)
+            for i, j in groups_of_texts(texts):
+                s, where = shingle_sets(texts[i:j], cfg.words, hasher)
                 sets += np.split(s, np.searchsorted(where, np.arange(1, j - i)))
-            for i in range(len(a)):
-                if a[i] != kept_key:
-                    kept_key, kept = a[i], shingle_sets(bytes_of(left.slice(i, 1)), cfg.words, hasher)[0]
-                x, y = kept, sets[i]
-                if not len(x) or not len(y) or 100 * min(len(x), len(y)) < cfg.percent * max(len(x), len(y)):
+            for i, own in enumerate(other.is_null().to_pylist()):
+                if own:
+                    hub, held = a[i], sets[i]
+                    continue
+                y = sets[i]
+                if a[i] != hub or not len(held) or not len(y) or 100 * min(len(held), len(y)) < cfg.percent * max(len(held), len(y)):
                     continue
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                good[i] = 100 * both >= cfg.percent * (len(x) + len(y) - both)
-            keep = np.flatnonzero(good)
-            yield pa.RecordBatch.from_arrays([batch.column(4).take(pa.array(keep)), batch.column(5).take(pa.array(keep))], names=["a", "b"])
+                both = len(held) + len(y) - len(np.union1d(held, y))
+                good[i] = 100 * both >= cfg.percent * (len(held) + len(y) - both)
+            keep = pa.array(np.flatnonzero(good))
+            yield pa.RecordBatch.from_arrays([batch.column(3).take(keep), batch.column(4).take(keep)], names=["a", "b"])
 
     return run
 
 
+def _compared(pairs: DataFrame, texts: DataFrame, cfg: NearDupConfig) -> DataFrame:
+    """(a, b) component links of the pairs(a, b, ca, cb) that are similar enough, on the full sets of both.
+
+    A pair carries the text of b; the text of a hub a travels once for each ``tile`` of its pairs, so a hub with a third
+    of all rows is dealt over many tasks. Texts, not sets of hashes: they compress to less than half of these.
+    """
+    tiles = pairs.groupBy("a").agg(F.ceil(F.count("*") / cfg.tile).cast("int").alias("tiles"))
+    own = tiles.join(texts, tiles["a"] == texts["node"]).select(
+        "a", F.lit(None).cast("long").alias("b"), "text", F.lit(0).cast("long").alias("ca"), F.lit(0).cast("long").alias("cb"),
+        F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("r"),
+    )
+    many = tiles.where("tiles > 1").withColumnRenamed("a", "hub")
+    asked = pairs.join(many, pairs["a"] == many["hub"], "left").withColumn("r", F.pmod(F.xxhash64("b"), F.coalesce("tiles", F.lit(1))).cast("int"))
+    asked = asked.join(texts, asked["b"] == texts["node"]).select("a", "b", "text", "ca", "cb", "r")
+    rows = own.union(asked).repartition("a", "r").sortWithinPartitions("a", "r", F.col("b").asc_nulls_first())
+    return rows.select("a", "b", "text", "ca", "cb").mapInArrow(_verified(cfg), "a long, b long")
+
+
 def _sets(cfg: NearDupConfig):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(SPACE_WORDS)
@@ -216,7 +241,23 @@ def _links_in_tiles(left: DataFrame, texts: DataFrame, cfg: NearDupConfig) -> Da
 
 
 def _row_key(docs: DataFrame) -> F.Column:
-    return F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.coalesce(docs["text"], F.lit("")))
+    """128 bits that name a row by its id and text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.lit("\x00"), F.coalesce(docs["text"], F.lit("")))))
+
+
+def _met(classes: DataFrame) -> DataFrame:
+    """(bucket, node, n, degree): the places of nodes in the buckets that several nodes share. Most buckets hold one
+    node: they are counted first, and what a sieve of the shared ones keeps is all that is joined."""
+    dealt = classes.select("node", "n", F.explode("bands").alias("bucket"))
+    shared = cut(dealt.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+    met = cut(sieve(dealt, F.col("bucket"), shared.select("bucket")).join(shared.hint("merge"), "bucket"))
+    drop(shared)
+    # How often a node meets others: the original of a group of copies meets most and makes the best hub.
+    degree = met.groupBy("node").agg(F.sum(F.col("size") - 1).alias("degree"))
+    members = cut(met.select("bucket", "node", "n").join(degree, "node"))
+    drop(met)
+    release(classes.sparkSession)
+    return members
 
 
 def _grouped(docs: DataFrame, cfg: NearDupConfig) -> tuple[DataFrame, DataFrame]:
@@ -226,26 +267,24 @@ def _grouped(docs: DataFrame, cfg: NearDupConfig) -> tuple[DataFrame, DataFrame]
     small_batches(spark)
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _row_key(docs).alias("rk"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    signed = cut(base.select("doc_id", "text", "rk").mapInArrow(
-        _signed(cfg), f"doc_id {id_type}, rk long, n long, cls long, bands array<long>"
-    ))
-    # Nodes are classes, named by the key of one of their rows.
+    signed = cut(base.mapInArrow(_signed(cfg), f"doc_id {id_type}, rk binary, n long, cls binary, bands array<long>"))
+    # Nodes are classes, numbered as they are written; their least row stands for them.
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rk")).alias("m")
     classes = cut(
-        signed.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rk")).alias("m"), F.first("bands").alias("bands"), F.first("n").alias("n"))
-        .select("cls", F.col("m.rk").alias("node"), F.col("m.doc_id").alias("least"), "n", "bands")
+        signed.where("n > 0").groupBy("cls").agg(least, F.first("bands").alias("bands"), F.first("n").alias("n"))
+        .select(F.monotonically_increasing_id().alias("node"), "cls", F.col("m.rk").alias("rk"), F.col("m.doc_id").alias("least"), "n", "bands")
     )
-    dealt = classes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = dealt.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    met = dealt.join(shared, "bucket")
-    # How often a node meets others: the original of a group of copies meets most and makes the best hub.
-    degree = met.groupBy("node").agg(F.sum(F.col("size") - 1).alias("degree"))
-    members = cut(dealt.join(shared.select("bucket"), "bucket").join(degree, "node"))
-    texts = base.select("rk", "text").withColumnRenamed("rk", "node")
-    nodes = members.select("node").distinct()
-    texts = cut(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
-
-    labels = nodes.withColumn("component", F.col("node"))
-    tested = None
+    release(spark)
+    members = _met(classes)
+    nodes = cut(members.select("node").distinct())
+    keys = cut(classes.select("node", "rk").join(nodes, "node"))
+    texts = sieve(base.select("rk", "text"), F.col("rk"), keys.select("rk")).join(keys.hint("merge"), "rk")
+    texts = cut(texts.select("node", "text").dropDuplicates(["node"]))
+    drop(keys)
+
+    labels = cut(nodes.withColumn("component", F.col("node")))
+    drop(nodes)
+    tested: list[DataFrame] = []
     for step in range(cfg.stars + 1):
         placed = members.join(labels, "node") if step else members.withColumn("component", F.col("node"))
         # The first hub is the member that meets most; later ones the same in the part the first isn't in.
@@ -253,7 +292,7 @@ def _grouped(docs: DataFrame, cfg: NearDupConfig) -> tuple[DataFrame, DataFrame]
         hubs = placed.groupBy("bucket").agg(
             F.max(by).alias("h"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")
         ).where("lo <> hi").select("bucket", F.col("h.node").alias("a"), F.col("h.component").alias("ca"), F.col("h.n").alias("na"), "size")
-        links = None
+        links, left = None, None
         if step == 1:
             rest = placed.join(hubs.select("bucket", F.col("ca").alias("c1")), "bucket").where("component <> c1")
             hubs = rest.groupBy("bucket").agg(F.max(by).alias("h")).select("bucket", F.col("h.node").alias("a"), F.col("h.component").alias("ca"), F.col("h.n").alias("na"))
@@ -271,24 +310,26 @@ def _grouped(docs: DataFrame, cfg: NearDupConfig) -> tuple[DataFrame, DataFrame]
             .where(f"ca <> cb and 100 * least(na, nb) >= {cfg.percent} * greatest(na, nb)")
             .select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "b", "ca", "cb").dropDuplicates(["x", "y"])
         )
-        if tested is not None:
-            pairs = pairs.join(tested, ["x", "y"], "left_anti")
+        for done in tested:
+            pairs = pairs.join(done.select("x", "y"), ["x", "y"], "left_anti")
         pairs = cut(pairs)
-        done = pairs.select("x", "y")
-        tested = done if tested is None else tested.union(done)
-        ta = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        tb = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        seen = pairs.join(tb, "b").join(ta, "a").select("a", "b", "text_a", "text_b", "ca", "cb")
-        found = seen.mapInArrow(_verified(cfg), "a long, b long")
+        tested.append(pairs)
+        found = _compared(pairs, texts, cfg)
         # Links join the components of the rounds before, so each round contracts only what is new.
-        links = connected_components(found if links is None else found.union(links))
-        joined_ = links.select(F.col("id").alias("component"), F.col("component").alias("to"))
-        labels = cut(labels.join(joined_, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
-    named = classes.select("cls", "node", "least").join(labels, "node", "left")
+        joined_ = connected_components(found if links is None else found.union(links))
+        to = joined_.select(F.col("id").alias("component"), F.col("component").alias("to"))
+        new = cut(labels.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+        drop(labels, joined_, left)
+        labels = new
+        release(spark)
+    drop(members, texts, *tested)
+    named = classes.select("cls", "node", "least", "rk").join(labels, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
-    order = F.struct(F.col("least").isNull(), "least", "node")
+    order = F.struct(F.col("least").isNull(), "least", "rk")
     smallest = named.groupBy("component").agg(F.min(order).alias("m"))
-    final = named.join(smallest, "component").select("cls", F.col("m.least").alias("first"), F.col("m.node").alias("keep"))
+    final = cut(named.join(smallest, "component").select("cls", F.col("m.least").alias("first"), F.col("m.rk").alias("keep")))
+    drop(classes, labels)
+    release(spark)
     rows = signed.select("doc_id", "rk", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls"))
     return rows, final
 
@@ -325,5 +366,6 @@ def keep_one_of_each(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> D
     Rows without words are linked with nothing and stay. Repeated rows (equal doc_id and text) stay once.
     """
     rows, final = _grouped(docs, cfg)
-    stay = rows.where("n = 0").select(F.col("rk").alias("_rk")).union(final.select("keep")).distinct()
-    return docs.withColumn("_rk", _row_key(docs)).join(stay, "_rk", "left_semi").dropDuplicates(["_rk"]).drop("_rk")
+    (rk,) = fresh(docs, "rk")
+    stay = rows.where("n = 0").select(F.col("rk").alias(rk)).union(final.select("keep")).distinct()
+    return docs.withColumn(rk, _row_key(docs)).join(stay, rk, "left_semi").dropDuplicates([rk]).drop(rk)
