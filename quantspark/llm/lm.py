@@ -1,5 +1,6 @@
 """LM scoring: masked pseudo-likelihood under a bidirectional window network trained in numpy, rare words by their bytes."""
 
+import heapq
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -8,22 +9,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantspark.llm.common import SPACE_WORDS, WordHasher, bytes_of, cut, groups_of_texts, joined, mix, small_batches
+from quantspark.llm.common import SPACE_WORDS, WordHasher, bytes_of, cut, drop, groups_of_texts, joined, mix, release, small_batches
 
 
 @dataclass(frozen=True)
 class LMConfig:
-    #: Classes of the network: "other" and the most frequent words of the corpus; the words of "other" are spelled by
-    #: their bytes. Words on either side; hidden units.
-    vocabulary: int = 128
+    #: Words of the network: this many times the square root of the number of documents, within bounds (a word's row is
+    #: held by the driver and every task). Other words are spelled by their bytes.
+    growth: float = 16.0
+    least_words: int = 127
+    most_words: int = 32767
+    #: Words on either side; hidden units, one of which is constant.
     side: int = 3
-    hidden: int = 24
-    #: One document in so many trains (a hash of the row decides): all.
-    one_in: int = 1
-    docs_per_task: int = 1500
-    rounds: int = 2
-    batch: int = 256
-    rate: float = 0.01
+    hidden: int = 16
+    #: Least documents of a task, of training and of the speller (whose table is larger); share of the documents that
+    #: make the first common network, from which a pass over all then starts.
+    docs_per_task: int = 3000
+    docs_per_speller: int = 12000
+    warm_up: float = 0.25
+    batch: int = 4096
+    rate: float = 0.2
     fan_in: int = 16
     seed: int = 17
     #: Rows of the speller's table: so many a document, a power of two up to the greatest. Buckets of neighbouring
@@ -52,9 +57,10 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return key, np.searchsorted(at, start, side="right") - 1, start, end, buf
 
 
-def corpus_vocabulary(docs: DataFrame, cfg: LMConfig) -> np.ndarray:
-    """The most frequent tokens of all documents, ascending. Tasks count their share first; the counts are summed by
-    token, and only the final few tokens come to the driver."""
+def corpus_vocabulary(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The most frequent ``words`` tokens of all documents, ascending, with their counts, and the count of all others.
+
+    Tasks count their share first; the counts are summed by token, and only the final tokens come to the driver."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = [], []
@@ -76,11 +82,13 @@ def corpus_vocabulary(docs: DataFrame, cfg: LMConfig) -> np.ndarray:
         counts.clear()
         return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], names=["token", "n"])
 
-    top = (
-        docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "token").limit(cfg.vocabulary - 1).collect()
-    )
-    return np.sort(np.array([r["token"] for r in top], dtype=np.int64).view(np.uint64))
+    counted = cut(docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    top = counted.orderBy(F.desc("n"), "token").limit(words).toArrow()
+    drop(counted)
+    token, n = top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(token)
+    return token[order], n[order], int(total - n.sum())
 
 
 def _salted(level: int, context: np.ndarray) -> np.ndarray:
@@ -167,32 +175,91 @@ class Speller:
         return rest
 
 
+def code_lengths_and_paths(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Huffman's tree over the leaves: of every leaf, where its path starts in the flat lists, of inner nodes and of
+    turns (+1, -1). With one leaf there is no node; frequent leaves have short paths."""
+    n = len(counts)
+    heap = [(int(c), i) for i, c in enumerate(counts)]
+    heapq.heapify(heap)
+    up, turn = np.zeros(2 * n - 1, dtype=np.int64), np.zeros(2 * n - 1, dtype=np.float32)
+    for new in range(n, 2 * n - 1):
+        (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
+        up[x] = up[y] = new
+        turn[x], turn[y] = 1, -1
+        heapq.heappush(heap, (a + b, new))
+    start, node, sign = np.zeros(n + 1, dtype=np.int64), [], []
+    for leaf in range(n):
+        at = leaf
+        while at != 2 * n - 2:
+            sign.append(turn[at])
+            at = up[at]
+            node.append(at - n)
+        start[leaf + 1] = len(node)
+    return start, np.array(node, dtype=np.int64), np.array(sign, dtype=np.float32)
+
+
+class WordIds:
+    """Ids of hashed words: 1.. in ascending order of hash, 0 for all others; a few table look-ups a word."""
+
+    def __init__(self, vocabulary: np.ndarray) -> None:
+        self.bits = max(4, (4 * len(vocabulary)).bit_length())
+        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
+        left = np.arange(len(vocabulary))
+        while len(left):  # words whose slot is taken go to the next table
+            slot = self.slot(vocabulary[left], len(self.tables))
+            _, first = np.unique(slot, return_index=True)
+            held, ids = np.zeros(1 << self.bits, dtype=np.uint64), np.zeros(1 << self.bits, dtype=np.int32)
+            held[slot[first]], ids[slot[first]] = vocabulary[left[first]], left[first] + 1
+            self.tables.append((held, ids))
+            left = np.delete(left, first)
+
+    def slot(self, key: np.ndarray, level: int) -> np.ndarray:
+        return (key >> np.uint64(7 * level)) & np.uint64((1 << self.bits) - 1) if level < 6 else mix(key + np.uint64(level)) >> np.uint64(64 - self.bits)
+
+    def __call__(self, key: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(key), dtype=np.int32)
+        for level, (held, ids) in enumerate(self.tables):
+            at = self.slot(key, level)
+            out += np.where((held[at] == key) & (ids[at] > 0), ids[at], 0)
+        return out
+
+
 class WindowNet:
-    """Embeddings of the words on both sides, one table for each place, summed; tanh; softmax over the vocabulary.
+    """Embeddings of the words on both sides, weighed by a gate for each place, summed; tanh; hierarchical softmax.
 
     The word itself is masked: it has no place among the inputs. Ids: 0 other, 1.. the vocabulary; one more, as input
-    only, stands for the places beyond the text.
+    only, stands for the places beyond the text. The output is a Huffman tree over other and the vocabulary: a word's
+    probability is the product of the turns on its path, so all probabilities sum to one at a cost of a path.
+
+    All parameters are rows of one table: inputs, inner nodes, gates, and the hidden bias. The last hidden unit is always
+    1, so the last column of the inner nodes is their bias.
     """
 
-    def __init__(self, vocabulary: np.ndarray, cfg: LMConfig) -> None:
-        rng = np.random.default_rng(cfg.seed)
+    def __init__(self, vocabulary: np.ndarray, counts: np.ndarray, others: int, cfg: LMConfig) -> None:
         self.cfg, self.vocabulary, self.speller = cfg, vocabulary, None
-        v = len(vocabulary) + 1
-        self.params = [
-            rng.normal(0, 0.3, (2 * cfg.side, v + 1, cfg.hidden)).astype(np.float32), np.zeros(cfg.hidden, np.float32),
-            rng.normal(0, 0.1, (cfg.hidden, v)).astype(np.float32), np.zeros(v, np.float32),
-        ]
+        v, h = len(vocabulary), cfg.hidden
+        self.ids = WordIds(vocabulary)
+        self.start, self.node, self.turn = code_lengths_and_paths(np.concatenate(([others], counts)))
+        self.at = np.cumsum([0, v + 2, v, 2 * cfg.side, 1])
+        rng = np.random.default_rng(cfg.seed)
+        self.rows = rng.normal(0, 0.3, (self.at[-1], h)).astype(np.float32)
+        self.rows[self.at[1] : self.at[2]] = 0
+        self.rows[self.at[2] : self.at[3]] = 1 + rng.normal(0, 0.3, (2 * cfg.side, h))
+        self.rows[self.at[3] :] = 0
+
+    def parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Views of the inputs, the inner nodes, the gates and the hidden bias."""
+        at = self.at
+        return self.rows[: at[1]], self.rows[at[1] : at[2]], self.rows[at[2] : at[3]], self.rows[at[3]]
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(token ids, their contexts, the text of each)."""
         return self.encode_words(*token_keys(texts))
 
     def encode_words(self, key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        v = self.vocabulary
-        at = np.minimum(np.searchsorted(v, key), max(len(v) - 1, 0))
-        ids = np.where(v[at] == key, at + 1, 0) if len(v) else np.zeros(len(key), dtype=np.int64)
-        edge, side = len(v) + 1, self.cfg.side
-        context = np.full((len(ids), 2 * side), edge, dtype=np.int16)
+        ids = self.ids(key)
+        edge, side = len(self.vocabulary) + 1, self.cfg.side
+        context = np.full((len(ids), 2 * side), edge, dtype=np.uint16 if edge < 1 << 16 else np.int32)
         for j, o in enumerate([*range(-side, 0), *range(1, side + 1)]):
             a, b = (slice(-o, None), slice(None, o)) if o < 0 else (slice(None, -o), slice(o, None))
             if len(ids) > abs(o):
@@ -215,113 +282,159 @@ class WindowNet:
         return ids, context, doc, rare, (buf, start[rare[at]], end[rare[at]], back, *side)
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        z = self.params[0][0][context[:, 0]]
-        for j in range(1, context.shape[1]):
-            z += self.params[0][j][context[:, j]]
-        return np.tanh(z + self.params[1])
+        words, _, gates, bias = self.parts()
+        z = np.repeat(bias[None, :], len(context), axis=0)
+        for j in range(context.shape[1]):
+            z += words.take(context[:, j], axis=0) * gates[j]
+        np.tanh(z, out=z)
+        z[:, -1] = 1
+        return z
+
+    def paths(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the tokens that have a path: which they are, where each begins in the two lists, nodes and turns."""
+        size = self.start[ids + 1] - self.start[ids]
+        some = np.flatnonzero(size)
+        size = size[some]
+        begin = np.cumsum(size) - size
+        flat = np.repeat(self.start[ids[some]] - begin, size) + np.arange(int(size.sum()))
+        return some, begin, self.node[flat], self.turn[flat]
 
     def log_probabilities(self, ids: np.ndarray, context: np.ndarray, step: int = 4096) -> np.ndarray:
-        out = np.empty(len(ids))
+        out, nodes = np.zeros(len(ids)), self.parts()[1]
         for i in range(0, len(ids), step):
-            s = self.hidden(context[i : i + step]) @ self.params[2] + self.params[3]
-            s -= s.max(axis=1, keepdims=True)
-            out[i : i + step] = s[np.arange(len(s)), ids[i : i + step]] - np.log(np.exp(s).sum(axis=1))
+            some, begin, node, turn = self.paths(ids[i : i + step])
+            if len(some):
+                h = np.repeat(self.hidden(context[i : i + step][some]), np.diff(np.append(begin, len(node))), axis=0)
+                s = np.einsum("ij,ij->i", h, nodes.take(node, axis=0)) * turn
+                out[i + some] = -np.add.reduceat(np.logaddexp(0, -s), begin)
         return out
 
-    def train(self, ids: np.ndarray, context: np.ndarray, seed: int) -> None:
-        """One pass of Adam over the given tokens."""
+    def train(self, ids: np.ndarray, context: np.ndarray, seed: int, squares: np.ndarray, seen: np.ndarray) -> None:
+        """One pass of Adagrad over the given tokens, touching only the rows that a batch uses. squares: what Adagrad
+        has summed; seen: how many tokens have used a row."""
         cfg, order = self.cfg, np.random.default_rng(seed).permutation(len(ids))
-        offset, units = np.arange(context.shape[1]) * self.params[0].shape[1], np.arange(cfg.hidden)
-        first, second, t = [np.zeros_like(p) for p in self.params], [np.zeros_like(p) for p in self.params], 0
+        words, nodes, gates, _ = self.parts()
+        at, places = self.at, context.shape[1]
+
+        def descend(rows: np.ndarray, gradient: np.ndarray, uses: np.ndarray | float) -> None:
+            total = squares.take(rows, axis=0) + gradient * gradient
+            squares[rows] = total
+            self.rows[rows] -= cfg.rate * gradient / np.sqrt(total)
+            seen[rows] += uses
+
+        def summed(key: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            by = np.argsort(key, kind="stable")
+            ordered = key[by]
+            first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+            return ordered[first].astype(np.int64), np.add.reduceat(values.take(by, axis=0), first, axis=0), np.diff(np.append(first, len(key)))
+
+        small = np.uint16 if at[-1] < 1 << 16 else np.int32  # short keys are sorted by radix
         for i in range(0, len(order), cfg.batch):
-            at = order[i : i + cfg.batch]
-            x, y = context[at], ids[at]
+            pick = order[i : i + cfg.batch]
+            some, begin, node, turn = self.paths(ids[pick])
+            if not len(some):
+                continue
+            x = context[pick[some]]
             h = self.hidden(x)
-            s = h @ self.params[2] + self.params[3]
-            s = np.exp(s - s.max(axis=1, keepdims=True))
-            s /= s.sum(axis=1, keepdims=True)
-            s[np.arange(len(y)), y] -= 1
-            s /= len(y)
-            dz = (s @ self.params[2].T) * (1 - h * h)
-            g = np.zeros_like(self.params[0])
-            cells = ((x + offset)[:, :, None] * cfg.hidden + units).ravel()
-            np.add.at(g.reshape(-1), cells, np.repeat(dz[:, None], x.shape[1], 1).ravel())
-            t += 1
-            for p, d, m, v in zip(self.params, [g, dz.sum(axis=0), h.T @ s, s.sum(axis=0)], first, second, strict=True):
-                m += 0.1 * (d - m)
-                v += 0.01 * (d * d - v)
-                p -= cfg.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.params])
-
-    def load(self, flat: np.ndarray) -> None:
-        at = 0
-        for p in self.params:
-            p[...] = flat[at : at + p.size].reshape(p.shape)
-            at += p.size
+            size = np.diff(np.append(begin, len(node)))
+            wide, held = np.repeat(h, size, axis=0), nodes.take(node, axis=0)
+            s = np.einsum("ij,ij->i", wide, held) * turn
+            g = (-turn / (1 + np.exp(np.minimum(s, 60))) / 32)[:, None]
+            held *= g
+            wide *= g
+            dz = np.add.reduceat(held, begin, axis=0) * (1 - h * h)  # nothing for the constant unit
+            rows, gradient, uses = summed(node.astype(small), wide)
+            blocks = np.empty((places, len(x), cfg.hidden), dtype=np.float32)
+            gated = np.empty((places, cfg.hidden), dtype=np.float32)
+            for j in range(places):
+                np.multiply(dz, gates[j], out=blocks[j])
+                gated[j] = np.einsum("ij,ij->j", dz, words.take(x[:, j], axis=0))
+            entered, deeper, often = summed(x.T.reshape(-1), blocks.reshape(-1, cfg.hidden))
+            descend(at[1] + rows, gradient, uses)
+            descend(entered, deeper, often)
+            descend(np.arange(at[2], at[3]), gated / 64, len(x))
+            descend(at[3:4], dz.sum(axis=0)[None, :] / 64, len(x))
 
 
 def train_lm(docs: DataFrame, cfg: LMConfig = LMConfig()) -> WindowNet:
     """Vocabulary, network and speller from all documents; the network by rounds of local passes and averaging.
 
-    The training rows are dealt to tasks of a bounded number of documents. In each round every task starts from the
-    common network, passes over its own rows, and returns its parameters and number of tokens; these are averaged in a
-    tree, so the driver reads at most cfg.fan_in small rows however large the corpus. The speller's counts are summed
-    likewise, down to one table.
+    Every task passes over its part of the input, in batches. A share of the documents makes a first common network,
+    then all tasks start from it and pass over all documents. What tasks return is averaged row by row in a tree, each
+    row by how many tokens used it, so the driver reads at most cfg.fan_in models however large the corpus. The
+    speller's counts are summed likewise, down to one table. Texts aren't shuffled.
+
+    Null texts count as empty; without any word every probability is 1.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("_h"))
-    net = WindowNet(corpus_vocabulary(texts, cfg), cfg)
-    sample = texts.where(F.pmod("_h", F.lit(cfg.one_in)) == 0).select("text")
-    documents = sample.count()
-    tasks = -(-documents // cfg.docs_per_task)
-    if not tasks:
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    documents = texts.count()
+    words = int(min(cfg.most_words, max(cfg.least_words, cfg.growth * documents**0.5)))
+    net = WindowNet(*corpus_vocabulary(texts, words), cfg)
+    if not documents:
         return net
-    dealt = cut(sample.repartition(tasks))
-    schema = "n double, flat binary"
-
-    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = 0.0, None
-        for batch in batches:
-            for weight, flat in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(flat, dtype=np.float32).astype(np.float64) * weight
-                n, total = n + weight, x if total is None else total + x
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(total / n).astype(np.float32).tobytes()])], names=["n", "flat"])
-
-    for r in range(cfg.rounds):
-        shared = spark.sparkContext.broadcast(net)
-
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, n, start = shared.value, 0, shared.value.flat()  # noqa: B023
-            for i, batch in enumerate(batches):
-                texts = bytes_of(batch.column(0))
-                for a, b in groups_of_texts(texts):
-                    ids, context, _ = own.encode(texts[a:b])
-                    own.train(ids, context, cfg.seed + 31 * r + i)  # noqa: B023
-                    n += len(ids)
-            flat = own.flat()
-            own.load(start)  # the worker's copy is shared with later tasks
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([float(n)]), pa.array([flat.tobytes()])], names=["n", "flat"])
-
-        found, parts = dealt.mapInArrow(run, schema), tasks
-        while parts > cfg.fan_in:
-            parts = -(-parts // cfg.fan_in)
-            found = cut(found).coalesce(parts).mapInArrow(merge, schema)
-        rows = found.toArrow().to_pylist()
-        weight = sum(x["n"] for x in rows)
-        if weight:
-            net.load(sum(np.frombuffer(x["flat"], dtype=np.float32).astype(np.float64) * (x["n"] / weight) for x in rows))
-    net.speller = train_speller(dealt, net, documents, tasks)
+    splits = texts.rdd.getNumPartitions()
+    parts = lambda share, each: max(1, min(splits, int(documents * share / each)))
+    if parts(1, cfg.docs_per_task) > 1:
+        train_round(texts.where(F.rand(cfg.seed) < cfg.warm_up), net, 0, parts(cfg.warm_up, cfg.docs_per_task))
+    train_round(texts, net, 1, parts(1, cfg.docs_per_task))
+    net.speller = train_speller(texts, net, documents, parts(1, cfg.docs_per_speller))
+    release(spark)
     return net
 
 
-def train_speller(dealt: DataFrame, net: WindowNet, documents: int, tasks: int) -> Speller:
+def train_round(texts: DataFrame, net: WindowNet, r: int, tasks: int) -> None:
+    """Every task passes over its rows from the common network; net takes the average."""
+    spark, cfg, schema = texts.sparkSession, net.cfg, "flat binary"
+    shared = spark.sparkContext.broadcast(net)
+    shape = net.rows.shape
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, start = shared.value, shared.value.rows.copy()
+        squares, seen = np.full(shape, 1e-3, dtype=np.float32), np.zeros(shape[0], dtype=np.float32)
+        for i, batch in enumerate(batches):
+            texts = bytes_of(batch.column(0))
+            for a, b in groups_of_texts(texts):
+                ids, context, _ = own.encode(texts[a:b])
+                own.train(ids, context, cfg.seed + 31 * r + i, squares, seen)
+        made = np.concatenate([own.rows, seen[:, None]], axis=1)
+        own.rows[...] = start  # the worker's copy is shared with later tasks
+        if seen.any():
+            yield pa.RecordBatch.from_arrays([pa.array([made.tobytes()])], names=["flat"])
+
+    def average(parts: Iterable[np.ndarray]) -> np.ndarray | None:
+        total = None
+        for x in parts:
+            x = x.reshape(shape[0], shape[1] + 1).astype(np.float64)
+            x[:, :-1] *= x[:, -1:]
+            total = x if total is None else total + x
+        if total is not None:
+            total[:, :-1] /= np.maximum(total[:, -1:], 1)
+        return total
+
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = average(np.frombuffer(x.as_buffer(), dtype=np.float32) for batch in batches for x in batch.column(0))
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()])], names=["flat"])
+
+    found, parts, made = texts.coalesce(tasks).mapInArrow(run, schema), tasks, None
+    while parts > cfg.fan_in:
+        parts = -(-parts // cfg.fan_in)
+        last, made = made, cut(found)
+        drop(last)
+        found = made.coalesce(parts).mapInArrow(merge, schema)
+    total = average(np.frombuffer(x["flat"], dtype=np.float32) for x in found.toArrow().to_pylist())
+    drop(made)
+    shared.destroy()
+    if total is not None:
+        used = total[:, -1] > 0
+        net.rows[used] = total[used, :-1]
+
+
+def train_speller(texts: DataFrame, net: WindowNet, documents: int, parts: int) -> Speller:
     """Counts of the bytes of all words outside the vocabulary. A task returns a table as large as the final one."""
-    spark, cfg, wide, schema = dealt.sparkSession, net.cfg, 4, "flat binary"
+    spark, cfg, wide, schema = texts.sparkSession, net.cfg, 4, "flat binary"
     rows = min(cfg.max_rows, 1 << max(10, (cfg.rows_per_doc * documents - 1).bit_length()))
     shared = spark.sparkContext.broadcast(net)
 
@@ -342,13 +455,17 @@ def train_speller(dealt: DataFrame, net: WindowNet, documents: int, tasks: int)
                 total += np.frombuffer(flat.as_buffer(), dtype=np.float32)
         yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()])], names=["flat"])
 
-    parts = -(-tasks // 8)
-    found = dealt.coalesce(parts).mapInArrow(run, schema)
+    found = texts.coalesce(parts).mapInArrow(run, schema)
+    made = None
     while parts > 1:
         parts = -(-parts // wide)
-        found = cut(found).coalesce(parts).mapInArrow(merge, schema)
+        last, made = made, cut(found)
+        drop(last)
+        found = made.coalesce(parts).mapInArrow(merge, schema)
     speller = Speller(rows, cfg)
     speller.load(sum(np.frombuffer(x["flat"], dtype=np.float32).astype(np.float64) for x in found.toArrow().to_pylist()))
+    drop(made)
+    shared.destroy()
     return speller
 
 

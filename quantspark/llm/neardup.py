@@ -225,7 +225,7 @@ def _links_in_tiles(left: DataFrame, texts: DataFrame, cfg: NearDupConfig) -> Da
     counts = left.groupBy("bucket").agg(
         F.ceil(F.count_if(F.expr("component <> main")) / cfg.tile).cast("int").alias("rows"), F.ceil(F.count("*") / cfg.tile).cast("int").alias("cols")
     ).where("rows > 0")
-    sides = left.join(counts, "bucket")
+    sides = left.join(counts.hint("merge"), "bucket")  # a join that adaptive execution can split, as one bucket may hold most
     row, col = F.pmod(F.xxhash64("node"), F.col("rows")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("cols")).cast("int")
     tiles = (
         sides.where("component <> main").select("bucket", "node", "component", row.alias("r"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c"), F.lit(True).alias("ask"))

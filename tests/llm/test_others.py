@@ -272,7 +272,7 @@ def test_pseudo_likelihood_prefers_the_corpus(spark):
     pairs = [("the", "cat"), ("a", "dog"), ("my", "fox")]
     text = lambda: " ".join(" ".join(rng.choice(pairs)) for _ in range(60))
     df = docs(spark, [text() for _ in range(100)])
-    net = lm.train_lm(df, lm.LMConfig(one_in=1, vocabulary=8, batch=64))
+    net = lm.train_lm(df, lm.LMConfig(most_words=7, batch=64))
     good = text()
     bad = good.split()
     rng.shuffle(bad)
@@ -285,7 +285,7 @@ def test_pseudo_likelihood_prefers_the_corpus(spark):
 
 
 def test_context_never_holds_the_word_itself():
-    net = lm.WindowNet(np.sort(np.unique(lm.token_keys([b"a b c d"])[0])), lm.LMConfig())
+    net = lm.WindowNet(np.sort(np.unique(lm.token_keys([b"a b c d"])[0])), np.ones(4), 1, lm.LMConfig())
     ids, context, _ = net.encode([b"a b c d", b"d"])
     edge = 5
     assert context[0].tolist() == [edge] * 3 + ids[1:4].tolist() and context[4].tolist() == [edge] * 6
@@ -295,7 +295,7 @@ def test_words_outside_the_vocabulary_are_told_apart(spark):
     rng = random.Random(13)
     rare = ["".join(rng.choice("abcdefgh") for _ in range(6)) + end for end in ("tion", "ment", "ness") for _ in range(40)]
     text = lambda: " ".join(x for _ in range(40) for x in ("the", rng.choice(rare)))
-    net = lm.train_lm(docs(spark, [text() for _ in range(60)]), lm.LMConfig(vocabulary=2, batch=64))
+    net = lm.train_lm(docs(spark, [text() for _ in range(60)]), lm.LMConfig(most_words=1, batch=64))
     real = " ".join(f"the {w}" for w in rare[:20])
     invented = " ".join("the " + "".join(rng.choice("ijklmnopqrstuvwxyz") for _ in range(6)) + w[6:] for w in rare[:20])
     unigram = real.replace("the ", "")
@@ -305,7 +305,7 @@ def test_words_outside_the_vocabulary_are_told_apart(spark):
 
 def test_spelling_is_a_distribution():
     cfg = lm.LMConfig()
-    net = lm.WindowNet(np.sort(lm.token_keys([b"the"])[0]), cfg)
+    net = lm.WindowNet(np.sort(lm.token_keys([b"the"])[0]), np.ones(1), 5, cfg)
     speller = lm.Speller(1 << 10, cfg)
     speller.count(net.read([b"the xyz abc the abd abc"])[-1])
     speller.load(speller.counts)
@@ -321,9 +321,50 @@ def test_spelling_is_a_distribution():
     assert (q[0] * q[1]).sum() == pytest.approx(1)
 
 
+def test_tree_is_a_distribution_and_word_ids_are_exact():
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, 1 << 63, 900).astype(np.uint64))
+    net = lm.WindowNet(keys, rng.integers(1, 1000, len(keys)), 5000, lm.LMConfig())
+    net.rows[...] = rng.normal(size=net.rows.shape)
+    assert (net.ids(keys) == np.arange(1, len(keys) + 1)).all() and not net.ids(keys + np.uint64(1))[~np.isin(keys + np.uint64(1), keys)].any()
+    context = np.repeat(rng.integers(0, len(keys) + 2, (1, 6)), len(keys) + 1, axis=0)
+    assert np.exp(net.log_probabilities(np.arange(len(keys) + 1), context)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_scores_equal_a_slow_version(spark):
+    """Token by token, from the parameters alone."""
+    rng = random.Random(14)
+    words = ["the", "cat", "Sat", "on", "a", "mat"] + [f"r{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 25))) for _ in range(40)] + [None, " ", "a  a\na", "the " * 3000]
+    df = docs(spark, texts).withColumn("pll", F.lit("clash"))
+    net = lm.train_lm(df, lm.LMConfig(most_words=6))
+    got = {r.doc_id: r for r in lm.score_lm(df.unionAll(df.limit(1)), net).collect()}
+    inputs, nodes, gates, bias = (x.astype(float) for x in net.parts())
+    place = {int(k): i + 1 for i, k in enumerate(net.vocabulary)}
+    for d, text in enumerate(texts[:43]):
+        keys = [int(lm.token_keys([w.encode()])[0][0]) for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+        ids, total = [place.get(k, 0) for k in keys], 0.0
+        for i, own in enumerate(ids):
+            z = bias.copy()
+            for j, o in enumerate((-3, -2, -1, 1, 2, 3)):
+                z += gates[j] * inputs[ids[i + o] if 0 <= i + o < len(ids) else len(place) + 1]
+            h = np.append(np.tanh(z)[:-1], 1)
+            for n, t in zip(net.node[net.start[own] : net.start[own + 1]], net.turn[net.start[own] : net.start[own + 1]], strict=True):
+                total -= np.log1p(np.exp(-t * (nodes[n] @ h)))
+            if own == 0:
+                word = re.findall(r"[^\x20\x09-\x0D]+", text)[i].encode()
+                side = [np.array([keys[i + o] if 0 <= i + o < len(keys) else 0], dtype=np.uint64) for o in (-1, 1)]
+                buf = np.frombuffer(word + b" ", dtype=np.uint8)
+                total += net.speller.log_probabilities((buf, np.array([0]), np.array([len(word)]), np.array([0]), *side))[0]
+        assert got[d].n_tokens == len(keys) and got[d].pll == pytest.approx(total, rel=1e-4, abs=1e-4)
+    assert got[43].n_tokens == 3000 and lm.score_lm(df.limit(0), net).count() == 0
+    empty = lm.train_lm(df.limit(0))
+    assert lm.score_lm(docs(spark, ["a b"]), empty).first().pll == 0
+
+
 def test_every_document_trains(spark):
     df = docs(spark, [f"a b w{i}" for i in range(64)])
-    net = lm.train_lm(df, lm.LMConfig(vocabulary=3))
+    net = lm.train_lm(df, lm.LMConfig(most_words=2))
     first = net.speller.cells(lm._salted(4, lm.token_keys([b"b"])[0] % np.uint64(net.cfg.buckets)), np.array([ord("w")], dtype=np.uint8))[0]
     assert net.speller.counts[first[0]] == 64
 
