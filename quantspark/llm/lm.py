@@ -26,7 +26,7 @@ class LMConfig:
     #: make the first common network, from which a pass over all then starts.
     docs_per_task: int = 3000
     docs_per_speller: int = 12000
-    warm_up: float = 0.25
+    warm_up: float = 0.1
     batch: int = 4096
     rate: float = 0.2
     fan_in: int = 16
@@ -92,7 +92,7 @@ def corpus_vocabulary(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _salted(level: int, context: np.ndarray) -> np.ndarray:
-    return mix(context.astype(np.uint64) * _ODD + np.uint64(level))
+    return mix(context.astype(np.uint64, copy=False) * _ODD + np.uint64(level))
 
 
 class Speller:
@@ -118,7 +118,11 @@ class Speller:
         half, high = self.rows // 2, symbol >> np.uint8(4)
         out = []
         for h, nibble in ((context, high), (mix(context + high.astype(np.uint64) + np.uint64(1)), symbol & np.uint8(15))):
-            out.append((((h & np.uint64(half - 1)).astype(np.int64) + half * upper) << 4) + nibble)
+            cell = (h & np.uint64(half - 1)).view(np.int64)
+            cell += half * upper
+            cell <<= 4
+            cell += nibble
+            out.append(cell)
         return out
 
     def letters(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
@@ -133,7 +137,11 @@ class Speller:
         total = np.zeros(len(symbol) + 1, dtype=np.uint64)
         np.cumsum(_WORDS.value[symbol] * _WORDS.power[: len(symbol)], dtype=np.uint64, out=total[1:])
         begun = (total[:-1] - total[first][word]) * _WORDS.back[first][word]
-        before = [np.where(place >= k, np.concatenate((np.zeros(k, np.uint8), symbol[:-k])), 0)[: len(symbol)].astype(np.uint64) for k in (1, 2, 3)]
+        before, last = [], symbol
+        for _ in range(3):  # the symbol before, the one before that, and one more; 0 beyond the word's beginning
+            last = np.concatenate((last[:1], last[:-1]))
+            last[first] = 0
+            before.append(last.astype(np.uint64))
         near = before[0] | (before[1] << np.uint64(8)) | (before[2] << np.uint64(16))
         levels = [self.cells(_salted(1, before[0]), symbol), self.cells(_salted(2, near), symbol), self.cells(_salted(3, begun), symbol, True)]
         return symbol, word, levels
@@ -165,7 +173,7 @@ class Speller:
         for level in levels:
             p = [self.after(cell, q) for cell, q in zip(level, p, strict=True)]
         first = np.searchsorted(word, np.arange(len(start)))
-        own = np.log(p[0]) + np.log(p[1])
+        own = np.log(p[0] * p[1])
         own[first] = 0  # the first byte depends on the words beside it
         rest = np.bincount(word, weights=own, minlength=len(start))[back]
         sides = self.beside(left, right, symbol[first][back])
@@ -290,23 +298,28 @@ class WindowNet:
         z[:, -1] = 1
         return z
 
-    def paths(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the tokens that have a path: which they are, where each begins in the two lists, nodes and turns."""
+    def descents(self, ids: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """The tokens by falling length of their paths; and of each step down the tree the nodes and turns of the tokens
+        that go so far, which are the first ones of that order."""
         size = self.start[ids + 1] - self.start[ids]
-        some = np.flatnonzero(size)
-        size = size[some]
-        begin = np.cumsum(size) - size
-        flat = np.repeat(self.start[ids[some]] - begin, size) + np.arange(int(size.sum()))
-        return some, begin, self.node[flat], self.turn[flat]
+        by = np.argsort((255 - np.minimum(size, 255)).astype(np.uint8), kind="stable")
+        begin, deep = self.start.take(ids.take(by)), size.take(by)
+        left = len(ids) - np.cumsum(np.bincount(size))  # tokens with longer paths than 0, 1, ...
+        if len(left) > 256:  # more turns than the short keys tell apart
+            by = by.take(np.argsort(-deep, kind="stable"))
+            begin = self.start.take(ids.take(by))
+        return by, [(self.node.take(begin[:n] + d), self.turn.take(begin[:n] + d)) for d, n in enumerate(left[:-1])]
 
     def log_probabilities(self, ids: np.ndarray, context: np.ndarray, step: int = 4096) -> np.ndarray:
         out, nodes = np.zeros(len(ids)), self.parts()[1]
         for i in range(0, len(ids), step):
-            some, begin, node, turn = self.paths(ids[i : i + step])
-            if len(some):
-                h = np.repeat(self.hidden(context[i : i + step][some]), np.diff(np.append(begin, len(node))), axis=0)
-                s = np.einsum("ij,ij->i", h, nodes.take(node, axis=0)) * turn
-                out[i + some] = -np.add.reduceat(np.logaddexp(0, -s), begin)
+            by, steps = self.descents(ids[i : i + step])
+            h, total = self.hidden(context[i : i + step].take(by, axis=0)), np.zeros(len(by))
+            for node, turn in steps:
+                n = len(node)
+                s = np.einsum("ij,ij->i", h[:n], nodes.take(node, axis=0)) * turn
+                total[:n] -= np.log1p(np.exp(np.minimum(-s, 60)))
+            out[i + by] = total
         return out
 
     def train(self, ids: np.ndarray, context: np.ndarray, seed: int, squares: np.ndarray, seen: np.ndarray) -> None:
@@ -331,19 +344,24 @@ class WindowNet:
         small = np.uint16 if at[-1] < 1 << 16 else np.int32  # short keys are sorted by radix
         for i in range(0, len(order), cfg.batch):
             pick = order[i : i + cfg.batch]
-            some, begin, node, turn = self.paths(ids[pick])
-            if not len(some):
+            by, steps = self.descents(ids[pick])
+            if not steps:
                 continue
-            x = context[pick[some]]
+            x = context.take(pick.take(by), axis=0)
             h = self.hidden(x)
-            size = np.diff(np.append(begin, len(node)))
-            wide, held = np.repeat(h, size, axis=0), nodes.take(node, axis=0)
-            s = np.einsum("ij,ij->i", wide, held) * turn
-            g = (-turn / (1 + np.exp(np.minimum(s, 60))) / 32)[:, None]
-            held *= g
-            wide *= g
-            dz = np.add.reduceat(held, begin, axis=0) * (1 - h * h)  # nothing for the constant unit
-            rows, gradient, uses = summed(node.astype(small), wide)
+            back, moved = np.zeros_like(h), np.empty((sum(len(n) for n, _ in steps), cfg.hidden), dtype=np.float32)
+            done = 0
+            for node, turn in steps:
+                n = len(node)
+                held = nodes.take(node, axis=0)
+                s = np.einsum("ij,ij->i", h[:n], held) * turn
+                g = (-turn / (1 + np.exp(np.minimum(s, 60))) / 32)[:, None]
+                held *= g
+                back[:n] += held
+                np.multiply(h[:n], g, out=moved[done : done + n])
+                done += n
+            dz = back * (1 - h * h)  # nothing for the constant unit
+            rows, gradient, uses = summed(np.concatenate([n for n, _ in steps]).astype(small), moved)
             blocks = np.empty((places, len(x), cfg.hidden), dtype=np.float32)
             gated = np.empty((places, cfg.hidden), dtype=np.float32)
             for j in range(places):
@@ -395,7 +413,7 @@ def train_round(texts: DataFrame, net: WindowNet, r: int, tasks: int) -> None:
         squares, seen = np.full(shape, 1e-3, dtype=np.float32), np.zeros(shape[0], dtype=np.float32)
         for i, batch in enumerate(batches):
             texts = bytes_of(batch.column(0))
-            for a, b in groups_of_texts(texts):
+            for a, b in groups_of_texts(texts, 1 << 20):
                 ids, context, _ = own.encode(texts[a:b])
                 own.train(ids, context, cfg.seed + 31 * r + i, squares, seen)
         made = np.concatenate([own.rows, seen[:, None]], axis=1)
