@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantspark.llm.common import cut
+from quantspark.llm.common import cut, fresh
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -18,9 +18,9 @@ class MixConfig:
     weights: tuple[float, ...] = (5.0, 2.0, 1.0)
     #: No source, and no document, gives more than this many times its size.
     max_repeats: int = 3
-    #: Slices of the sampling order. Each source's order is summed slice by slice, so that a source with a third of
-    #: all rows is dealt over all tasks.
-    slices: int = 4096
+    #: Slices of the sampling order in each unit of the logarithm of the rank. Each source's order is summed slice by
+    #: slice, so that a source with a third of all rows is dealt over all tasks.
+    slices: int = 256
 
 
 def word_count(text) -> F.Column:
@@ -68,76 +68,99 @@ def _draw(doc_id) -> F.Column:
     return unit_draw(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
 
 
-def _planned(docs: DataFrame, cfg: MixConfig) -> DataFrame:
-    """mix_sources() with the certain copies (_whole) and the draw (_u)."""
-    # Three consumers follow; the sizes are kept, so that the texts are read once.
-    base = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    targets = source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), cfg)
-    plan = (
-        targets.withColumn("_ratio", F.col("target") / F.expr("nullif(source_size, 0)"))
-        .withColumn("_whole", F.coalesce(F.floor("_ratio"), F.lit(0)).cast("long"))
-        .withColumn("_left", F.col("target") - F.col("_whole") * F.col("source_size"))
-        .withColumn("_pi", F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.col("_ratio") - F.col("_whole"))))
-    )
-    drawn = base.withColumn("_u", _draw("doc_id")).withColumn(
-        "_slice", F.floor(F.col("_u") * cfg.slices)
+def _odds(u, size, scale) -> F.Column:
+    """Pareto rank of a document: random odds over the odds of its inclusion, scale * size. None with no chance of it."""
+    pi = scale * size
+    return F.when((pi > 0) & (pi < 1), (u / (1 - u)) / (pi / (1 - pi)))
+
+
+def inclusion_scales(sizes: DataFrame, plan: DataFrame) -> DataFrame:
+    """+ scale, certain: documents are included with probability scale * size, those that reach 1 for certain, such that
+    the expected words are the target left; certain: the words of the latter.
+
+    sizes: source, size, n (documents of that size); plan: one row a source with the words left. The largest size whose
+    probability, if all larger ones are certain, is at most 1 gives the scale. One row a source and size.
+    """
+    down = Window.partitionBy("source").orderBy(F.desc("size"))
+    words = F.sum(F.col("size") * F.col("n")).over(down) - F.col("size") * F.col("n")
+    squares = F.sum((F.col("size") * F.col("size") * F.col("n")).cast("double")).over(down.rowsBetween(0, Window.unboundedFollowing))
+    by = plan.select(F.col("source").alias("of"), "left")
+    tried = (
+        sizes.where("size > 0").withColumn("larger", words).withColumn("squares", squares)
+        .join(by, F.col("source").eqNullSafe(F.col("of"))).withColumn("scale", (F.col("left") - F.col("larger")) / F.col("squares"))
     )
-    # The order of the ranks is that of the draws within a source, so slices of draws are slices of ranks.
-    slices = drawn.groupBy("source", "_slice").agg(F.sum("size").alias("_sum"))
-    upto = Window.partitionBy("source").orderBy("_slice")
-    begun = slices.withColumn("_begin", F.sum("_sum").over(upto) - F.col("_sum"))
-    p = plan.select(F.col("source").alias("_source"), "source_size", "target", "_whole", "_left", "_pi")
-    begun = begun.join(p, F.col("source").eqNullSafe(F.col("_source"))).drop("_sum", "_source")
-    begun = begun.withColumnsRenamed({"source": "_source", "_slice": "_s"})
-    odds = (F.col("_u") / (1 - F.col("_u"))) / (F.col("_pi") / (1 - F.col("_pi")))
-    rank = Window.partitionBy("source", "_slice").orderBy("_rank", "doc_id", "size").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    open_ = F.max(F.when(F.col("scale") * F.col("size") <= 1, F.struct("size", "scale")))
+    scales = tried.groupBy("of").agg(open_.alias("o")).select("of", F.greatest(F.col("o.scale"), F.lit(0.0)).alias("scale"))
+    sure = sizes.join(scales, F.col("source").eqNullSafe(F.col("of"))).groupBy("of").agg(
+        F.first("scale").alias("scale"), F.sum(F.when(F.col("scale") * F.col("size") >= 1, F.col("size") * F.col("n")).otherwise(0)).alias("certain")
     )
-    return (
-        drawn.join(begun, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_slice") == F.col("_s")))
-        .withColumn("_rank", odds)
-        .withColumn("_upto", F.col("_begin") + F.sum("size").over(rank))
-        .withColumn("_more", F.when(F.col("_upto") - F.col("size") / 2 <= F.col("_left"), 1).otherwise(0))
-        .withColumn("copies", F.least(F.col("_whole") + F.col("_more"), F.lit(cfg.max_repeats)).cast("int"))
-        .select(
-            "doc_id", "source", "size", "source_size", "target", "copies",
-            (F.col("size") * F.col("copies")).alias("taken"), "_whole", "_u",
-        )
+    return plan.join(sure, F.col("source").eqNullSafe(F.col("of")), "left").drop("of").withColumns(
+        {"scale": F.coalesce("scale", F.lit(0.0)), "certain": F.coalesce("certain", F.lit(0))}
     )
 
 
+def _planned(docs: DataFrame, cfg: MixConfig) -> tuple[DataFrame, DataFrame]:
+    """mix_sources() with the Pareto rank (rank, null where it doesn't decide), and one row a source with its plan."""
+    # Several readers follow; the sizes are kept, so that the texts are read once.
+    base = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    sizes = base.groupBy("source", "size").agg(F.count("*").alias("n"))
+    targets = source_targets(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), cfg)
+    whole = F.coalesce(F.floor(F.col("target") / F.expr("nullif(source_size, 0)")), F.lit(0)).cast("long")
+    plan = targets.withColumn("whole", whole).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
+    plan = cut(inclusion_scales(sizes, plan))
+    by = plan.withColumnRenamed("source", "of")
+    drawn = base.join(by, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("rank", _odds(_draw("doc_id"), F.col("size"), F.col("scale")))
+    # Slices of the logarithm of the rank, so that a source is summed slice by slice over all tasks.
+    drawn = drawn.withColumn("slice", F.floor(F.ln("rank") * cfg.slices))
+    slices = drawn.where("rank is not null").groupBy("source", "slice").agg(F.sum("size").alias("words"))
+    upto = Window.partitionBy("source").orderBy("slice")
+    begun = slices.select(F.col("source").alias("of"), F.col("slice").alias("s"), (F.sum("words").over(upto) - F.col("words")).alias("begin"))
+    order = Window.partitionBy("source", "slice").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = drawn.where("rank is not null").join(begun, F.col("source").eqNullSafe(F.col("of")) & (F.col("slice") == F.col("s")))
+    last = F.col("begin") + F.sum("size").over(order) - F.col("size") / 2
+    ranked = ranked.withColumn("more", (last <= F.col("left") - F.col("certain")).cast("int")).drop("of", "s", "begin")
+    sure = drawn.where("rank is null").withColumn("more", ((F.col("scale") > 0) & (F.col("scale") * F.col("size") >= 1)).cast("int"))
+    mixed = ranked.unionByName(sure).withColumn("copies", F.least(F.col("whole") + F.col("more"), F.lit(cfg.max_repeats)).cast("int"))
+    return mixed.withColumn("taken", F.col("size") * F.col("copies")), plan
+
+
 def mix_sources(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
     """How many words of every document the mix takes: doc_id, source, size, source_size, target, copies, taken.
 
     Every document first gets the certain copies, floor(target / source size). The rest of the target is drawn as one
-    more copy by Pareto order sampling: documents are ranked by the odds of a fixed random number over the odds of
-    their inclusion (target left / source size: unequal between sources), and taken in that order while the middle of
-    the document still lies within what is left. The sample thus has a fixed size in words, to half a document.
+    more copy by Pareto order sampling with inclusion probabilities in proportion to size: documents whose probability
+    reaches 1 are taken; the others are ranked by the odds of a fixed random number over the odds of their inclusion,
+    and taken in that order while the middle of the document still lies within what is left. The sample thus has a
+    fixed size in words, to half a document.
 
     Null text counts 0 words and takes none; null sources form one source, last in order; a null doc_id draws as the
     empty string; repeated rows draw alike and are ranked next to each other; an empty table gives no rows. Other
     columns of ``docs`` are not read.
     """
-    return _planned(docs, cfg).drop("_whole", "_u")
+    return _planned(docs, cfg)[0].select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
 def mix_rows(docs: DataFrame, cfg: MixConfig = MixConfig(), broadcast_sources: int = 20_000) -> DataFrame:
     """``docs`` with copies (int), as mix_sources() takes them.
 
-    What a source's order statistic takes is a prefix of the order, so one row a source (its certain copies and the
-    last document of the prefix) decides for whole rows without moving them. Rows that tie with the last one count
-    as taken. The table of sources is broadcast only up to ``broadcast_sources`` rows.
+    What a source's order takes is a prefix of it, so one row a source (its plan and the last document of the prefix)
+    decides for whole rows without moving them. Rows that tie with the last one count as taken. The table of sources
+    is broadcast only up to ``broadcast_sources`` rows. A column ``copies`` of the documents is replaced.
     """
-    planned = _planned(docs, cfg)
-    edges = cut(planned.groupBy("source").agg(
-        F.first("_whole").alias("_whole"),
-        F.max(F.when(F.col("copies") > F.col("_whole"), F.struct("_u", "doc_id", "size"))).alias("_edge"),
-    ).withColumnRenamed("source", "_source"))
+    docs = docs.drop("copies")
+    planned, plan = _planned(docs, cfg)
+    of, edge, whole, scale = fresh(docs, "of", "edge", "whole", "scale")
+    last = planned.groupBy("source").agg(F.max(F.when(F.col("more") == 1, F.struct("rank", "doc_id", "size"))).alias(edge))
+    last = last.withColumnRenamed("source", "s").join(plan, F.col("s").eqNullSafe(F.col("source")))
+    edges = cut(last.select(F.col("source").alias(of), edge, F.col("whole").alias(whole), F.col("scale").alias(scale)))
     few = F.broadcast(edges) if edges.count() <= broadcast_sources else edges
-    own = F.struct(_draw("doc_id").alias("_u"), F.col("doc_id"), word_count(F.col("text")).alias("size"))
-    taken = F.coalesce((own <= F.col("_edge")).cast("int"), F.lit(0))
+    size = word_count(F.col("text"))
+    rank = _odds(_draw("doc_id"), size, F.col(scale))
+    own = F.struct(rank.alias("rank"), F.col("doc_id"), size.alias("size"))
+    sure = (F.col(scale) > 0) & (F.col(scale) * size >= 1)
+    taken = F.when(rank.isNull(), sure).otherwise(F.coalesce(own <= F.col(edge), F.lit(False))).cast("int")
     return (
-        docs.join(few, F.col("source").eqNullSafe(F.col("_source")))
-        .withColumn("copies", F.least(F.col("_whole") + taken, F.lit(cfg.max_repeats)).cast("int"))
-        .drop("_source", "_whole", "_edge")
+        docs.join(few, F.col("source").eqNullSafe(F.col(of)))
+        .withColumn("copies", F.least(F.col(whole) + taken, F.lit(cfg.max_repeats)).cast("int"))
+        .drop(of, edge, whole, scale)
     )

@@ -49,13 +49,28 @@ plan AS (
 drawn AS (
   SELECT *, (CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5)
             / 4503599627370496.0 AS u FROM base),
-picked AS (
+tried AS (
+  SELECT h.source, h.size, (p.target - p.whole * p.source_size - (sum(h.size * h.n) OVER down - h.size * h.n))
+         / sum(CAST(h.size * h.size * h.n AS DOUBLE)) OVER (PARTITION BY h.source ORDER BY h.size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS scale
+  FROM (SELECT source, size, count(*) AS n FROM base WHERE size > 0 GROUP BY source, size) h
+  JOIN plan p ON h.source IS NOT DISTINCT FROM p.source
+  WINDOW down AS (PARTITION BY h.source ORDER BY h.size DESC)),
+scales AS (SELECT source, greatest(arg_max(scale, size), 0.0) AS scale FROM tried WHERE scale * size <= 1 GROUP BY source),
+odds AS (
   SELECT d.doc_id, d.source, d.size, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS rest,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.doc_id, d.size
-                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
-  FROM drawn d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source),
+         coalesce(s.scale, 0.0) AS scale, d.u / (1 - d.u) AS random_odds, coalesce(s.scale, 0.0) * d.size AS pi
+  FROM drawn d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN scales s ON d.source IS NOT DISTINCT FROM s.source),
+ranked_docs AS (
+  SELECT *, pi >= 1 AS certain, CASE WHEN pi > 0 AND pi < 1 THEN random_odds / (pi / (1 - pi)) END AS pareto,
+         coalesce(sum(CASE WHEN pi >= 1 THEN size END) OVER (PARTITION BY source), 0) AS certain_words
+  FROM odds),
+picked AS (
+  SELECT *, sum(CASE WHEN pareto IS NOT NULL THEN size ELSE 0 END)
+            OVER (PARTITION BY source ORDER BY pareto ASC NULLS LAST, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM ranked_docs),
 copied AS (
-  SELECT *, CAST(least(whole + CASE WHEN upto - size / 2.0 <= rest THEN 1 ELSE 0 END, 3) AS INT) AS copies FROM picked)
+  SELECT *, CAST(least(whole + CASE WHEN certain THEN 1 WHEN pareto IS NOT NULL AND upto - size / 2.0 <= rest - certain_words THEN 1 ELSE 0 END, 3)
+                 AS INT) AS copies FROM picked)
 SELECT doc_id, size, source_size, target, size * copies AS taken, source, copies FROM copied
 """
 
