@@ -126,16 +126,19 @@ class ByteConvNet:
 def train_language(docs: DataFrame, cfg: LanguageConfig = LanguageConfig()) -> ByteConvNet:
     """Fit on (text, lang) of rows with a language and an id whose remainder mod 3 is not 1.
 
-    The sample is chosen on ids and languages alone, at most cfg.docs_per_language of each (a limit within each
-    language, applied before the shuffle too), and broadcast; the windows of it, of a bounded number and size, come to
-    the driver.
+    The sample is chosen on ids and languages alone, at most cfg.docs_per_language of each, and broadcast; the windows
+    of it, at most cfg.windows_per_doc of a document, spread over the whole text, come to the driver. Rows that repeat
+    count once; null texts teach nothing.
     """
     small_batches(docs.sparkSession)
     known = docs.where("lang is not null and doc_id is not null").where(remainder("doc_id", 3) != 1)
+    # A threshold of the hash that about twice as many ids pass, from the counts, so that no task ranks a whole language.
+    # One row a language, and the network has a column for each.
+    counts = known.groupBy("lang").agg((F.lit(2.0 * cfg.docs_per_language + 64) / F.count("*")).alias("share"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     few = (
-        known.select("doc_id", "lang").withColumn("_r", rank).where(f"_r <= {cfg.docs_per_language}")
-        .select("doc_id", "lang").distinct()
+        known.select("doc_id", "lang").join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+        .select("doc_id", "lang").distinct().withColumn("_r", rank).where(f"_r <= {cfg.docs_per_language}").select("doc_id", "lang")
     )
     sample = known.select("doc_id", "lang", "text").join(F.broadcast(few), ["doc_id", "lang"]).select("doc_id", "lang", "text")
 
@@ -165,7 +168,8 @@ def predict_language(docs: DataFrame, net: ByteConvNet) -> DataFrame:
     """(doc_id, lang_pred, score), from all windows of the whole text and nothing else.
 
     The log-probabilities of the windows are averaged (weighed by their bytes), the largest language wins, score is
-    its share. Null texts, texts without a letter, and all texts if nothing was learned: `und`, score 0.
+    its share. Null texts, texts without a letter, and all texts if nothing was learned: `und`, score 0. Very long texts
+    are read window by window; repeated rows repeat; an empty table gives no rows; other columns aren't read.
     """
     spark = docs.sparkSession
     small_batches(spark)
