@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantspark.llm.common import ascii_lower, cut
+from quantspark.llm.common import ascii_lower, cut, fresh
 
 #: Words for comparison: maximal runs of ASCII letters, digits and non-ASCII characters, A-Z folded; so marks,
 #: quotes and line breaks around a passage don't hide it.
@@ -100,7 +100,7 @@ def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", cfg:
     hits = stream(words, HASHED, "h").join(_small(sketches, cfg), ["k", "h"])
     candidates = cut(hits.select("_key", "item_id").distinct())
     named = candidates.select(F.col("_key").alias("_c")).distinct()
-    held = docs.join(_small(named, cfg), F.col(key).eqNullSafe(F.col("_c")), "left_semi")
+    held = docs.select(key, "text").join(_small(named, cfg), F.col(key).eqNullSafe(F.col("_c")), "left_semi")
     found = stream(held.select(F.col(key).alias("_key"), words_of(F.col("text")).alias("_w")), "concat_ws(' ', {})", "shingle")
     counted = (
         found.join(_small(shingles, cfg), ["k", "shingle"])
@@ -124,6 +124,8 @@ def _small(df: DataFrame, cfg: ContainmentConfig) -> DataFrame:
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", cfg: ContainmentConfig = ContainmentConfig()) -> DataFrame:
-    """The documents that hold no benchmark item."""
-    found = cut(contained_items(docs, items, key, cfg).select(F.col(key).alias("_found")).distinct())
-    return docs.join(_small(found, cfg), F.col(key).eqNullSafe(F.col("_found")), "left_anti")
+    """The documents that hold no benchmark item, with all their columns; see contained_items(). Rows that share a
+    ``key`` with one that holds an item go with it."""
+    (name,) = fresh(docs, "found")
+    found = cut(contained_items(docs, items, key, cfg).select(F.col(key).alias(name)).distinct())
+    return docs.join(_small(found, cfg), F.col(key).eqNullSafe(F.col(name)), "left_anti")

@@ -185,7 +185,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, cfg: QualityConfig = Quali
     # Repeated documents repeat in the sample, each id at most so often as the bound allows.
     got = (
         sample.mapInArrow(run, f"doc_id {kinds['doc_id']}, label {kinds['label']}, x binary")
-        .dropDuplicates(["doc_id", "x"]).limit(2 * cfg.rows_per_class).toArrow().to_pydict()
+        .dropDuplicates(["doc_id", "x"]).orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(2 * cfg.rows_per_class).toArrow().to_pydict()
     )
     order = sorted(range(len(got["doc_id"])), key=lambda i: (hash_order(got["doc_id"][i]), got["x"][i]))
     rows = [np.frombuffer(got["x"][i], dtype=np.uint32).astype(np.int64) for i in order]
@@ -203,7 +203,8 @@ def hash_order(key) -> int:
 def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
     """``docs`` with score (double) and predicted (1 if score reaches the threshold), from the whole text alone.
 
-    Null text scores as empty text: the model's constant. Other columns pass through.
+    Null text scores as empty text: the model's constant. Very long texts count whole; repeated rows score alike; an
+    empty table gives no rows. Other columns pass through, but score and predicted are replaced.
     """
     spark = docs.sparkSession
     small_batches(spark)

@@ -152,13 +152,16 @@ def secret_spans(docs: DataFrame, cfg: SecretConfig = SecretConfig()) -> DataFra
 
     Base kinds: the fixed patterns. Kind `random`: runs that mix digits and letters, touch no base span, and for which
     the tests of uniformity, runs and serial correlation cannot reject random characters at the false-discovery
-    rate of their class of lengths. Null text counts as empty and gives no spans; the other columns pass unread.
-    Positions are code points, ends exclusive.
+    rate of their class of lengths. Null text counts as empty and gives no spans; very long texts are scanned whole;
+    repeated rows repeat; an empty table gives no rows; the other columns pass unread, but spans is replaced. Positions
+    are code points, ends exclusive.
     """
     limits = randomness_limits(docs, cfg)
+    docs = docs.drop("spans")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")  # no name can clash
     limit = "case x.cls " + " ".join(f"when {c} then {p!r}D" for c, p in sorted(limits.items())) + " else 0D end" if limits else "0D"
     tag = lambda col, k: f"transform({col}, x -> named_struct('start', x.start, 'k', {k}, 'end', x.end))"
-    found = _with_tests(_with_base(docs), cfg).withColumn(
+    found = _with_tests(_with_base(packed), cfg).withColumn(
         "_all",
         F.expr(
             "array_sort(concat("
@@ -169,7 +172,7 @@ def secret_spans(docs: DataFrame, cfg: SecretConfig = SecretConfig()) -> DataFra
     kind = "element_at(array(" + ", ".join(f"'{k}'" for k in KINDS) + "), x.k + 1)"
     return found.withColumn(
         "spans", F.expr(f"transform(_all, x -> named_struct('start', x.start, 'end', x.end, 'kind', {kind}))")
-    ).drop("_text", "_assign", "_access", "_hex", "_tests", "_all")
+    ).select("_row.*", "spans")
 
 
 def secret_digest(found: DataFrame) -> DataFrame:
@@ -193,8 +196,7 @@ def redact(found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     built = f"""aggregate(_merged, named_struct('at', 0, 'parts', cast(array() as array<string>)), (acc, x) ->
         named_struct('at', x.end, 'parts', concat(acc.parts, array(substring(text, acc.at + 1, x.start - acc.at), '{mark}'))),
         acc -> concat(array_join(acc.parts, ''), substring(text, acc.at + 1)))"""
-    return (
-        found.withColumn("_merged", F.expr(merged))
-        .withColumn("text", F.expr(f"if(size(_merged) = 0, text, {built})"))
-        .drop("_merged", "spans")
-    )
+    columns = [c for c in found.columns if c != "spans"]
+    packed = found.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), "text", F.expr(merged).alias("_merged"))
+    changed = packed.select("_row", F.expr(f"if(size(_merged) = 0, text, {built})").alias("_new"))
+    return changed.select(*[F.col("_new").alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in columns])

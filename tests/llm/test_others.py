@@ -220,6 +220,40 @@ def test_boilerplate_inside_an_article_goes_and_copies_stay(spark):
     assert got[20] == "Teaser\nThe body stands outside of the card, and is long."
 
 
+def test_pages_do_not_depend_on_partitions(spark):
+    plain = "<div><p>Shared menu</p><p>own text {0} zz</p><p>Shared end</p></div>"
+    rows = [(i, f"http://h{i % 30}.ex/{i:04d}", plain.format(i)) for i in range(90)]
+    rows += [(1000 + i, f"http://one.ex/{i:04d}", plain.format(i // 5 if i % 7 else i)) for i in range(60)]  # near copies in a row
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("place", F.lit(1)).withColumn("lines", F.lit("x"))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        got = []
+        for n in (1, 7, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got.append({(r.page_id, r.text) for r in pg.extract_pages(df.repartition(n), pg.PagesConfig(block=16, reach=8)).collect()})
+        assert got[0] == got[1] == got[2] and {(i, f"own text {i} zz") for i in range(90)} < got[0]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert pg.extract_pages(df.limit(0)).count() == 0
+
+
+def test_markup_as_it_is_written():
+    lines = lambda html: [t for t, furniture, _ in pg.lines_of(html) if not furniture]
+    assert lines("<article><p class=ad>Buy<p>One<p>Two</article>") == ["One", "Two"]
+    assert lines("<article><p title='it's'>Kept</p></article>") == ["Kept"]
+    assert lines("<p title=\"a > b\">Kept</p><div hidden>gone</div><ul><li class=ad>Buy<li>Item</ul>") == ["Kept", "Item"]
+    assert lines("<table><tr><td class=ad>x<td>y<tr><td>z</table>") == ["y", "z"]
+
+
+def test_long_pages_are_aligned_in_bounded_memory():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 4, 300), rng.integers(0, 4, 280)
+    want = pg._aligned(a, b)
+    for most in (1 << 12, 1 << 8, 8):
+        got = pg._aligned(a, b, most)
+        assert len(got) == len(want) and got == sorted(set(got))
+
+
 def test_deep_elements_are_closed_by_their_own_end_tags():
     deep = "<article>" + "<div>" * 600 + "<aside>advert</aside>" + "</div>" * 600 + "<p>kept</p></article>"
     assert pg.lines_of("<div>" + deep + "</div>") == [("advert", True, True), ("kept", False, True)]
