@@ -36,3 +36,9 @@ def first_session(events: DataFrame, cal: DataFrame, column: str, strict: bool,
     frame = Window.orderBy("_k").rangeBetween(1 if strict else 0, Window.unboundedFollowing)
     found = ahead.withColumn(name, F.min("_t").over(frame)).select("_d", name).distinct()
     return events.join(F.broadcast(found), events[column] == found["_d"], "left").drop("_d")
+
+
+def weekdays(end: DataFrame, days: int) -> DataFrame:
+    """The Mondays to Fridays among the last ``days`` calendar days up to the one date in ``end``."""
+    every = end.select(F.explode(F.sequence(F.date_sub("date", days - 1), F.col("date"))).alias("date"))
+    return every.where(~F.dayofweek("date").isin(1, 7))

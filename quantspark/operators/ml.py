@@ -2,7 +2,7 @@
 
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -60,3 +60,30 @@ def score_latest(model, rows: DataFrame, features: list[str], cfg: ModelConfig =
     last = rows.groupBy("symbol").agg(F.max_by(F.struct(*features), time).alias("x")).select("symbol", "x.*")
     done = score(model, last.dropna(subset=features), cfg).select("symbol", "predicted", "proba")
     return last.select("symbol").join(done, "symbol", "left").select("symbol", F.coalesce("predicted", F.lit(0)).alias("predicted"), "proba")
+
+
+def save_model(model, path: str) -> None:
+    """The pipeline model at ``path``, over an earlier one."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def in_and_out_of_sample(data: DataFrame, folds: DataFrame, features: list[str], cfg: ModelConfig = ModelConfig()) -> DataFrame:
+    """(fold_id, part, n, accuracy, n_signals, mean_return): of every fold the rows it was fitted on beside those held out.
+
+    data: target, the features, realized_return. A large gap between the parts is a sign of overfitting.
+    """
+    tagged, out = split_folds(data, folds), None
+    for (k,) in folds.select("fold_id").orderBy("fold_id").collect():  # a handful of ids
+        own = tagged.where(F.col("fold_id") == k)
+        made = score(fit(own.where("part = 'train'"), features, cfg), own, cfg)
+        signal = F.when(F.col("predicted") == 1, F.col("realized_return"))
+        row = made.groupBy("fold_id", "part").agg(
+            F.count("*").alias("n"), F.avg((F.col("predicted") == F.col("target")).cast("double")).alias("accuracy"),
+            F.sum("predicted").alias("n_signals"), F.avg(signal).alias("mean_return"),
+        )
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -67,3 +67,22 @@ def sample_divergence(inside, outside):
 def baseline_edge(model, random_):
     """Whether the model's edge is less than half the random baseline's size: no clear edge."""
     return F.when(F.abs((model - random_) / F.nullif(random_, F.lit(0.0))) < 0.5, "no clear edge").otherwise("edge")
+
+
+def live_metrics(fills: DataFrame, start: float = 10_000.0) -> DataFrame:
+    """Performance by account from a log of fills: matched trades, their metrics, and the equity that they make.
+
+    account: fills' own, or the symbol. One row each: n_trades, win_rate, mean_return, pnl, final_equity, max_drawdown.
+    """
+    account = F.col("account") if "account" in fills.columns else F.col("symbol").cast("string")
+    trades = fifo_trades(fills).withColumn("account", account)
+    by = Window.partitionBy("account").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    days = trades.groupBy("account", F.to_date("exit_time").alias("date")).agg(F.sum("pnl").alias("pnl"))
+    equity = days.withColumn("equity", F.lit(start) + F.sum("pnl").over(by))
+    equity = equity.withColumn("fall", F.col("equity") / F.greatest(F.max("equity").over(by), F.lit(start)) - 1)
+    curves = equity.groupBy("account").agg(F.max_by("equity", "date").alias("final_equity"), F.min("fall").alias("max_drawdown"))
+    made = trades.groupBy("account").agg(
+        F.count("*").alias("n_trades"), F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"),
+        F.avg(F.col("pnl") / F.nullif(F.col("qty") * F.col("entry_price"), F.lit(0.0))).alias("mean_return"), F.sum("pnl").alias("pnl"),
+    )
+    return made.join(curves, "account")

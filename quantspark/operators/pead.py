@@ -14,6 +14,8 @@ class PeadConfig:
     drift: int = 60
     buckets: int = 5
     min_prior: int = 6
+    #: Ranges of sue in which events are ranked.
+    ranges: int = 256
 
 
 def abnormal_returns(events: DataFrame, panel: DataFrame, benchmark: DataFrame, cal: DataFrame, cfg: PeadConfig = PeadConfig()) -> DataFrame:
@@ -51,11 +53,15 @@ def add_sue(events: DataFrame, cfg: PeadConfig = PeadConfig()) -> DataFrame:
 def add_buckets(events: DataFrame, cfg: PeadConfig = PeadConfig()) -> DataFrame:
     """+ bucket 1..n by rank of sue (ties by symbol, time, key): quantile cuts of the ranks, in whole numbers.
 
-    Ranks over everything come from sorted ranges: each range is counted, the counts are summed, and rows rank within
-    their range, so no task sorts all events.
+    Ranks over everything come from ranges of sue: each range is counted, the counts are summed, and rows rank within
+    their range, so no task sorts all events. The ranges' bounds are estimated once, and are constants then: counts and
+    rows agree whatever the bounds and however the plan is split.
     """
     order = ["sue", "symbol", "announced", "order_key"]
-    known = events.where("sue is not null").repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    known = events.where("sue is not null")
+    cuts = known.agg(F.percentile_approx("sue", [k / cfg.ranges for k in range(1, cfg.ranges)], 10 * cfg.ranges)).first()[0] or []
+    bounds = F.array(*[F.lit(float(x)) for x in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    known = known.withColumn("_p", F.size(F.filter(bounds, lambda x: x < F.col("sue"))))
     counts = known.groupBy("_p").agg(F.count("*").alias("_n"))
     before = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_b"), F.sum("_n").over(Window.partitionBy()).alias("_t"))
     ranked = known.join(F.broadcast(before), "_p").withColumn("_r", F.col("_b") + F.row_number().over(Window.partitionBy("_p").orderBy(*order)))

@@ -89,11 +89,21 @@ def daily_loss_latch(equity: DataFrame, limit: float = 0.02) -> DataFrame:
     return equity.withColumn("tripped", F.max(F.col("equity") <= first * (1 - limit)).over(day))
 
 
-def drawdown_latch(equity: DataFrame, limit: float = 0.10) -> DataFrame:
-    """equity (account, ts, equity) + peak, tripped: set for good once equity falls the limit below its peak."""
-    upto = Window.partitionBy("account").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+def drawdown_latch(equity: DataFrame, limit: float = 0.10, resets: DataFrame | None = None) -> DataFrame:
+    """equity (account, ts, equity) + peak, tripped: set once equity falls the limit below its peak, until a manual reset.
+
+    resets (account, reset_ts): from there on peak and latch start anew. Each epoch between resets is a partition.
+    """
+    epoch = ["account"]
+    if resets is not None:
+        both = equity.unionByName(resets.select("account", F.col("reset_ts").alias("ts")), allowMissingColumns=True)
+        order = Window.partitionBy("account").orderBy("ts", F.col("equity").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+        equity = both.withColumn("epoch", F.count_if(F.col("equity").isNull()).over(order)).where("equity is not null")
+        epoch = ["account", "epoch"]
+    upto = Window.partitionBy(*epoch).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     e = equity.withColumn("peak", F.max("equity").over(upto))
-    return e.withColumn("tripped", F.max(F.col("equity") <= F.col("peak") * (1 - limit)).over(upto))
+    e = e.withColumn("tripped", F.max(F.col("equity") <= F.col("peak") * (1 - limit)).over(upto))
+    return e.drop("epoch") if resets is not None else e
 
 
 def pdt_window(day_trades: DataFrame, cal: DataFrame, equity: float = 10_000.0, cfg: RiskConfig = RiskConfig()) -> DataFrame:

@@ -67,6 +67,21 @@ def existing_symbols(panel: DataFrame, dates: DataFrame, days: int = 7) -> DataF
     ).select("probe_date", "symbol").distinct()
 
 
+def asset_names(symbols: DataFrame, assets: DataFrame) -> DataFrame:
+    """symbols + name, null for what the assets don't have."""
+    return symbols.join(assets.select("symbol", "name"), "symbol", "left")
+
+
+def without_benchmark(panel: DataFrame, benchmark: str) -> DataFrame:
+    """The panel that a strategy may trade: all but the benchmark's bars."""
+    return panel.where(F.col("symbol") != benchmark)
+
+
+def symbol_of_file(path) -> F.Column:
+    """The symbol that a bar file is named by: its name up to the first underscore."""
+    return F.substring_index(F.substring_index(path, "/", -1), "_", 1)
+
+
 def missing_symbols(wanted: DataFrame, returned: DataFrame) -> DataFrame:
     return wanted.join(returned.select("symbol").distinct(), "symbol", "left_anti")
 

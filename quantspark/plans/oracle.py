@@ -22,7 +22,7 @@ PART = {
       WHERE hour(ts - INTERVAL 5 HOUR) * 60 + minute(ts - INTERVAL 5 HOUR) BETWEEN 570 AND 959""",
     "arr": f"""SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS date, p_retailprice AS open, p_retailprice AS high,
         p_retailprice + CASE WHEN l_tax = 0.08 THEN 1 ELSE 0 END AS low, p_retailprice AS close, l_quantity AS volume, {K}
-      FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_discount = 0.05""",
+      FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "fl": """SELECT user_id AS symbol, event_id AS seq, ts, CASE WHEN event_type = 'purchase' THEN 'buy' ELSE 'sell' END AS side,
         CAST(event_id % 10 + 1 AS BIGINT) AS qty, value AS price FROM events WHERE event_type IN ('purchase', 'signup')""",
     "ord": """SELECT 'Brand#' || CAST(o_custkey % 25 // 5 + 1 AS VARCHAR) || CAST(o_custkey % 5 + 1 AS VARCHAR) AS symbol,
@@ -119,7 +119,7 @@ PART = {
       FROM (SELECT date, close FROM daily WHERE symbol = 'Brand#12') a JOIN one b USING (date)""",
     "al2": "SELECT * FROM al WHERE a IS NOT NULL AND b IS NOT NULL",
     "acct": "SELECT event_type AS account, ts, 10000.0 + value AS equity FROM events",
-    "assets": "SELECT CAST(p_partkey AS VARCHAR) AS symbol, name FROM named WHERE p_partkey % 5 <> 0",
+    "assets": "SELECT CAST(p_partkey AS VARCHAR) AS symbol, name FROM named",
     "named": """SELECT p_partkey, p_size, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || ' ' ||
         ['Common Stock', 'ETF', 'Realty Trust', 'Index Fund', 'Holdings Inc', 'Ultra Shares', 'Bullfrog Spas', 'Term Trust'][CAST(p_partkey % 8 + 1 AS INT)] AS name FROM part""",
 }
@@ -221,16 +221,19 @@ ORACLE = {
     "fund_name_filter": q(f"SELECT p_partkey AS symbol, name, coalesce(regexp_matches(name, '{FUND_SQL}'), false) AS is_fund FROM named", "named"),
     "exclude_funds": q(f"""SELECT w.symbol FROM (SELECT CAST(p_partkey AS VARCHAR) AS symbol FROM part UNION ALL SELECT unnest(['TQQQ', 'UVXY', 'AAPL', 'MSFT'])) w LEFT JOIN assets a USING (symbol)
       WHERE w.symbol NOT IN ('TQQQ', 'UVXY') AND NOT coalesce(regexp_matches(a.name, '{FUND_SQL}'), false)""", "assets"),
-    "asset_lookup": q("SELECT CAST(p_partkey AS VARCHAR) AS symbol, a.name FROM part LEFT JOIN assets a ON a.symbol = CAST(p_partkey AS VARCHAR)", "assets"),
+    "asset_lookup": q("""SELECT w.symbol, a.name FROM (SELECT CAST(p_partkey AS VARCHAR) AS symbol FROM part UNION ALL SELECT unnest(['TQQQ', 'UVXY', 'AAPL', 'MSFT'])) w
+      LEFT JOIN assets a USING (symbol)""", "assets"),
     "candidate_assets": q(f"SELECT CAST(p_partkey AS VARCHAR) AS symbol FROM named WHERE p_size > 5 AND p_partkey % 3 < 2 AND NOT regexp_matches(name, '{FUND_SQL}')", "named"),
     "liquidity_filter": q("""SELECT symbol, round(avg(close), 6) AS avg_price, round(avg(close * volume), 6) AS avg_dollar_volume FROM daily GROUP BY 1
       HAVING avg(close * volume) >= 20000 AND avg(close) BETWEEN 5 AND 1000""", "daily"),
     "liquidity_screen": q(f"SELECT probe_date, symbol, n_bars, {rr('median_price', 'median_dollar_volume')} FROM screen", "screen"),
-    "existence_probe": q("SELECT DISTINCT symbol FROM daily WHERE date BETWEEN DATE '1996-06-21' AND DATE '1996-06-28'", "daily"),
+    "existence_probe": q("SELECT DISTINCT probe_date, symbol FROM daily JOIN probes ON date <= probe_date AND date >= probe_date - INTERVAL 7 DAY", "daily", "probes"),
     "probe_sweep": q("SELECT probe_date, count(DISTINCT symbol) AS n_symbols FROM daily JOIN probes ON date <= probe_date AND date >= probe_date - INTERVAL 2 DAY GROUP BY 1", "daily", "probes"),
     "union_universe": q("SELECT DISTINCT symbol FROM screen", "screen"),
-    "missing_symbols": q("SELECT DISTINCT symbol FROM daily EXCEPT SELECT symbol FROM daily WHERE date BETWEEN DATE '1996-06-27' AND DATE '1996-06-28'", "daily"),
-    "candidate_tickers": "SELECT chr(CAST(65 + a AS INT)) AS symbol FROM range(26) t(a) UNION ALL SELECT chr(CAST(65 + a AS INT)) || chr(CAST(65 + b AS INT)) FROM range(26) t(a), range(26) u(b)",
+    "missing_symbols": q("SELECT DISTINCT symbol FROM daily EXCEPT SELECT symbol FROM daily JOIN probes ON date <= probe_date AND date >= probe_date - INTERVAL 1 DAY", "daily", "probes"),
+    "candidate_tickers": """WITH one AS (SELECT chr(CAST(65 + a AS INT)) AS x FROM range(26) t(a))
+      SELECT x AS symbol FROM one UNION ALL SELECT a.x || b.x FROM one a, one b UNION ALL SELECT a.x || b.x || c.x FROM one a, one b, one c
+      UNION ALL SELECT a.x || b.x || c.x || d.x FROM one a, one b, one c, one d""",
     "panel_cache_key": q("SELECT substr(sha256(string_agg(symbol, ',' ORDER BY symbol)), 1, 12) AS key, count(*) AS n_symbols, min(a) AS first, max(b) AS last FROM (SELECT symbol, min(date) AS a, max(date) AS b FROM daily GROUP BY 1)", "daily"),
     "feat_returns": q(f"SELECT symbol, date, {rr('ret_5', 'ret_15', 'ret_30', 'ret_60')} FROM f", "f"),
     "feat_volatility": q(f"SELECT symbol, date, {rr('vol_30', 'vol_60')} FROM f", "f"),
@@ -282,7 +285,9 @@ ORACLE = {
     "option_entry_day": q(f"SELECT expiry, entry, {rr('spot', 'settle')} FROM mo", "mo"),
     "put_payoff": q(f"SELECT expiry, entry, assigned, {rr('moneyness', 'strike', 'premium', 'pnl_per_share', 'ret_on_capital')} FROM put", "put"),
     "moneyness_sweep": q(f"SELECT n, n_assigned, {rr('moneyness', 'mean_ret', 'worst_ret', 'best_ret', 'win_rate', 'annualised', 't_stat', 'mean_premium')} FROM ms", "ms"),
-    "crash_stress": q("""SELECT moneyness, round(mean_premium, 6) AS mean_premium, CAST(shock AS DOUBLE) AS shock, round(mean_premium - greatest(0, (moneyness - (1 + CAST(shock AS DOUBLE))) / moneyness), 6) AS stress_ret
+    "crash_stress": q("""SELECT moneyness, round(mean_premium, 6) AS mean_premium, CAST(shock AS DOUBLE) AS shock, round(mean_premium - greatest(0, (moneyness - (1 + CAST(shock AS DOUBLE))) / moneyness), 6) AS stress_ret,
+        round(CASE WHEN mean_premium - greatest(0, (moneyness - (1 + CAST(shock AS DOUBLE))) / moneyness) < 0
+          THEN (greatest(0, (moneyness - (1 + CAST(shock AS DOUBLE))) / moneyness) - mean_premium) / nullif(annualised, 0) END, 6) AS years_to_recover
       FROM ms, (SELECT unnest([-0.10, -0.20, -0.30]) AS shock)""", "ms"),
     "straddle_pnl": q("""SELECT expiry, entry, round(spot, 6) AS spot, round(strike, 6) AS strike, round(2 * premium, 6) AS straddle_cost, round(abs(settle - spot), 6) AS actual_move,
       round(2 * premium - abs(settle - spot), 6) AS seller_pnl, round(2 * premium / spot, 6) AS implied_pct, round(abs(settle - spot) / spot, 6) AS actual_pct FROM st WHERE moneyness = 1.0""", "st"),
@@ -302,7 +307,7 @@ ORACLE = {
     "drawdown_latch": q("""SELECT account, ts, round(peak, 6) AS peak, bool_or(equity <= peak * (1 - 0.005::DOUBLE)) OVER (PARTITION BY account ORDER BY ts) AS tripped
       FROM (SELECT *, max(equity) OVER (PARTITION BY account ORDER BY ts) AS peak FROM acct)""", "acct"),
     "pdt_window": q("""SELECT account, date, CAST(sum(n) OVER w AS BIGINT) AS n_day_trades, sum(n) OVER w < 3 AS allowed FROM (
-      SELECT l_suppkey % 10 AS account, CAST(l_shipdate AS DATE) AS date, count(*) AS n FROM lineitem WHERE l_quantity > 48 GROUP BY 1, 2) JOIN cal USING (date)
+      SELECT l_suppkey % 10 AS account, CAST(l_shipdate AS DATE) AS date, count(*) AS n FROM lineitem GROUP BY 1, 2) JOIN cal USING (date)
       WINDOW w AS (PARTITION BY account ORDER BY i RANGE BETWEEN 4 PRECEDING AND CURRENT ROW)""", "cal"),
     "vol_target_exposure": q("""SELECT account, date, round(CASE WHEN n >= 30 AND m >= 20 AND v > 0 THEN least(0.5 / v, 1.0) ELSE 1.0 END, 6) AS exposure FROM (
       SELECT account, date, count(*) OVER (PARTITION BY account ORDER BY date ROWS BETWEEN 125 PRECEDING AND CURRENT ROW) AS n, count(ret) OVER w AS m, stddev_samp(ret) OVER w * sqrt(252) AS v
@@ -312,7 +317,7 @@ ORACLE = {
       round(sharpe, 6) AS sharpe, round(sortino, 6) AS sortino, round(max_drawdown, 6) AS max_drawdown, round(total_return, 6) AS total_return FROM (
       SELECT account, count(*) AS n_trades, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0 END) AS win_rate, avg(return_pct) AS expectancy,
         coalesce(sum(pnl) FILTER (WHERE pnl > 0), 0) / nullif(coalesce(-sum(pnl) FILTER (WHERE pnl < 0), 0), 0) AS profit_factor, avg(holding_bars) AS avg_duration FROM tr GROUP BY 1) t
-      LEFT JOIN (SELECT CASE account WHEN 'Brand#11' THEN '0' WHEN 'Brand#12' THEN '1' WHEN 'Brand#13' THEN '2' END AS account, sharpe, sortino, max_drawdown, total_return FROM pm) p ON p.account = t.account""", "tr", "pm"),
+      LEFT JOIN (SELECT CASE WHEN account IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#14', 'Brand#15') THEN CAST(CAST(right(account, 1) AS INT) - 1 AS VARCHAR) END AS account, sharpe, sortino, max_drawdown, total_return FROM pm) p ON p.account = t.account""", "tr", "pm"),
     "portfolio_metrics": q(f"SELECT account, n_days, {rr('total_return', 'cagr', 'annual_vol', 'sharpe', 'sortino', 'max_drawdown')} FROM pm", "pm"),
     "equal_weight_bh": q(""", b AS (SELECT symbol, close AS p0 FROM daily WHERE date = (SELECT min(date) FROM cal)),
       g AS (SELECT c.date, b.symbol, b.p0, d.close FROM cal c CROSS JOIN b LEFT JOIN daily d ON d.symbol = b.symbol AND d.date = c.date),
@@ -335,8 +340,8 @@ ORACLE = {
     "fifo_trades": q(f"SELECT symbol, entry_time, exit_time, qty, {rr('entry_price', 'exit_price', 'pnl')} FROM fifo", "fifo"),
     "daily_equity": q("""SELECT date, round(pnl, 2) AS pnl, round(sum(pnl) OVER (ORDER BY date) + 10000.0, 2) AS equity FROM (SELECT CAST(exit_time AS DATE) AS date, sum(pnl) AS pnl FROM tr GROUP BY 1)""", "tr"),
     "reconcile": """SELECT symbol, expected_qty, actual_qty FROM (SELECT coalesce(e.s, a.s) AS symbol, coalesce(e.q, 0) AS expected_qty, coalesce(a.q, 0) AS actual_qty FROM
-      (SELECT l_suppkey AS s, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem WHERE l_linestatus = 'F' AND l_discount < 0.05 GROUP BY 1) e FULL JOIN
-      (SELECT l_suppkey AS s, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem WHERE l_returnflag <> 'N' AND l_discount < 0.05 GROUP BY 1) a ON e.s = a.s) WHERE expected_qty <> actual_qty""",
+      (SELECT l_suppkey AS s, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1) e FULL JOIN
+      (SELECT l_suppkey AS s, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1) a ON e.s = a.s) WHERE expected_qty <> actual_qty""",
     "weekday_calendar": q("SELECT d AS date FROM (SELECT CAST(max(date) - CAST(k AS INT) AS DATE) AS d FROM cal, range(30) t(k) GROUP BY k) WHERE dayofweek(d) NOT IN (0, 6)", "cal"),
     "load_fills": q(f"SELECT symbol, seq, ts, side, qty, {rr('price')} FROM fl", "fl"),
 }
@@ -362,3 +367,18 @@ ORACLE |= {
       WHERE close IS NOT NULL""", "daily", "cal").replace("(SELECT DISTINCT symbol FROM daily), cal LEFT JOIN", "(SELECT symbol, date FROM (SELECT DISTINCT symbol FROM daily) CROSS JOIN cal) LEFT JOIN"),
     "compounded_growth": q("SELECT account, date, round(product(1 + coalesce(ret, 0)) OVER (PARTITION BY account ORDER BY date), 6) AS growth FROM cvr", "cvr"),
 }
+ORACLE["panel_without_benchmark"] = q("SELECT symbol, count(*) AS n_bars, round(max(close), 6) AS high FROM daily WHERE symbol <> 'Brand#11' GROUP BY 1", "daily")
+ORACLE["live_metrics"] = q("""SELECT t.account, n_trades, round(win_rate, 4) AS win_rate, round(mean_return, 4) AS mean_return, round(pnl, 4) AS pnl,
+      round(final_equity, 4) AS final_equity, round(max_drawdown, 4) AS max_drawdown FROM (
+      SELECT CAST(symbol AS VARCHAR) AS account, count(*) AS n_trades, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0 END) AS win_rate,
+        avg(pnl / nullif(qty * entry_price, 0)) AS mean_return, sum(pnl) AS pnl FROM fifo GROUP BY 1) t
+      JOIN (SELECT account, arg_max(equity, date) AS final_equity, min(equity / greatest(peak, 10000) - 1) AS max_drawdown FROM (
+        SELECT *, max(equity) OVER (PARTITION BY account ORDER BY date) AS peak FROM (
+          SELECT *, 10000 + sum(pnl) OVER (PARTITION BY account ORDER BY date) AS equity FROM (
+            SELECT CAST(symbol AS VARCHAR) AS account, CAST(exit_time AS DATE) AS date, sum(pnl) AS pnl FROM fifo GROUP BY 1, 2))) GROUP BY 1) c
+      ON c.account = t.account""", "fifo")
+ORACLE["drawdown_resets"] = q("""SELECT account, count(*) FILTER (WHERE tripped) AS n_tripped, count(*) AS n FROM (
+      SELECT *, bool_or(equity <= peak * (1 - 0.005::DOUBLE)) OVER (PARTITION BY account, epoch ORDER BY ts) AS tripped FROM (
+        SELECT *, max(equity) OVER (PARTITION BY account, epoch ORDER BY ts) AS peak FROM (
+          SELECT *, CAST(ts >= d + INTERVAL 10 DAY AS INT) + CAST(ts >= d + INTERVAL 20 DAY AS INT) AS epoch
+          FROM acct, (SELECT CAST(min(ts) AS DATE) AS d FROM acct)))) GROUP BY 1""", "acct")

@@ -46,7 +46,7 @@ def arrivals(spark: SparkSession, d: str) -> DataFrame:
     items, parts = ad.read(spark, d, "lineitem"), ad.read(spark, d, "part")
     seq = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     p = F.col("p_retailprice")
-    return items.join(parts, items.l_partkey == parts.p_partkey).where("l_discount = 0.05").select(
+    return items.join(parts, items.l_partkey == parts.p_partkey).select(
         F.col("p_brand").alias("symbol"), F.col("l_shipdate").cast("date").alias("date"), p.alias("open"), p.alias("high"),
         (p - F.when(F.col("l_tax") == 0.08, F.lit(-1.0)).otherwise(0.0)).alias("low"), p.alias("close"), F.col("l_quantity").alias("volume"), seq.alias("seq"),
     )
@@ -143,21 +143,23 @@ def _asset_name():
 
 
 def _assets(spark, d):
-    p = ad.read(spark, d, "part").where("p_partkey % 5 <> 0")
-    return p.select(F.col("p_partkey").cast("string").alias("symbol"), _asset_name().alias("name"))
+    return ad.read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("symbol"), _asset_name().alias("name"))
+
+
+def _wanted(spark, d):
+    """All parts as symbols, and some that no asset has."""
+    extra = spark.createDataFrame([(s,) for s in ("TQQQ", "UVXY", "AAPL", "MSFT")], "symbol string")
+    return ad.read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("symbol")).union(extra)
 
 
 @query
 def exclude_funds(spark, d):
-    wanted = ad.read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("symbol"))
-    extra = spark.createDataFrame([(s,) for s in ("TQQQ", "UVXY", "AAPL", "MSFT")], "symbol string")
-    return un.exclude_funds(wanted.union(extra), _assets(spark, d))
+    return un.exclude_funds(_wanted(spark, d), _assets(spark, d))
 
 
 @query
 def asset_lookup(spark, d):
-    wanted = ad.read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("symbol"))
-    return wanted.join(_assets(spark, d), "symbol", "left")
+    return un.asset_names(_wanted(spark, d), _assets(spark, d))
 
 
 @query
@@ -185,7 +187,7 @@ def liquidity_screen(spark, d):
 
 @query
 def existence_probe(spark, d):
-    return un.existing_symbols(daily(spark, d), probes(spark).limit(1)).select("symbol")
+    return un.existing_symbols(daily(spark, d), probes(spark))
 
 
 @query
@@ -200,19 +202,20 @@ def union_universe(spark, d):
 
 @query
 def missing_symbols(spark, d):
-    seen = un.existing_symbols(daily(spark, d), probes(spark).limit(1), 1)
+    seen = un.existing_symbols(daily(spark, d), probes(spark), 1)
     return un.missing_symbols(daily(spark, d).select("symbol").distinct(), seen)
 
 
 @query
 def candidate_tickers(spark, d):
-    return un.candidate_tickers(spark, 2)
+    return un.candidate_tickers(spark)
 
 
 @query
 def panel_cache_key(spark, d):
-    key = F.sha2(F.array_join(F.array_sort(F.collect_set("symbol")), ","), 256)
-    return daily(spark, d).agg(F.substring(key, 1, 12).alias("key"), F.count_distinct("symbol").alias("n_symbols"), F.min("date").alias("first"), F.max("date").alias("last"))
+    from quantspark.sources import io
+
+    return io.panel_key(daily(spark, d))
 
 
 # --- features ---
@@ -448,7 +451,7 @@ def moneyness_sweep(spark, d):
 @query
 def crash_stress(spark, d):
     s = op.moneyness_summary(op.put_payoff(op.with_strike(months(spark, d))))
-    return rounded(op.crash_stress(s).drop("years_to_recover"))
+    return rounded(op.crash_stress(s))
 
 
 @query
@@ -518,7 +521,7 @@ def drawdown_latch(spark, d):
 @query
 def pdt_window(spark, d):
     panel = daily(spark, d)
-    trades = ad.read(spark, d, "lineitem").where("l_quantity > 48").select(F.pmod("l_suppkey", F.lit(10)).alias("account"), F.col("l_shipdate").cast("date").alias("date"))
+    trades = ad.read(spark, d, "lineitem").select(F.pmod("l_suppkey", F.lit(10)).alias("account"), F.col("l_shipdate").cast("date").alias("date"))
     return rk.pdt_window(trades.join(cal_.calendar(panel).select("date"), "date", "left_semi"), cal_.calendar(panel))
 
 
@@ -556,7 +559,8 @@ def trades(spark, d):
 
 @query
 def backtest_metrics(spark, d):
-    c = daily(spark, d).where(F.col("symbol").isin("Brand#11", "Brand#12", "Brand#13")).select(
+    # One brand for each of the five accounts.
+    c = daily(spark, d).where(F.col("symbol").isin(*[f"Brand#{k}" for k in range(11, 16)])).select(
         (F.substring("symbol", -1, 1).cast("int") - 1).cast("string").alias("account"), "date", F.col("close").alias("equity")
     )
     return rounded(mt.backtest_metrics(trades(spark, d), c))
@@ -658,8 +662,27 @@ def reconcile(spark, d):
 
 @query
 def weekday_calendar(spark, d):
-    days = daily(spark, d).agg(F.max("date").alias("e")).select(F.explode(F.sequence(F.date_sub("e", 29), F.col("e"))).alias("date"))
-    return days.where(~F.dayofweek("date").isin(1, 7))
+    return cal_.weekdays(daily(spark, d).agg(F.max("date").alias("date")), 30)
+
+
+@query
+def panel_without_benchmark(spark, d):
+    return rounded(un.without_benchmark(daily(spark, d), BENCHMARK).groupBy("symbol").agg(F.count("*").alias("n_bars"), F.max("close").alias("high")))
+
+
+@query
+def live_metrics(spark, d):
+    return rounded(mon.live_metrics(ad.fills(spark, d)), 4)
+
+
+@query
+def drawdown_resets(spark, d):
+    """The latch of drawdown_latch, lifted by hand on two days for all accounts."""
+    acc = accounts(spark, d)
+    days = acc.agg(F.to_date(F.min("ts")).alias("d")).select(F.explode(F.array(F.date_add("d", 10), F.date_add("d", 20))).alias("day"))
+    at = days.select(F.col("day").cast("timestamp_ntz").alias("reset_ts"))
+    resets = acc.select("account").distinct().crossJoin(F.broadcast(at))  # two rows
+    return rk.drawdown_latch(acc, 0.005, resets).groupBy("account").agg(F.count_if("tripped").alias("n_tripped"), F.count("*").alias("n"))
 
 
 @query

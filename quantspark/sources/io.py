@@ -1,6 +1,8 @@
 """Sources and sinks: bar cache, logs, experiment log, universe files, state."""
 
+import hashlib
 import json
+import time
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -28,7 +30,7 @@ def read_cache(spark: SparkSession, path: str, timeframe: str, symbols: list[str
 def cache_or_fetch(spark: SparkSession, path: str, timeframe: str, symbols: list[str], fetch, use_cache: bool = True) -> DataFrame:
     """Cached bars, and those of missing symbols from ``fetch(symbols)``, which are cached then."""
     have: set[str] = set()
-    if use_cache and Path(path).exists():
+    if use_cache and exists(spark, path):
         known = spark.read.parquet(path).where((F.col("timeframe") == timeframe) & F.col("symbol").isin(*symbols))
         have = {r["symbol"] for r in known.select("symbol").distinct().collect()}  # at most the symbols asked for
     missing = [s for s in symbols if s not in have]
@@ -37,6 +39,52 @@ def cache_or_fetch(spark: SparkSession, path: str, timeframe: str, symbols: list
     return read_cache(spark, path, timeframe, symbols)
 
 
+def panel_key(panel: DataFrame) -> DataFrame:
+    """key, n_symbols, first, last: what names a panel's file, whatever order its symbols come in."""
+    key = F.sha2(F.array_join(F.array_sort(F.collect_set("symbol")), ","), 256)
+    return panel.agg(F.substring(key, 1, 12).alias("key"), F.count_distinct("symbol").alias("n_symbols"), F.min("date").alias("first"), F.max("date").alias("last"))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path exists, in whatever file system it names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def panel_or_fetch(spark: SparkSession, folder: str, symbols: list[str], first, last, fetch) -> DataFrame:
+    """The daily panel of the symbols from ``first`` to ``last``, from its file if there is one, else from
+    fetch(symbols, first, last), which is written then."""
+    key = hashlib.sha256(",".join(sorted(set(symbols))).encode()).hexdigest()[:12]
+    path = f"{folder.rstrip('/')}/panel_{key}_{len(set(symbols))}_{first}_{last}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        fetch(symbols, first, last).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def with_retries(call, attempts: int = 4, wait: float = 3.0, sleep=time.sleep):
+    """call(), again after wait, 2 * wait, ... seconds when it fails; the last failure is raised."""
+    for n in range(1, attempts + 1):
+        try:
+            return call()
+        except Exception:
+            if n == attempts:
+                raise
+            sleep(wait * n)
+
+
+def dashboard(equity: float, start: float, positions: dict, day_trades: int, limit: int = 3) -> str:
+    """Text of an account's state: equity, profit since the start, open positions, day trades."""
+    lines = [f"Equity: {equity:,.2f}", f"P&L: {equity - start:+,.2f} ({(equity / start - 1) * 100:+.2f} %)" if start else "P&L: n/a", f"Day trades: {day_trades}/{limit}"]
+    lines += [f"  {s}: {q}" for s, q in sorted(positions.items())] or ["  no open positions"]
+    return "\n".join(lines) + "\n"
+
+
+def write_report(text: str, path: str) -> None:
+    """A report's text as a file of the driver."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(text)
+
+
 def verified_fetch(fetch, symbols: DataFrame) -> DataFrame:
     """fetch(symbols) and once more for the symbols it did not return."""
     first = fetch(symbols)
@@ -69,7 +117,7 @@ def load_fills(spark: SparkSession, path: str) -> DataFrame:
 
 def append_run(spark: SparkSession, path: str, **fields) -> int:
     """One row of the experiment log; its id follows the largest so far."""
-    ids = read_runs(spark, path) if Path(path).exists() else None
+    ids = read_runs(spark, path) if exists(spark, path) else None
     top = ids.agg(F.max("run_id")).first()[0] if ids is not None else None
     run_id = 1 if top is None else int(top) + 1
     row = {"run_id": run_id, "date": datetime.now(UTC).date().isoformat(), **fields}

@@ -333,3 +333,73 @@ def test_signal_lookup_takes_the_last_of_several(spark):
     bars = spark.createDataFrame([("A", 1), ("A", 2)], "symbol string, ts int")
     found = spark.createDataFrame([("A", 1, 1, 0), ("A", 1, 2, 1)], "symbol string, ts int, seq int, signal int")
     assert [r.signal for r in sm.lookup_signals(bars, found).orderBy("ts").collect()] == [1, 0]
+
+
+def test_buckets_are_whole_and_even_on_many_rows(spark):
+    x = spark.range(400_000).select(
+        (F.rand(3) * 4).alias("sue"), F.lit("s").alias("symbol"), F.col("id").alias("announced"), F.col("id").alias("order_key"), F.rand(4).alias("more")
+    )
+    x = x.withColumn("sue", F.when(F.col("order_key") % 3 == 0, 1.5).otherwise(F.col("sue")))  # a third are ties
+    for adaptive in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        n = {r["bucket"]: r["count"] for r in pe.add_buckets(x, pe.PeadConfig(ranges=16)).groupBy("bucket").count().collect()}
+        assert set(n) == {1, 2, 3, 4, 5} and sum(n.values()) == 400_000 and max(n.values()) - min(n.values()) <= 2
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert pe.add_buckets(x.limit(0)).count() == 0
+
+
+def test_drawdown_latch_is_lifted_by_a_reset(spark):
+    from quantspark.operators import risk as rk
+
+    rows = [("a", dt.datetime(2024, 1, k + 1), e) for k, e in enumerate([100.0, 85.0, 90.0, 90.0, 89.0, 80.0])]
+    eq = spark.createDataFrame(rows, "account string, ts timestamp, equity double")
+    resets = spark.createDataFrame([("a", dt.datetime(2024, 1, 4))], "account string, reset_ts timestamp")
+    got = [(r.peak, r.tripped) for r in rk.drawdown_latch(eq, 0.1, resets).orderBy("ts").collect()]
+    assert got == [(100, False), (100, True), (100, True), (90, False), (90, False), (90, True)]
+    assert [r.tripped for r in rk.drawdown_latch(eq, 0.1).orderBy("ts").collect()] == [False] + [True] * 5
+
+
+def test_model_round_trip_and_both_samples(spark, tmp_path):
+    from quantspark.operators import ml
+
+    rows = [(i, dt.date(2024, 1, 1) + dt.timedelta(days=i), float(i % 7), float(i % 3), int(i % 7 > 3), 0.01 * (i % 7 - 3)) for i in range(120)]
+    data = spark.createDataFrame(rows, "id long, date date, x double, y double, target int, realized_return double")
+    folds = spark.createDataFrame([(0, rows[0][1], rows[59][1], rows[62][1], rows[119][1])], "fold_id int, train_start date, train_end date, test_start date, test_end date")
+    cfg = ml.ModelConfig(iterations=3, depth=2)
+    model = ml.fit(data, ["x", "y"], cfg)
+    ml.save_model(model, str(tmp_path / "m"))
+    again = ml.load_model(str(tmp_path / "m"))
+    assert ml.score(model, data, cfg).select("id", "proba").collect() == ml.score(again, data, cfg).select("id", "proba").collect()
+    got = {r.part: r for r in ml.in_and_out_of_sample(data, folds, ["x", "y"], cfg).collect()}
+    assert set(got) == {"train", "test"} and got["train"].n == 60 and got["train"].accuracy == 1 and got["test"].mean_return > 0
+
+
+def test_panel_file_retries_names_and_dashboard(spark, tmp_path):
+    from quantspark.operators import universe as un
+    from quantspark.sources import io
+
+    calls = []
+
+    def fetch(symbols, first, last):
+        calls.append(symbols)
+        return spark.createDataFrame([(s, first) for s in symbols], "symbol string, date string")
+
+    for order in (["B", "A"], ["A", "B"]):
+        assert io.panel_or_fetch(spark, str(tmp_path), order, "2024-01-01", "2024-02-01", fetch).count() == 2
+    assert len(calls) == 1
+    waits, left = [], [ValueError, ValueError]
+
+    def call():
+        if left:
+            raise left.pop()
+        return 7
+
+    assert io.with_retries(call, sleep=waits.append) == 7 and waits == [3.0, 6.0]
+    with pytest.raises(ZeroDivisionError):
+        io.with_retries(lambda: 1 // 0, attempts=2, sleep=waits.append)
+    files = spark.createDataFrame([("/a/b/BRK.B_1min.parquet",), ("AAPL_1Day_x.parquet",)], "p string")
+    assert [r[0] for r in files.select(un.symbol_of_file(F.col("p"))).collect()] == ["BRK.B", "AAPL"]
+    text = io.dashboard(11_000.0, 10_000.0, {"AAPL": 3}, 1)
+    assert "+1,000.00" in text and "AAPL: 3" in text and "1/3" in text
+    io.write_report(text, str(tmp_path / "r" / "x.md"))
+    assert (tmp_path / "r" / "x.md").read_text() == text
