@@ -109,7 +109,8 @@ def _planned(docs: DataFrame, cfg: MixConfig) -> tuple[DataFrame, DataFrame]:
     plan = targets.withColumn("whole", whole).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
     plan = cut(inclusion_scales(sizes, plan))
     by = plan.withColumnRenamed("source", "of")
-    drawn = base.join(by, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("rank", _odds(_draw("doc_id"), F.col("size"), F.col("scale")))
+    drawn = base.join(by, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("u", _draw("doc_id"))
+    drawn = drawn.withColumn("rank", _odds(F.col("u"), F.col("size"), F.col("scale"))).drop("u")
     # Slices of the logarithm of the rank, so that a source is summed slice by slice over all tasks.
     drawn = drawn.withColumn("slice", F.floor(F.ln("rank") * cfg.slices))
     slices = drawn.where("rank is not null").groupBy("source", "slice").agg(F.sum("size").alias("words"))
@@ -154,13 +155,14 @@ def mix_rows(docs: DataFrame, cfg: MixConfig = MixConfig(), broadcast_sources: i
     last = last.withColumnRenamed("source", "s").join(plan, F.col("s").eqNullSafe(F.col("source")))
     edges = cut(last.select(F.col("source").alias(of), edge, F.col("whole").alias(whole), F.col("scale").alias(scale)))
     few = F.broadcast(edges) if edges.count() <= broadcast_sources else edges
-    size = word_count(F.col("text"))
-    rank = _odds(_draw("doc_id"), size, F.col(scale))
-    own = F.struct(rank.alias("rank"), F.col("doc_id"), size.alias("size"))
-    sure = (F.col(scale) > 0) & (F.col(scale) * size >= 1)
-    taken = F.when(rank.isNull(), sure).otherwise(F.coalesce(own <= F.col(edge), F.lit(False))).cast("int")
-    return (
-        docs.join(few, F.col("source").eqNullSafe(F.col(of)))
-        .withColumn("copies", F.least(F.col(whole) + taken, F.lit(cfg.max_repeats)).cast("int"))
-        .drop(of, edge, whole, scale)
-    )
+    # Bound to lambda variables, so that a text is counted once, however often its size is used and filters are pushed.
+    sized = F.array(F.struct(word_count(F.col("text")).alias("size"), _draw("doc_id").alias("u")))
+    ranked = F.transform(sized, lambda x: F.struct(_odds(x["u"], x["size"], F.col(scale)).alias("rank"), F.col("doc_id"), x["size"].alias("size")))
+
+    def copies(x: F.Column) -> F.Column:
+        sure = (F.col(scale) > 0) & (F.col(scale) * x["size"] >= 1)
+        taken = F.when(x["rank"].isNull(), sure).otherwise(F.coalesce(x <= F.col(edge), F.lit(False))).cast("int")
+        return F.least(F.col(whole) + taken, F.lit(cfg.max_repeats)).cast("int")
+
+    joined = docs.join(few, F.col("source").eqNullSafe(F.col(of)))
+    return joined.withColumn("copies", F.element_at(F.transform(ranked, copies), 1)).drop(of, edge, whole, scale)
