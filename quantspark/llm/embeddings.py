@@ -3,6 +3,7 @@
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantspark.llm.common import connected_components, cut, forest
+from quantspark.llm.common import connected_components, cut, drop, forest, mix
+
+
+#: Rows whose cells are found at a time.
+BATCH = 4096
 
 
 @dataclass(frozen=True)
@@ -21,14 +26,17 @@ class EmbeddingConfig:
     #: difference of two vectors at the least cosine has on a random direction.
     projections: int = 24
     window: float = 2.5
-    #: Greatest expected share of true links that the needed count may lose.
+    #: Greatest expected share of true links that the needed count may lose, and that no cell of any table holds.
     miss: float = 1e-6
-    #: Projections that deal vectors to cells: width of a cell and reach of a query there, in the same unit.
+    #: Width of a cell on a dealing projection, in the same unit; projections of a table for each doubling of a label's
+    #: vectors beyond ``per_cell``.
     cell: float = 12.0
-    reach: float = 4.5
-    #: Vectors of a label for which one more dealing projection is used, doubling; and rows of a tile's side.
-    per_cell: int = 1024
+    per_doubling: float = 1.2
+    per_cell: int = 4096
+    #: Rows of a tile's side; cells of up to ``small`` rows share a task; cells of more than ``hot`` rows are hot.
     tile: int = 1024
+    small: int = 64
+    hot: int = 4096
     seed: int = 23
 
 
@@ -46,6 +54,23 @@ def needed_count(cfg: EmbeddingConfig) -> int:
     return m
 
 
+def tables(cfg: EmbeddingConfig, dims: int) -> int:
+    """Tables of ``dims`` dealing projections each such that a pair at the least cosine shares a cell of one but for ``cfg.miss``.
+
+    A difference d (nearly standard normal, in the unit of the cells) straddles no edge of a randomly shifted grid with
+    probability 1 - E|d| / cell.
+    """
+    share = (1 - math.sqrt(2 / math.pi) / cfg.cell) ** dims
+    return 1 if dims == 0 else math.ceil(math.log(cfg.miss) / math.log1p(-share))
+
+
+def dealing(cfg: EmbeddingConfig, rows: int) -> tuple[int, int]:
+    """(projections of a table, tables) for a label of that many distinct vectors."""
+    dims = max(0, math.ceil(cfg.per_doubling * math.log2(max(rows, 1) / cfg.per_cell)))
+    return dims, tables(cfg, dims)
+
+
+@lru_cache(maxsize=8)
 def directions(dim: int, n: int, seed: int) -> np.ndarray:
     """n random directions, in orthonormal sets of up to ``dim``: (dim, n)."""
     rng, out = np.random.default_rng(seed), []
@@ -78,45 +103,75 @@ def collisions(a: np.ndarray, b: np.ndarray, half: float) -> np.ndarray:
     return count
 
 
-def tile_links(home: np.ndarray, other: np.ndarray, cfg: EmbeddingConfig, first: int = 6) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (home, other) with the least cosine or more; rows are unit vectors in double precision.
+def cells_of(unit: np.ndarray, cfg: EmbeddingConfig, dims: int, n_tables: int) -> np.ndarray:
+    """Cell of each unit vector in every table, as one number a table: (rows, tables)."""
+    size, n = unit.shape[1], dims * n_tables
+    shift = np.random.default_rng(cfg.seed + 2).random(n)
+    z = unit @ directions(size, n, cfg.seed + 1) / (spread(cfg, size) * cfg.cell) + shift if n else np.zeros((len(unit), 0))
+    grid = np.floor(z).astype(np.int64).astype(np.uint64).reshape(len(unit), n_tables, dims)
+    code = np.tile(mix(np.arange(1, n_tables + 1, dtype=np.uint64)), (len(unit), 1))
+    for j in range(dims):
+        code = mix(code * np.uint64(0x9E3779B97F4A7C15) + grid[:, :, j])
+    return code.view(np.int64)
 
-    Collisions on the first few projections leave only pairs that can still reach the needed count; their windows on
-    the rest are counted pair by pair, and what passes is verified by its cosine.
-    """
-    dim = home.shape[1]
-    turn = directions(dim, cfg.projections, cfg.seed)
+
+def verified(unit: np.ndarray, i: np.ndarray, j: np.ndarray, fresh_pair, cfg: EmbeddingConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Of the index pairs, those with the needed count of collisions that ``fresh_pair`` accepts and the least cosine."""
+    dim = unit.shape[1]
     half, need = cfg.window * spread(cfg, dim), needed_count(cfg)
-    p, q = home @ turn, other @ turn
-    first = min(first, cfg.projections)
-    early = collisions(p[:, :first], q[:, :first], half)
-    i, j = np.nonzero(early >= need - (cfg.projections - first))
-    found_i, found_j = [], []
-    for at in range(0, len(i), 1 << 17):
-        x, y = i[at : at + (1 << 17)], j[at : at + (1 << 17)]
-        count = early[x, y] + (np.abs(p[x, first:] - q[y, first:]) <= half).sum(axis=1)
-        x, y = x[count >= need], y[count >= need]
-        keep = np.einsum("ij,ij->i", home[x], other[y]) >= cfg.cosine
-        found_i.append(x[keep])
-        found_j.append(y[keep])
+    p = unit @ directions(dim, cfg.projections, cfg.seed)
     none = np.zeros(0, dtype=np.int64)
-    return np.concatenate([none, *found_i]), np.concatenate([none, *found_j])
+    found = [(none, none)]
+    for at in range(0, len(i), 1 << 16):
+        x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+        enough = (np.abs(p[x] - p[y]) <= half).sum(axis=1) >= need
+        x, y = x[enough], y[enough]
+        new = fresh_pair(x, y)
+        x, y = x[new], y[new]
+        keep = np.einsum("ij,ij->i", unit[x], unit[y]) >= cfg.cosine
+        found.append((x[keep], y[keep]))
+    return tuple(np.concatenate(side) for side in zip(*found, strict=True))
+
+
+def candidates(unit: np.ndarray, one: np.ndarray, two: np.ndarray, cfg: EmbeddingConfig, first: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of rows ``one`` with rows ``two`` whose collisions on the first projections may reach the needed count."""
+    first = min(first, cfg.projections)
+    p = unit @ directions(unit.shape[1], cfg.projections, cfg.seed)[:, :first]
+    early = collisions(p[one], p[two], cfg.window * spread(cfg, unit.shape[1]))
+    i, j = np.nonzero(early >= needed_count(cfg) - (cfg.projections - first))
+    return one[i], two[j]
+
+
+def pairs_in_runs(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of rows with the same code, each pair once; for codes that few rows share."""
+    order = np.argsort(code, kind="stable")
+    sorted_code = code[order]
+    end = np.searchsorted(sorted_code, sorted_code, "right")
+    after = end - np.arange(len(code)) - 1
+    i = np.repeat(np.arange(len(code)), after)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+    return order[i], order[j]
+
+
+def node_key() -> F.Column:
+    """128 bits of label and vector (in double precision), as text: what equal vectors of a label share."""
+    vector = F.col("embedding").cast("array<double>")
+    return F.concat_ws(":", F.hex(F.xxhash64("label", vector)), F.hex(F.xxhash64(F.lit(1), vector, "label")))
 
 
 def embedding_links(vectors: DataFrame, cfg: EmbeddingConfig = EmbeddingConfig()) -> tuple[DataFrame, DataFrame]:
     """Distinct vectors with their links: (nodes, links).
 
-    nodes: node, label, embedding, copies, least (smallest vec_id), n_links (vectors linked with each copy, copies of
-    its own included); links: (a, b) node pairs that span the components.
+    nodes: node (128 bits of label and vector), label, embedding, copies, least (smallest vec_id), n_links (vectors
+    linked with each copy, copies of its own included); links: (a, b) node pairs that span the components.
 
-    Equal vectors of a label collapse to one node first, so copies cost one row. Nodes are dealt to cells of a grid
-    over a few projections, one more for every doubling of the label's nodes; a node is at home in one cell and visits
-    the cells that its reach touches, so every linked pair meets in the home cell of either. Cells are cut into tiles
-    of bounded sides, which holds hot cells (a third of all rows near one another) too, and no pair leaves a tile: only
-    counts and spanning links do.
+    Equal vectors of a label collapse to one node first, so copies cost one row. Nodes are dealt to the cells of several
+    randomly shifted grids over a few projections each (``dealing``); only their numbers are exploded, counted and
+    placed, and vectors travel once for each cell that holds another node. A pair counts in the first table where it
+    meets. A hot cell is cut into tiles of bounded sides; nodes whose largest hot cell is the same are compared there
+    alone, and the largest such group of another table's cell skips its pairs there, so a hot group is compared with
+    itself about once and not once a table. No pair leaves a tile: only counts and spanning links do.
     """
-    spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     usable = (
         "label is not null and embedding is not null and size(embedding) > 0 and "
         "not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(embedding, x -> x <> 0)"
@@ -124,78 +179,88 @@ def embedding_links(vectors: DataFrame, cfg: EmbeddingConfig = EmbeddingConfig()
     nodes = cut(
         vectors.where(usable).select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
         .groupBy("label", "embedding").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
-        .withColumn("node", F.xxhash64("label", "embedding"))
+        .withColumn("node", node_key())
     )
     sizes = nodes.groupBy("label", F.size("embedding").alias("dim")).agg(F.count("*").alias("rows"))
-    dealt_by = sizes.withColumn("dims", F.greatest(F.lit(0), F.ceil(F.log2(F.col("rows") / cfg.per_cell))).cast("int"))
-    placed = nodes.withColumn("dim", F.size("embedding")).join(dealt_by, ["label", "dim"]).select("node", "label", "dim", "dims", "copies", "embedding")
+    placed = nodes.withColumn("dim", F.size("embedding")).join(sizes, ["label", "dim"]).select("node", "label", "dim", "rows", "copies", "embedding")
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, label, dim, dims, copies, vector = (batch.column(i) for i in range(6))
-            d, k = dim.to_numpy(), dims.to_numpy()
-            take, cells, home = [], [], []
-            flat, ends = vector.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(d)))
-            for size, deal in {(int(x), int(y)) for x, y in zip(d, k, strict=True)}:
-                at = np.flatnonzero((d == size) & (k == deal))
-                v = flat[ends[at][:, None] + np.arange(size)]
-                v = v / np.linalg.norm(v, axis=1, keepdims=True)
-                unit = spread(cfg, size)
-                z = v @ directions(size, deal, cfg.seed + 1) / (unit * cfg.cell) if deal else np.zeros((len(at), 0))
-                own = np.floor(z).astype(np.int64)
-                lo, hi = (np.floor(z + s * cfg.reach / cfg.cell).astype(np.int64) for s in (-1, 1))
-                rows, grid = np.arange(len(at)), np.zeros((len(at), 0), dtype=np.int64)
-                for j in range(deal):  # a reach shorter than half a cell touches two cells of a projection at most
-                    split = lo[rows, j] != hi[rows, j]
-                    both = np.concatenate((rows, rows[split]))
-                    grid = np.concatenate((np.column_stack((grid, lo[rows, j])), np.column_stack((grid[split], hi[rows[split], j]))))
-                    rows = both
-                home += (grid == own[rows]).all(axis=1).tolist()
-                cells += [",".join(map(str, [size, *g])) for g in grid.tolist()]
-                take.append(at[rows])
-            pick = pa.array(np.concatenate(take)) if take else pa.array([], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [node.take(pick), label.take(pick), copies.take(pick), vector.take(pick), pa.array(cells, pa.string()), pa.array(home, pa.bool_())],
-                names=["node", "label", "copies", "embedding", "cell", "home"],
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(at, BATCH)
+                d, rows = batch.column("dim").to_numpy(), batch.column("rows").to_numpy()
+                flat, ends = batch.column("embedding").flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(d)))
+                codes = [None] * len(d)
+                for size, n in {(int(x), int(y)) for x, y in zip(d, rows, strict=True)}:
+                    mine = np.flatnonzero((d == size) & (rows == n))
+                    v = flat[ends[mine][:, None] + np.arange(size)]
+                    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+                    for k, code in zip(mine.tolist(), cells_of(v, cfg, *dealing(cfg, n)), strict=True):
+                        codes[k] = code
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.list_(pa.int64()))], names=[*batch.schema.names, "codes"])
 
     label_type = vectors.schema["label"].dataType.simpleString()
-    cells = cut(placed.mapInArrow(place, f"node long, label {label_type}, copies long, embedding array<double>, cell string, home boolean"))
-    counts = cells.groupBy("label", "cell").agg(
-        F.ceil(F.count_if("home") / cfg.tile).cast("int").alias("rows"), F.ceil(F.count("*") / cfg.tile).cast("int").alias("cols")
-    ).where("rows > 0")
-    sides = cells.join(counts, ["label", "cell"])
-    row, col = F.pmod(F.xxhash64("node"), F.col("rows")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("cols")).cast("int")
-    tiles = (
-        sides.where("home").select("*", row.alias("r"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c"), F.lit(True).alias("query"))
-        .unionByName(sides.select("*", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"), col.alias("c"), F.lit(False).alias("query")))
-        .select("label", "cell", "r", "c", "query", "node", "copies", "embedding")
+    placed = cut(placed.mapInArrow(place, f"node string, label {label_type}, dim int, rows long, copies long, embedding array<double>, codes array<long>"))
+    cell = ["label", "dim", "t", "code"]
+    dealt = placed.select("node", "label", "dim", "rows", F.posexplode("codes").alias("t", "code"))
+    counts = cut(dealt.groupBy(cell).agg(F.count("*").alias("n")).where("n > 1"))
+    best = (
+        dealt.join(counts.where(F.col("n") > cfg.hot), cell)
+        .groupBy("node").agg(F.max(F.struct("n", "t", "code")).alias("top")).select("node", F.col("top.t").alias("ht"), F.col("top.code").alias("hc"))
+    )
+    held = cut(dealt.join(counts, cell).join(best, "node", "left"))
+    wide = held.where((F.col("n") > cfg.tile) & (F.col("ht") != F.col("t"))).groupBy(*cell, "ht", "hc").agg(F.count("*").alias("m"))
+    major = wide.groupBy(cell).agg(F.max(F.struct("m", "ht", "hc")).alias("major"))
+    inside = F.coalesce((F.col("ht") == F.col("major.ht")) & (F.col("hc") == F.col("major.hc")), F.lit(False))
+    sides = (
+        held.join(major, cell, "left").withColumn("inside", inside).withColumn("m", F.coalesce("major.m", F.lit(0)))
+        .withColumn("across", F.ceil(F.col("m") / cfg.tile).cast("int")).withColumn("own", F.ceil((F.col("n") - F.col("m")) / cfg.tile).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("across")).otherwise(F.col("own"))).cast("int"))
+        .where("not inside or own > 0")
+        .select("*", F.explode(F.when(F.col("inside"), F.sequence(F.lit(0), F.col("own") - 1)).otherwise(F.sequence(-F.col("across"), F.col("own") - 1))).alias("j"))
     )
+    first = ~F.col("inside") & ((F.col("j") < 0) | (F.col("j") >= F.col("block")))
+    few = F.col("n") <= cfg.small
+    tiles = sides.select(
+        "node", "ht", "hc", "t", "code", first.alias("query"), few.alias("few"),
+        F.when(few, F.pmod(F.col("code"), F.ceil(F.col("rows") / cfg.tile))).otherwise(F.col("code")).alias("part"),
+        F.when(first, F.col("block")).otherwise(F.col("j")).alias("r"),
+        F.when(F.col("inside"), -1 - F.col("block")).when(first, F.col("j")).otherwise(F.col("block")).alias("c"),
+    ).join(placed.select("node", "label", "dim", "copies", "embedding", "codes"), "node")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        ask = pdf["query"].to_numpy()
-        if not ask.any() or ask.all():
-            return pd.DataFrame({"node": [], "links": [], "a": [], "b": []})
+        ask, node, copies = (pdf[x].to_numpy() for x in ("query", "node", "copies"))
+        t, codes, code = int(pdf["t"].iloc[0]), np.stack(pdf["codes"].to_numpy()), pdf["code"].to_numpy()
+        ht, hc = (pdf[x].fillna(-1).to_numpy().astype(np.int64) for x in ("ht", "hc"))
         unit = np.stack(pdf["embedding"].to_numpy())
         unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
-        node, copies = pdf["node"].to_numpy(), pdf["copies"].to_numpy()
-        i, j = tile_links(unit[ask], unit[~ask], cfg)
-        a, b = node[ask][i], node[~ask][j]
-        apart = a != b
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        links = np.bincount(i, weights=copies[~ask][j], minlength=int(ask.sum())).astype(np.int64)
+
+        def fresh_pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            together = (ht[x] >= 0) & (ht[x] == ht[y]) & (hc[x] == hc[y])
+            return np.where(together, ht[x] == t, ~(codes[x, :t] == codes[y, :t]).any(axis=1))
+
+        if pdf["few"].iloc[0]:
+            i, j = pairs_in_runs(code)
+        elif pdf["r"].iloc[0] == pdf["c"].iloc[0]:
+            every = np.arange(len(pdf))
+            i, j = candidates(unit, every, every, cfg)
+            i, j = i[i < j], j[i < j]
+        else:
+            i, j = candidates(unit, np.flatnonzero(ask), np.flatnonzero(~ask), cfg)
+        i, j = verified(unit, i, j, fresh_pair, cfg)
+        links = np.bincount(i, weights=copies[j], minlength=len(pdf)) + np.bincount(j, weights=copies[i], minlength=len(pdf))
         some = np.flatnonzero(links)
-        ids, back = np.unique(np.concatenate((a, b)), return_inverse=True)
-        span = forest(len(ids), back[: len(a)], back[len(a) :])
+        span = forest(len(pdf), i, j)
         return pd.concat([
-            pd.DataFrame({"node": node[ask][some], "links": links[some], "a": None, "b": None}),
-            pd.DataFrame({"node": None, "links": None, "a": [ids[x] for x, _ in span], "b": [ids[y] for _, y in span]}),
-        ]).astype({"node": "Int64", "links": "Int64", "a": "Int64", "b": "Int64"})
+            pd.DataFrame({"node": node[some], "links": links[some].astype(np.int64), "a": None, "b": None}),
+            pd.DataFrame({"node": None, "links": None, "a": [node[x] for x, _ in span], "b": [node[y] for _, y in span]}),
+        ]).astype({"links": "Int64"})
 
-    found = cut(tiles.groupBy("label", "cell", "r", "c").applyInPandas(compare, "node long, links long, a long, b long"))
+    found = cut(tiles.groupBy("label", "dim", "t", "few", "part", "r", "c").applyInPandas(compare, "node string, links long, a string, b string"))
+    drop(placed, counts, held)
     linked = found.where("node is not null").groupBy("node").agg(F.sum("links").alias("links"))
-    nodes = nodes.join(linked, "node", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1).drop("links")
-    return nodes, found.where("a is not null").select("a", "b")
+    out = nodes.join(linked, "node", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1).drop("links")
+    return out, found.where("a is not null").select("a", "b")
 
 
 def embedding_duplicates(vectors: DataFrame, cfg: EmbeddingConfig = EmbeddingConfig()) -> DataFrame:
@@ -212,7 +277,7 @@ def embedding_duplicates(vectors: DataFrame, cfg: EmbeddingConfig = EmbeddingCon
     joined = nodes.join(parts, nodes.node == parts.id, "left").withColumn("component", F.coalesce("component", "node"))
     first = joined.groupBy("component").agg(F.min("least").alias("first"))
     known = joined.join(first, "component").select("node", "n_links", "first")
-    rows = vectors.select("vec_id", F.xxhash64("label", F.col("embedding").cast("array<double>")).alias("_h"), F.col("label").isNotNull().alias("_l"))
+    rows = vectors.select("vec_id", node_key().alias("_h"), F.col("label").isNotNull().alias("_l"))
     return rows.join(known, (rows["_h"] == known["node"]) & rows["_l"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("first", "vec_id").alias("component_id"),
         F.coalesce(F.coalesce("first", "vec_id") == F.col("vec_id"), F.col("first").isNull()).alias("kept"),

@@ -34,7 +34,7 @@ def test_embeddings_equal_brute_force(spark):
     rows = [(i, v[i].tolist(), label[i]) for i in range(len(v))]
     rows += [(900, None, 0), (901, [0.0] * 16, 0), (902, [None] + [1.0] * 15, 0), (903, [float("nan")] * 16, 0), (904, v[0].tolist(), None), (905, [], 0), (906, [1.0, 2.0], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("node", F.lit(0)).withColumn("cell", F.lit(0))
-    for cfg in (em.EmbeddingConfig(), em.EmbeddingConfig(per_cell=4, tile=8)):
+    for cfg in (em.EmbeddingConfig(), em.EmbeddingConfig(per_cell=4, tile=8, small=2, hot=8), em.EmbeddingConfig(per_cell=16, tile=8, small=4, hot=30)):
         got = {r.vec_id: r for r in em.embedding_duplicates(df, cfg).collect()}
         u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
         links = (u @ u.T >= 0.98) & (np.array(label)[:, None] == np.array(label)[None, :])
@@ -48,6 +48,25 @@ def test_embeddings_equal_brute_force(spark):
     assert em.embedding_duplicates(df.limit(0)).count() == 0
 
 
+def test_tables_grow_slowly_and_hold_near_pairs():
+    cfg = em.EmbeddingConfig()
+    assert em.dealing(cfg, 4096) == (0, 1) and em.dealing(cfg, 1 << 20)[1] < 30 and em.dealing(cfg, 1 << 30)[1] < 100
+    rng = np.random.default_rng(2)
+    u = rng.normal(size=(20_000, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    turn = rng.normal(size=u.shape)
+    turn -= (turn * u).sum(axis=1, keepdims=True) * u
+    w = 0.98 * u + np.sqrt(1 - 0.98**2) * turn / np.linalg.norm(turn, axis=1, keepdims=True)
+    met = em.cells_of(u, cfg, 10, 20) == em.cells_of(w, cfg, 10, 20)
+    assert abs(met.mean() - (1 - np.sqrt(2 / np.pi) / cfg.cell) ** 10) < 0.03 and met.any(axis=1).all()
+
+
+def test_pairs_in_runs_gives_each_pair_once():
+    code = np.array([3, 1, 3, 2, 1, 3])
+    i, j = em.pairs_in_runs(code)
+    assert sorted(tuple(sorted(x)) for x in zip(i.tolist(), j.tolist(), strict=True)) == [(0, 2), (0, 5), (1, 4), (2, 5)]
+
+
 def test_collisions_are_window_counts():
     rng = np.random.default_rng(1)
     a, b = rng.normal(size=(7, 5)), rng.normal(size=(9, 5))
