@@ -28,11 +28,11 @@ class EmbeddingConfig:
     window: float = 2.5
     #: Greatest expected share of true links that the needed count may lose, and that no cell of any table holds.
     miss: float = 1e-6
-    #: Width of a cell on a dealing projection, in the same unit; projections of a table for each doubling of a label's
-    #: vectors beyond ``per_cell``.
+    #: Width of a cell on a dealing projection, in the same unit; what carrying a vector to a cell costs, in comparisons
+    #: of two; and projections of a table, where not chosen by the least cost.
     cell: float = 12.0
-    per_doubling: float = 1.2
-    per_cell: int = 4096
+    copy: int = 1024
+    dims: int | None = None
     #: Rows of a tile's side; cells of up to ``small`` rows share a task; cells of more than ``hot`` rows are hot.
     tile: int = 1024
     small: int = 64
@@ -65,8 +65,16 @@ def tables(cfg: EmbeddingConfig, dims: int) -> int:
 
 
 def dealing(cfg: EmbeddingConfig, rows: int) -> tuple[int, int]:
-    """(projections of a table, tables) for a label of that many distinct vectors."""
-    dims = max(0, math.ceil(cfg.per_doubling * math.log2(max(rows, 1) / cfg.per_cell)))
+    """(projections of a table, tables) for a label of that many distinct vectors: those of the least cost for a vector.
+
+    Each projection leaves a vector the share ``met`` of unrelated ones in its cell, but asks for more tables.
+    """
+    if cfg.dims is not None:
+        return cfg.dims, tables(cfg, cfg.dims)
+    width = cfg.cell * math.sqrt(2 - 2 * cfg.cosine)
+    far = math.erf(width / 2)
+    met = far - 2 / (width * math.sqrt(math.pi)) * (1 - math.exp(-(width**2) / 4))
+    dims = min(range(65), key=lambda k: tables(cfg, k) * (rows * met**k + cfg.copy))
     return dims, tables(cfg, dims)
 
 

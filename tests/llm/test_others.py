@@ -34,7 +34,7 @@ def test_embeddings_equal_brute_force(spark):
     rows = [(i, v[i].tolist(), label[i]) for i in range(len(v))]
     rows += [(900, None, 0), (901, [0.0] * 16, 0), (902, [None] + [1.0] * 15, 0), (903, [float("nan")] * 16, 0), (904, v[0].tolist(), None), (905, [], 0), (906, [1.0, 2.0], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("node", F.lit(0)).withColumn("cell", F.lit(0))
-    for cfg in (em.EmbeddingConfig(), em.EmbeddingConfig(per_cell=4, tile=8, small=2, hot=8), em.EmbeddingConfig(per_cell=16, tile=8, small=4, hot=30)):
+    for cfg in (em.EmbeddingConfig(), em.EmbeddingConfig(dims=4, tile=8, small=2, hot=8), em.EmbeddingConfig(dims=2, tile=8, small=4, hot=30)):
         got = {r.vec_id: r for r in em.embedding_duplicates(df, cfg).collect()}
         u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
         links = (u @ u.T >= 0.98) & (np.array(label)[:, None] == np.array(label)[None, :])
@@ -50,7 +50,7 @@ def test_embeddings_equal_brute_force(spark):
 
 def test_tables_grow_slowly_and_hold_near_pairs():
     cfg = em.EmbeddingConfig()
-    assert em.dealing(cfg, 4096) == (0, 1) and em.dealing(cfg, 1 << 20)[1] < 30 and em.dealing(cfg, 1 << 30)[1] < 100
+    assert em.dealing(cfg, 0) == em.dealing(cfg, 4096) == (0, 1) and em.dealing(cfg, 1 << 20)[1] < 30 and em.dealing(cfg, 1 << 30)[1] < 100
     rng = np.random.default_rng(2)
     u = rng.normal(size=(20_000, 64))
     u /= np.linalg.norm(u, axis=1, keepdims=True)
