@@ -134,7 +134,10 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_state(state: dict, path: str) -> None:
-    Path(path).write_text(json.dumps(state, default=str))
+    """The state as JSON; a crash while writing leaves the earlier one."""
+    part = Path(f"{path}.part")
+    part.write_text(json.dumps(state, default=str))
+    part.replace(path)
 
 
 def load_state(path: str) -> dict:

@@ -90,13 +90,24 @@ class KillSwitch:
 
 
 class Broker:
-    """In-memory stand-in for a trading connection: positions, cash, fills."""
+    """In-memory stand-in for a paper-trading connection: positions, last prices, cash, fills."""
 
-    def __init__(self, cash: float = 10_000.0, open_: bool = True) -> None:
-        self.cash, self.open, self.positions, self.fills = cash, open_, {}, []
+    def __init__(self, cash: float = 10_000.0, open_: bool = True, paper: bool = True) -> None:
+        if not paper:
+            raise ValueError("only paper trading is supported")
+        self.cash, self.open, self.positions, self.prices, self.fills = cash, open_, {}, {}, []
+
+    @property
+    def gross(self) -> float:
+        return sum(abs(n) * self.prices[s] for s, n in self.positions.items())
+
+    @property
+    def equity(self) -> float:
+        return self.cash + sum(n * self.prices[s] for s, n in self.positions.items())
 
     def submit(self, symbol: str, side: str, qty: int, price: float) -> None:
         sign = 1 if side == "buy" else -1
+        self.prices[symbol] = price
         self.cash -= sign * qty * price
         self.positions[symbol] = self.positions.get(symbol, 0) + sign * qty
         if not self.positions[symbol]:
