@@ -261,26 +261,36 @@ def portfolio_backtest(prices: DataFrame, targets: DataFrame, cfg: PortfolioConf
     """prices (account, date, symbol, open, close) and targets (account, date of execution, side long or short, rank,
     symbol) -> rows of kind equity (date, equity), rebalance (date, turnover, n_positions, symbols) and trade.
 
-    Turnover is over the equity after the rebalancing. Targets are joined to their prices first, so one group holds
-    all that a strategy's pass needs.
+    Turnover is over the equity after the rebalancing. Targets are joined to their prices first, so one group holds all
+    that a strategy's pass needs: prices of the symbols it ever targets, and a row without a price for each of its dates.
     """
     keys = ["account", "date", "symbol"]
-    tagged = prices.join(targets.select(*keys, "side", "rank"), keys, "left")
-    planned = targets.select("account", "date", F.lit(True).alias("_plan")).distinct()
-    joined = tagged.join(F.broadcast(planned), ["account", "date"], "left")
+    wanted = targets.select(*keys, "side", "rank")
+    ever = prices.select(*keys, "open", "close").join(wanted.select("account", "symbol").distinct(), ["account", "symbol"], "left_semi")
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("open", "double"), ("close", "double"), ("side", "string"), ("rank", "int"))]
+    planned = wanted.select("account", "date", F.lit(True).alias("_plan")).distinct()
+    days = prices.select("account", "date").distinct().select("account", "date", F.lit("").alias("symbol"), *nothing)
+    joined = ever.join(wanted, keys, "left").select(*keys, "open", "close", "side", "rank").unionByName(days)
+    joined = joined.join(F.broadcast(planned), ["account", "date"], "left")  # one row a rebalancing
     names = [c.split()[0] for c in REBALANCED.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["date", "symbol"])
         book, name, rows = Portfolio(cfg), pdf["account"].iloc[0], []
-        for day, g in pdf.sort_values(["date", "symbol"]).groupby("date", sort=True):
-            if g["_plan"].notna().any():
-                opens = {s: p for s, p in zip(g["symbol"], g["open"], strict=True) if p == p}
-                pick = lambda side: g[g["side"] == side].sort_values("rank")["symbol"].tolist()  # noqa: B023, E731
+        columns = {c: pdf[c].to_numpy() for c in ("date", "symbol", "open", "close", "side", "rank")}
+        plan = pdf["_plan"].notna().to_numpy()
+        edges = [0, *(np.flatnonzero(columns["date"][1:] != columns["date"][:-1]) + 1), len(pdf)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            day, symbols = columns["date"][a], columns["symbol"][a:b]
+            known = lambda c: {s: p for s, p in zip(symbols, columns[c][a:b].tolist(), strict=True) if p == p}  # noqa: B023, E731
+            if plan[a:b].any():
+                opens, sides, ranks = known("open"), columns["side"][a:b], columns["rank"][a:b]
+                pick = lambda side: [s for _, s in sorted((r, s) for r, s, x in zip(ranks, symbols, sides, strict=True) if x == side)]  # noqa: B023, E731
                 book.traded = 0.0
                 book.rebalance(day, pick("long"), pick("short"), opens)
                 worth = book.value(opens)
                 rows.append({"kind": "rebalance", "date": day, "turnover": book.traded / worth if worth > 0 else 0.0, "n_positions": len(book.held), "symbols": sorted(book.held)})
-            rows.append({"kind": "equity", "date": day, "equity": book.close({s: p for s, p in zip(g["symbol"], g["close"], strict=True) if p == p})})
+            rows.append({"kind": "equity", "date": day, "equity": book.close(known("close"))})
         rows += [dict(zip(("date", "symbol", "side", "shares", "price", "fees"), t, strict=True), kind="trade") for t in book.log]
         out = pd.DataFrame(rows, columns=names).assign(account=name).astype(object)
         return out.where(out.notna(), None)
