@@ -43,16 +43,16 @@ def score(model, rows: DataFrame, cfg: ModelConfig = ModelConfig()) -> DataFrame
     return scored.withColumn("predicted", (F.col("proba") >= cfg.threshold).cast("int")).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def walk_forward(data: DataFrame, folds: DataFrame, features: list[str], cfg: ModelConfig = ModelConfig()) -> DataFrame:
-    """Out-of-sample rows of all folds: data + fold_id, proba, predicted. Every fit is distributed; folds follow one
-    another, as there are a handful."""
+def walk_forward(data: DataFrame, folds: DataFrame, features: list[str], cfg: ModelConfig = ModelConfig(), parts: tuple[str, ...] = ("test",)) -> DataFrame:
+    """Scored rows of all folds: data + fold_id, proba, predicted; out-of-sample ones, or with more ``parts`` (train, test)
+    each fold's, and their part. Every fit is distributed; folds follow one another, as there are a handful."""
     tagged = split_folds(data, folds)
     out = None
     for (k,) in folds.select("fold_id").orderBy("fold_id").collect():  # a handful of ids
         own = tagged.where(F.col("fold_id") == k)
-        made = score(fit(own.where("part = 'train'"), features, cfg), own.where("part = 'test'"), cfg).drop("part")
+        made = score(fit(own.where("part = 'train'"), features, cfg), own.where(F.col("part").isin(*parts)), cfg)
         out = made if out is None else out.unionByName(made)
-    return out
+    return out if len(parts) > 1 else out.drop("part")
 
 
 def score_latest(model, rows: DataFrame, features: list[str], cfg: ModelConfig = ModelConfig(), time: str = "ts") -> DataFrame:
@@ -76,14 +76,9 @@ def in_and_out_of_sample(data: DataFrame, folds: DataFrame, features: list[str],
 
     data: target, the features, realized_return. A large gap between the parts is a sign of overfitting.
     """
-    tagged, out = split_folds(data, folds), None
-    for (k,) in folds.select("fold_id").orderBy("fold_id").collect():  # a handful of ids
-        own = tagged.where(F.col("fold_id") == k)
-        made = score(fit(own.where("part = 'train'"), features, cfg), own, cfg)
-        signal = F.when(F.col("predicted") == 1, F.col("realized_return"))
-        row = made.groupBy("fold_id", "part").agg(
-            F.count("*").alias("n"), F.avg((F.col("predicted") == F.col("target")).cast("double")).alias("accuracy"),
-            F.sum("predicted").alias("n_signals"), F.avg(signal).alias("mean_return"),
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+    made = walk_forward(data, folds, features, cfg, ("train", "test"))
+    signal = F.when(F.col("predicted") == 1, F.col("realized_return"))
+    return made.groupBy("fold_id", "part").agg(
+        F.count("*").alias("n"), F.avg((F.col("predicted") == F.col("target")).cast("double")).alias("accuracy"),
+        F.sum("predicted").alias("n_signals"), F.avg(signal).alias("mean_return"),
+    )

@@ -1,8 +1,9 @@
 """Session defaults."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "quantspark", **conf: str) -> SparkSession:
@@ -25,3 +26,10 @@ def shared_folder(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df``, written to the shared folder and read again: made once however often it is read, whatever executors are lost."""
+    path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
