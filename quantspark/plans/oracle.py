@@ -382,3 +382,16 @@ ORACLE["drawdown_resets"] = q("""SELECT account, count(*) FILTER (WHERE tripped)
         SELECT *, max(equity) OVER (PARTITION BY account, epoch ORDER BY ts) AS peak FROM (
           SELECT *, CAST(ts >= d + INTERVAL 10 DAY AS INT) + CAST(ts >= d + INTERVAL 20 DAY AS INT) AS epoch
           FROM acct, (SELECT CAST(min(ts) AS DATE) AS d FROM acct)))) GROUP BY 1""", "acct")
+ORACLE["entry_candidates"] = q("""SELECT symbol, round(price, 6) AS price, round(proba, 6) AS proba, CAST(CASE WHEN want <= 0 THEN 0 ELSE least(want, fit) END AS BIGINT) AS shares,
+      CASE WHEN want <= 0 THEN 'size' WHEN fit <= 0 THEN 'exposure' WHEN fit < want THEN 'trimmed' ELSE 'ok' END AS reason
+    FROM (SELECT symbol, price, price / (price + first) AS proba, CASE WHEN price > 0 THEN floor(1e5 * 0.25 / price) ELSE 0 END AS want, floor(1e4 / nullif(price, 0)) AS fit
+      FROM (SELECT symbol, arg_max(close, ts) AS price, arg_min(open, ts) AS first, count(*) AS n FROM intra GROUP BY 1) WHERE n >= 60 AND price > first AND symbol <> 'signup')""", "intra")
+ORACLE["position_exits"] = q("""SELECT symbol, reason, round(CASE reason WHEN 'stop_loss' THEN price - 40 WHEN 'take_profit' THEN price + 60 ELSE last END, 6) AS price
+    FROM (SELECT *, CASE WHEN low <= price - 40 THEN 'stop_loss' WHEN high >= price + 60 THEN 'take_profit' ELSE 'max_holding' END AS reason FROM (
+      SELECT h.symbol, any_value(h.price) AS price, min(low) AS low, max(high) AS high, arg_max(close, date) AS last
+      FROM (SELECT symbol, arg_min(close, date) AS price, min(date) AS since FROM daily GROUP BY 1) h LEFT JOIN daily d ON d.symbol = h.symbol AND d.date > h.since GROUP BY 1))""", "daily")
+ORACLE["stream_exits"] = q("""SELECT symbol, ts, CASE WHEN low <= px - 1000 THEN 'stop_loss' WHEN high >= px * 3 THEN 'take_profit' ELSE 'max_holding' END AS reason,
+      round(CASE WHEN low <= px - 1000 THEN px - 1000 WHEN high >= px * 3 THEN px * 3 ELSE close END, 6) AS price
+    FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM (
+      SELECT *, first(close) OVER w AS px, first(ts) OVER w AS since FROM intra WINDOW w AS (PARTITION BY symbol ORDER BY ts))
+      WHERE low <= px - 1000 OR high >= px * 3 OR ts >= since + INTERVAL 4 DAY) WHERE k = 1""", "intra")

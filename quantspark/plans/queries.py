@@ -796,10 +796,45 @@ def stream_features(spark, d):
 
 @query
 def stream_exits(spark, d):
-    """Exits that one batch of bars gives for positions entered at the first close of each symbol."""
+    """Positions entered at the first close of each symbol, watched by keyed state over a stream of the hourly bars."""
+    import uuid
+
+    from quantspark.session import shared_folder
+    from quantspark.streaming import live, loop
+
+    at = f"{shared_folder(spark)}/exits-{uuid.uuid4().hex}"
+    bars = sessions(spark, d).select("symbol", F.col("ts").cast("timestamp").alias("ts"), "open", "high", "low", "close", "volume")
+    bars.write.parquet(f"{at}/bars")
+    entry = spark.read.parquet(f"{at}/bars").groupBy("symbol").agg(F.min_by("close", "ts").alias("px"), F.min("ts").alias("ts"))
+    opened = entry.select("symbol", "ts", (F.col("px") - 1000).alias("stop"), (F.col("px") * 3).alias("target"), (F.col("ts") + F.expr("interval 4 days")).alias("deadline"))
+    opened.write.parquet(f"{at}/opened")
+    source = spark.readStream.schema(opened.schema).parquet(f"{at}/opened")
+    stream = loop.stream_exits(source, spark.readStream.schema(live.BAR).parquet(f"{at}/bars"), "30 days")
+    run = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return rounded(spark.read.schema(stream.schema).parquet(f"{at}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+
+
+@query
+def entry_candidates(spark, d):
+    """Symbols with enough hourly bars that end above their first open, and the gate's answer to them."""
+    from quantspark.streaming import loop
+
+    bars = sessions(spark, d)
+    last, first = F.max_by("close", "ts"), F.min_by("open", "ts")
+    scores = bars.groupBy("symbol").agg((last > first).cast("int").alias("predicted"), (last / (last + first)).alias("proba"))
+    state = {"equity": F.lit(1e5), "gross_exposure": F.lit(9e4), "day_trades": F.lit(0), "drawdown_tripped": F.lit(False), "daily_tripped": F.lit(False)}
+    asked = loop.candidates(bars, scores, ["signup"]).withColumns(state)
+    return rounded(rk.risk_gate(asked).select("symbol", "price", "proba", "shares", "reason"))
+
+
+@query
+def position_exits(spark, d):
+    """A position a brand, opened at its first close, against the bars after it."""
     from quantspark.streaming import live
 
-    bars = sessions(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    entry = bars.groupBy("symbol").agg(F.min_by("close", "ts").alias("px"))
-    positions = entry.select("symbol", (F.col("px") * 0.5).alias("stop"), (F.col("px") * 4).alias("target"), F.lit(dt.datetime(2024, 2, 1)).alias("deadline"))
-    return rounded(live.exits(positions, bars, dt.datetime(2024, 2, 2)))
+    panel = daily(spark, d).withColumn("ts", F.col("date").cast("timestamp_ntz"))
+    held = panel.groupBy("symbol").agg(F.min_by("close", "ts").alias("price"), F.min("ts").alias("since"))
+    positions = held.select("symbol", (F.col("price") - 40).alias("stop"), (F.col("price") + 60).alias("target"), F.lit("1998-01-01").cast("timestamp_ntz").alias("deadline"))
+    later = panel.join(held, "symbol").where("ts > since")
+    return rounded(live.exits(positions, later, F.lit("1998-06-01").cast("timestamp_ntz")))

@@ -186,7 +186,7 @@ def flatten(broker: Broker, switch: KillSwitch, why: str = "flattened") -> int:
     return len(known)
 
 
-EXIT = "symbol string, ts timestamp, reason string, price double"
+EXIT = "symbol string, ms bigint, reason string, price double"
 EXIT_STATE = "stop double, target double, deadline bigint, close double"
 
 
@@ -202,21 +202,21 @@ def _watch(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
 
     if state.hasTimedOut:
         if held is not None:
-            leave(pd.Timestamp(held[2], unit="ms"), "max_holding", held[3])
+            leave(held[2], "max_holding", held[3])
     else:
         # A position counts from its stamp on, so that bar itself is watched too.
-        rows = pd.concat(list(frames)).assign(bar=lambda x: x["stop"].isna()).sort_values(["ts", "bar"], kind="stable")
+        rows = pd.concat(list(frames)).assign(bar=lambda x: x["stop"].isna()).sort_values(["ms", "bar"], kind="stable")
         for r in rows.itertuples():
             if not r.bar:
-                held = (r.stop, r.target, int(pd.Timestamp(r.deadline).timestamp() * 1000), None)
+                held = (r.stop, r.target, int(r.deadline), None)
             elif held is not None:
                 stop, target, deadline, _ = held
                 if r.low <= stop:
-                    leave(r.ts, "stop_loss", stop)
+                    leave(r.ms, "stop_loss", stop)
                 elif r.high >= target:
-                    leave(r.ts, "take_profit", target)
-                elif r.ts.timestamp() * 1000 >= deadline:
-                    leave(r.ts, "max_holding", r.close)
+                    leave(r.ms, "take_profit", target)
+                elif r.ms >= deadline:
+                    leave(r.ms, "max_holding", r.close)
                 else:
                     held = (stop, target, deadline, r.close)
     if held is None:
@@ -225,7 +225,7 @@ def _watch(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
     else:
         state.update(held)
         state.setTimeoutTimestamp(max(held[2], state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(found, columns=["symbol", "ts", "reason", "price"]).astype({"ts": "datetime64[ns]", "price": "float64"})
+    yield pd.DataFrame(found, columns=["symbol", "ms", "reason", "price"]).astype({"ms": "int64", "price": "float64"})
 
 
 def stream_exits(opened: DataFrame, bars: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -233,10 +233,14 @@ def stream_exits(opened: DataFrame, bars: DataFrame, delay: str = "10 minutes")
     bars (symbol, ts, low, high, close, ...).
 
     One position a symbol is kept in keyed state; a bar closes it at the stop before the target before the deadline, and
-    a timer does at its last close once the watermark passes the deadline without a bar.
+    a timer does at its last close once the watermark passes the deadline without a bar. Stamps reach Python as
+    milliseconds, so the session's time zone doesn't matter.
     """
-    rows = opened.select("symbol", "ts", "stop", "target", "deadline").unionByName(bars.select("symbol", "ts", "low", "high", "close"), allowMissingColumns=True)
-    return rows.withWatermark("ts", delay).groupBy("symbol").applyInPandasWithState(_watch, EXIT, EXIT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    opened = opened.select("symbol", "ts", "stop", "target", F.unix_millis("deadline").alias("deadline"))
+    rows = opened.unionByName(bars.select("symbol", "ts", "low", "high", "close"), allowMissingColumns=True)
+    seen = rows.withWatermark("ts", delay).withColumn("ms", F.unix_millis("ts")).groupBy("symbol")
+    closed = seen.applyInPandasWithState(_watch, EXIT, EXIT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return closed.select("symbol", F.timestamp_millis("ms").alias("ts"), "reason", "price")
 
 
 def log_lines(path: str) -> Callable[[dict], None]:

@@ -147,5 +147,5 @@ def test_stream_exits(spark, tmp_path):
     run()
     make([("N", 300, 1.0, 200.0)])  # the watermark passes Q's deadline
     run()
-    got = {r.symbol: (r.ts, r.reason, r.price) for r in spark.read.schema(loop.EXIT).parquet(str(tmp_path / "out")).collect()}
+    got = {r.symbol: (r.ts, r.reason, r.price) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"S": (m(2), "stop_loss", 99.0), "T": (m(3), "take_profit", 102.0), "D": (m(30), "max_holding", 100.0), "Q": (m(30), "max_holding", 100.0)}

@@ -47,5 +47,5 @@ def test_query_matches_sql(spark, duck, name):
 
 
 def test_every_query_has_sql_or_is_sequential():
-    sequential = {"event_backtest", "portfolio_backtest", "gbt_walk_forward", "t_pvalue", "stream_features", "stream_exits"}
+    sequential = {"event_backtest", "portfolio_backtest", "gbt_walk_forward", "t_pvalue", "stream_features"}
     assert set(QUERIES) - set(ORACLE) == sequential
