@@ -27,8 +27,10 @@ def read_cache(spark: SparkSession, path: str, timeframe: str, symbols: list[str
     return (df if end is None else df.where(F.col(time) <= F.lit(end))).drop("timeframe")
 
 
-def cache_or_fetch(spark: SparkSession, path: str, timeframe: str, symbols: list[str], fetch, use_cache: bool = True) -> DataFrame:
-    """Cached bars, and those of missing symbols from ``fetch(symbols)``, which are cached then."""
+def cache_or_fetch(spark: SparkSession, path: str, timeframe: str, symbols: list[str], fetch, use_cache: bool = True, first=None, last=None) -> DataFrame:
+    """Cached bars, and those of missing symbols from ``fetch(symbols)``, which are cached then. Each range from ``first`` to
+    ``last`` is cached for itself, so a longer one never gets a shorter one's bars."""
+    timeframe = timeframe if first is None and last is None else f"{timeframe}_{first}_{last}"
     have: set[str] = set()
     if use_cache and exists(spark, path):
         known = spark.read.parquet(path).where((F.col("timeframe") == timeframe) & F.col("symbol").isin(*symbols))

@@ -9,6 +9,7 @@ from quantspark.operators import ml
 from quantspark.operators import simulate as sm
 from quantspark.plans import queries as q
 from quantspark.plans import studies as st
+from quantspark.sources.io import cache_or_fetch
 from quantspark.streaming import live
 
 SF = "/root/testdata/sf0.01"
@@ -80,6 +81,17 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(args) == 1
 
 
+def test_ranges_are_cached_apart(spark, tmp_path):
+    asked = []
+
+    def fetch(n):
+        return lambda symbols: asked.append(n) or spark.range(n).selectExpr("'A' symbol", "timestamp_seconds(id) ts", "id * 1.0d close")
+
+    for n, last in ((2, "2026-01-02"), (5, "2026-01-05"), (2, "2026-01-02")):
+        assert cache_or_fetch(spark, str(tmp_path / "c"), "1Min", ["A"], fetch(n), first="2026-01-01", last=last).count() == n
+    assert asked == [2, 5]
+
+
 def test_unknown_query(spark):
     with pytest.raises(KeyError):
         main(["query", SF, "--name", "nothing"])
