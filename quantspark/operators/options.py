@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantspark.functions.stats import t_statistic
+from quantspark.schema import half_up
 
 MONEYNESS = (1.00, 0.99, 0.98, 0.97, 0.95, 0.92, 0.90)
 SHOCKS = (-0.10, -0.20, -0.30)
@@ -38,7 +39,7 @@ def entry_days(months: DataFrame, prices: DataFrame, days: int = 30) -> DataFram
 def with_strike(months: DataFrame, moneyness: tuple[float, ...] = MONEYNESS, premium_share: float = 0.01) -> DataFrame:
     """+ moneyness, strike (half to even), premium: one row for each moneyness."""
     m = F.explode(F.array(*[F.lit(x) for x in moneyness]))
-    return months.withColumn("moneyness", m).withColumn("strike", F.bround(F.col("spot") * F.col("moneyness"), 0)).withColumn("premium", F.round(F.col("spot") * premium_share, 2))
+    return months.withColumn("moneyness", m).withColumn("strike", F.bround(F.col("spot") * F.col("moneyness"), 0)).withColumn("premium", half_up(F.col("spot") * premium_share, 2))
 
 
 def put_payoff(months: DataFrame) -> DataFrame:

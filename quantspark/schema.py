@@ -39,6 +39,13 @@ def nan_to_null(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})
 
 
+def half_up(x, digits: int):
+    """A double rounded half away from zero as SQL does, after scaling: F.round looks at the decimal text, so it makes
+    9.155, whose product with 100 is below 915.5, 9.16. What can't be scaled stays."""
+    scaled = x * 10.0**digits
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled, 0) / 10.0**digits).otherwise(x)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Every double column rounded: rolling aggregates differ between engines in the last places. Minus zero becomes zero."""
-    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(half_up(F.col(c), digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
