@@ -32,7 +32,7 @@ def tables(tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["moneyness_sweep", "option_legs"])
+@pytest.mark.parametrize("name", ["moneyness_sweep", "option_legs", "straddle_pnl"])
 def test_half_cents_match_sql(spark, tables, name):
     con = duckdb.connect()
     for t in ("part", "lineitem"):
