@@ -1,11 +1,14 @@
 """Main text of web pages: markup parsed into lines, pages differenced against the nearest URLs of their host."""
 
 import html as html_entities
+import pickle
 import re
+import tempfile
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +57,8 @@ class PagesConfig:
     copy_unmarked: float = 0.9
     #: Main text elements decide if they hold this share of the text outside furniture (a teaser card doesn't).
     least_main: float = 0.5
-    #: Places in the order of URLs within which a page's neighbours are looked for; pages of a block, and the greatest
-    #: number of blocks, whose bounds every task holds (blocks grow beyond).
+    #: Pages of a block's halo on either side, which spare most blocks a look at others (neighbours are found at any
+    #: distance); pages of a block, and the greatest number of blocks, whose bounds every task holds (blocks grow beyond).
     reach: int = 16
     block: int = 512
     most_blocks: int = 4096
@@ -236,21 +239,19 @@ def _key(host: str, path: str, page) -> tuple:
 @dataclass(frozen=True)
 class Blocks:
     """The order of pages cut into blocks: the keys at which blocks begin but for the first, and for each of these where
-    the halo of the block that begins there starts, and where that of the block before ends (None: the last page)."""
+    the halo of the block that begins there starts (before it), and where that of the block before ends (None: the last page)."""
 
     starts: list[tuple]
     lows: list[tuple]
     highs: list[tuple | None]
 
-    def of(self, key: tuple) -> list[tuple[int, bool]]:
-        """The blocks that a page belongs to, and whether it is their own."""
+    def of(self, key: tuple) -> list[tuple[int, int]]:
+        """The blocks that a page belongs to: 0 where it is in the halo, in its own block 1, 2 more if it is in the halo of
+        the next block as well, 4 more for the block before."""
         at = bisect_right(self.starts, key)
-        out = [(at, True)]
-        if at < len(self.starts) and key >= self.lows[at]:
-            out.append((at + 1, False))
-        if at and (self.highs[at - 1] is None or key <= self.highs[at - 1]):
-            out.append((at - 1, False))
-        return out
+        after = at < len(self.starts) and key >= self.lows[at]
+        before = at > 0 and (self.highs[at - 1] is None or key <= self.highs[at - 1])
+        return [(at, 1 + 2 * after + 4 * before)] + [(at + 1, 0)] * after + [(at - 1, 0)] * before
 
 
 def block_bounds(keys: DataFrame, cfg: PagesConfig) -> Blocks:
@@ -271,7 +272,8 @@ def block_bounds(keys: DataFrame, cfg: PagesConfig) -> Blocks:
     wanted = placed.where((F.col("place") >= block - reach) & (F.col("place") % block).isin(0, block - reach, reach - 1))
     found = {r["place"]: _key(r["host"], r["path"], r["page_id"]) for r in wanted.select(*order, "place").collect()}
     drop(ranged)
-    at = sorted(p for p in found if p % block == 0)
+    # A block begins where the page before it has a smaller key; repeated pages stay together.
+    at = sorted(p for p in found if p % block == 0 and found[p - reach] < found[p])
     return Blocks([found[p] for p in at], [found[p - reach] for p in at], [found.get(p + reach - 1) for p in at])
 
 
@@ -287,7 +289,7 @@ def _parsed(shared):
                 pa.array([bytes(x[1] + 2 * x[2] for x in page) for page in lines], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(
-                [*(x.take(rows) for x in made), pa.array([b for _, b, _ in where], pa.int32()), pa.array([own for _, _, own in where], pa.bool_())],
+                [*(x.take(rows) for x in made), pa.array([b for _, b, _ in where], pa.int32()), pa.array([own for _, _, own in where], pa.int32())],
                 names=["page_id", "url", "host", "path", "lines", "marks", "block", "own"],
             )
 
@@ -300,54 +302,114 @@ class _Page:
     url: str | None
     lines: list[tuple[str, bool, bool]]
     texts: list[str]
-    own: bool
-    place: int
-    #: Number of the row of near copies that the page is in; lines aligned with the page before and with the one after.
-    row: int = 0
+    own: int
+    #: Lines aligned with the page before and with the one after.
     before: np.ndarray | None = None
     after: np.ndarray | None = None
 
 
-def _text(pages: list[_Page], i: int, cfg: PagesConfig) -> str:
-    """Main text of the i-th of consecutive pages of a host, by those in its reach."""
-    me, shared, further = pages[i], [], []
-    for step in (-1, 1):
-        row, found = me.row, []
-        for j in range(i + step, len(pages) if step > 0 else -1, step):
-            if abs(pages[j].place - me.place) > cfg.reach or len(found) == 2:
-                break
-            if pages[j].row != row:
-                row = pages[j].row
-                found.append(j)
-        if found:
-            known = (me.before if step < 0 else me.after) if found[0] == i + step else None
-            shared.append(shared_lines(me.texts, pages[found[0]].texts) if known is None else known)
-            further += [set(pages[j].texts) for j in found[1:]]
-    return main_text(me.lines, shared, further, cfg)
+class _Row:
+    """A row of near copies in a block: its own pages, the last ones of the two rows before (nearest first), and the first
+    ones of the two rows after. Beyond some pages, those that wait are kept in a file."""
+
+    def __init__(self, before: list[list[str]], keep: int):
+        self.before, self.after, self.keep = before, [], keep
+        self.pages: list[_Page] = []
+        self.file = None
+
+    def add(self, page: _Page) -> None:
+        if len(self.pages) < self.keep:
+            self.pages.append(page)
+            return
+        if self.file is None:
+            self.file = tempfile.SpooledTemporaryFile(max_size=1 << 24)
+        pickle.dump(page, self.file)
+
+    def texts(self, cfg: PagesConfig) -> Iterator[tuple]:
+        """(page_id, url, text) of the pages."""
+        further = [set(side[1]) for side in (self.before, self.after) if len(side) > 1]
+        for page in self._all():
+            shared = [
+                shared_lines(page.texts, side[0]) if known is None else known
+                for side, known in ((self.before, page.before), (self.after, page.after)) if side
+            ]
+            yield page.page, page.url, main_text(page.lines, shared, further, cfg)
+
+    def _all(self) -> Iterator[_Page]:
+        yield from self.pages
+        if self.file is not None:
+            end = self.file.tell()
+            self.file.seek(0)
+            while self.file.tell() < end:
+                yield pickle.load(self.file)
+            self.file.close()
+
+
+def _in_order(batches: Iterable[pa.RecordBatch], cfg: PagesConfig) -> Iterator[tuple]:
+    """(block, host, page, page before it on its host, whether a row of near copies begins with it, far) of the rows in
+    order; without host and page for the first row of a block, which brings what lies far."""
+    last, key = None, None
+    for batch in batches:
+        for page, url, host, texts, flags, block, own, far in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+            if host is None:
+                yield block, None, None, None, False, sorted(far or [], key=lambda x: x["rank"])
+                continue
+            if (block, host) != key:
+                last, key = None, (block, host)
+            new, begins = _Page(page, url, [(t, bool(f & 1), f > 1) for t, f in zip(texts, flags, strict=True)], texts, own), True
+            if last is not None:
+                before, after = shared_lines(texts, last.texts), shared_lines(last.texts, texts)
+                begins = not near_copies(new.lines, last.lines, before, after, cfg)
+                if begins:
+                    new.before, last.after = before, after
+            yield block, host, new, last, begins, None
+            last = new
 
 
 def _differenced(cfg: PagesConfig):
     """Of pages in order, block by block with the halo of each: the text of those that are the block's own."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[_Page] = []  # of one block and host: those in the reach of a page that isn't done, and that ones
-        todo, key, kind = 0, None, pa.int64()
-
-        def done(until: int | None) -> list[tuple]:
-            """Pages whose whole reach is known; all at the end of a block or host."""
-            nonlocal todo
-            rows = []
-            while todo < len(held) and (until is None or held[todo].place + cfg.reach < until):
-                if held[todo].own:
-                    rows.append((held[todo].page, held[todo].url, _text(held, todo, cfg)))
-                todo += 1
-            if until is None:
-                held.clear()
-                todo = 0
-            while todo and held[0].place + cfg.reach < held[min(todo, len(held) - 1)].place:
-                del held[0]
-                todo -= 1
-            return rows
+        kind = pa.int64()
+
+        def typed() -> Iterator[pa.RecordBatch]:
+            nonlocal kind
+            for batch in batches:
+                kind = batch.column(0).type
+                yield batch
+
+        def results() -> Iterator[tuple]:
+            rows: list[_Row] = []  # of one block and host: those that wait for rows after them
+            key, far = None, []
+
+            def ended(final: bool) -> Iterator[tuple]:
+                """What is left at the end of a host; at the end of a block, rows after it may lie far."""
+                ahead = [x["texts"] for x in far if final and key and x["side"] == 1 and x["host"] == key[1]]
+                for row in rows:
+                    row.after = (row.after + ahead)[:2]
+                    yield from row.texts(cfg)
+                rows.clear()
+
+            for block, host, page, last, begins, brought in _in_order(typed(), cfg):
+                if page is None:
+                    yield from ended(True)
+                    key, far = None, brought
+                    continue
+                if (block, host) != key:
+                    yield from ended(False)
+                    # Only the first host of a block can have rows before it that lie far.
+                    behind = [x["texts"] for x in far if key is None and x["side"] == 0 and x["host"] == host]
+                    key = (block, host)
+                    rows.append(_Row(behind, cfg.reach))
+                elif begins:
+                    for row in rows:
+                        row.after.append(page.texts)
+                    rows.append(_Row([last.texts, *rows[-1].before[:1]], cfg.reach))
+                    while len(rows[0].after) == 2:
+                        yield from rows.pop(0).texts(cfg)
+                if page.own:
+                    rows[-1].add(page)
+            yield from ended(True)
 
         def emit(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
@@ -355,39 +417,109 @@ def _differenced(cfg: PagesConfig):
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-        for batch in batches:
-            rows, kind = [], batch.column(0).type
-            for page, address, host, texts, flags, block, own in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                if (block, host) != key:
-                    rows += done(None)
-                    key = (block, host)
-                place = held[-1].place + 1 if held else 0
-                new = _Page(page, address, [(t, bool(f & 1), f > 1) for t, f in zip(texts, flags, strict=True)], texts, own, place)
-                if held:
-                    last = held[-1]
-                    new.before, last.after = shared_lines(texts, last.texts), shared_lines(last.texts, texts)
-                    new.row = last.row + (not near_copies(new.lines, last.lines, new.before, last.after, cfg))
-                held.append(new)
-                rows += done(place)
-            yield emit(rows)
-        yield emit(done(None))
+        ready: list[tuple] = []
+        for row in results():
+            ready.append(row)
+            if len(ready) == 64:
+                yield emit(ready)
+                ready = []
+        yield emit(ready)
+
+    return run
+
+
+def _edges(cfg: PagesConfig):
+    """Of pages in order, block by block: whether the block needs rows before its halo or after it (side 0 and 1; some page
+    of its own has fewer than two there), and what others may need of it, the last pages of its last two rows (side 0) and
+    the first ones of its first two (side 1), once of all rows and once of those that no halo beside it holds. Block and
+    place are negative on side 1, so that on both sides what comes first in order lies ahead."""
+
+    def of_block(block: int, rows: Iterator[tuple]) -> Iterator[tuple]:
+        first = left = own = None  # hosts: of the first page, of the first own one if it goes on from before, of the last own one
+        breaks = ahead = place = 0
+        goes_on, now, lasts, firsts = False, None, [], []
+        for _, now, page, last, begins, _ in rows:
+            place += 1
+            broke = begins and last is not None
+            first = now if place == 1 else first
+            breaks += broke and now == first
+            if page.own:
+                if own is None:
+                    left = now if last is not None else None
+                    if block and now == first and breaks < 2:
+                        yield now, 0, True, block, 0, False, None
+                if last is None:
+                    lasts = []
+                own = now
+                if broke and now == left:
+                    firsts.append((place, page.texts, bool(page.own & 4)))
+            elif own is not None and now == own:
+                goes_on = True
+                ahead += broke
+            if broke and last.own:
+                lasts.append((place - 1, last.texts, bool(last.own & 2)))
+                lasts = _nearest(lasts[::-1])[::-1]
+            firsts = _nearest(firsts)
+        if goes_on:
+            if now == own and ahead < 2:
+                yield own, 1, True, -block, 0, False, None
+            for at, texts, inside in lasts:
+                yield own, 0, False, block, at, inside, texts
+        for at, texts, inside in firsts:
+            yield left, 1, False, -block, -at, inside, texts
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in groupby(_in_order(batches, cfg), key=lambda x: x[0]):
+            found = list(of_block(block, (x for x in rows if x[2] is not None)))
+            if found:
+                types = [pa.string(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), types, strict=True)], names=["host", "side", "need", "block", "place", "inside", "texts"])
 
     return run
 
 
+def _nearest(found: list[tuple]) -> list[tuple]:
+    """The first two, and the first two that aren't inside a halo."""
+    outside = [x for x in found if not x[2]][:2]
+    return [x for i, x in enumerate(found) if i < 2 or any(x is y for y in outside)]
+
+
+def _far(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of edges by host, side, block (needs first) and place: (block, side, rank, host, texts), the nearest two that lie
+    before the reach of each block in need."""
+    key, kept = None, []
+    for batch in batches:
+        out = []
+        for host, side, need, block, _, inside, texts in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            if (host, side) != key:
+                key, kept = (host, side), []
+            if need:
+                near = [x[2] for x in kept if not (x[1] and x[0] == block - 1)][-2:]
+                out += [(abs(block), side, rank, host, x) for rank, x in enumerate(reversed(near))]
+                continue
+            if kept and kept[-1][0] != block:
+                del kept[:-2]
+            kept.append((block, inside, texts))
+        if out:
+            types = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=["at", "side", "rank", "host", "texts"])
+
+
 def extract_pages(pages: DataFrame, cfg: PagesConfig = PagesConfig()) -> DataFrame:
     """(page_id, url, text, n_chars), one row for each page.
 
     Pages are parsed to lines and ordered by (host, path, page_id). A page is compared with the nearest page before and
-    the nearest after it on its host, at most cfg.reach places away, that aren't near copies of it: copies of an article
-    would else lose it. (A row of near copies is one in which each is a near copy of the page before it.) Lines aligned
+    the nearest after it on its host, however far, that aren't near copies of it: copies of an article would else lose it.
+    (A row of near copies is one in which each is a near copy of the page before it.) Lines aligned
     with either neighbour by the longest common subsequence are deleted; in the elements that mark main text (<article>,
     <main>) those aligned with each, if the next nearest on either side hold them too. What markup names as furniture
     goes as well, as adverts and the like are mostly different on every page and differencing alone leaves them.
 
     The order is cut into blocks of cfg.block pages, each with a halo of cfg.reach pages on either side, so a host with a
-    third of all pages spans many tasks, and the result doesn't depend on how rows are dealt to partitions. The blocks'
-    bounds are found on the keys alone; the pages are parsed and shuffled once.
+    third of all pages spans many tasks, and the result doesn't depend on how rows are dealt to partitions. Where a row of
+    near copies fills a halo, the block gets the pages beyond it from the edges of other blocks. The blocks' bounds are
+    found on the keys alone; the pages are parsed and shuffled once, and compared with those beside them twice (for the
+    edges and for the texts).
 
     Null html is empty and gives empty text; a null url is the host and path of an empty one; repeated pages are
     neighbours of each other; pages with nothing but shared lines and furniture are empty; an empty table gives no rows;
@@ -400,11 +532,27 @@ def extract_pages(pages: DataFrame, cfg: PagesConfig = PagesConfig()) -> DataFra
         "page_id", "url", F.lower(F.substring_index(place, "/", 1)).alias("host"), F.regexp_replace(place, "/+$", "").alias("path"),
         F.coalesce("html", F.lit("")).alias("html"),
     )
-    shared = pages.sparkSession.sparkContext.broadcast(block_bounds(keyed.select("host", "path", "page_id"), cfg))
-    parsed = keyed.mapInArrow(
-        _parsed(shared), f"page_id {kind}, url string, host string, path string, lines array<string>, marks binary, block int, own boolean"
+    bounds = block_bounds(keyed.select("host", "path", "page_id"), cfg)
+    shared = pages.sparkSession.sparkContext.broadcast(bounds)
+    columns = f"page_id {kind}, url string, host string, path string, lines array<string>, marks binary, block int, own int"
+    parsed = keyed.mapInArrow(_parsed(shared), columns)
+    # A row without host begins each block (nulls come first).
+    begin = pages.sparkSession.range(0, len(bounds.starts) + 1, 1, 1).selectExpr(
+        f"cast(null as {kind}) page_id", "cast(null as string) url", "cast(null as string) host", "cast(null as string) path",
+        "cast(null as array<string>) lines", "cast(null as binary) marks", "cast(id as int) block", "0 own",
+    )
+    dealt, order = parsed.unionByName(begin).repartition("block"), ["block", "host", "path", "page_id", F.xxhash64("lines", "marks")]
+    read = ["page_id", "url", "host", "lines", "marks", "block", "own"]
+    edges = dealt.sortWithinPartitions(*order).select(*read, F.lit(None).cast("array<string>")).mapInArrow(
+        _edges(cfg), "host string, side int, need boolean, block int, place int, inside boolean, texts array<string>"
+    )
+    far = (
+        edges.repartition("host", "side").sortWithinPartitions("host", "side", "block", F.desc("need"), "place")
+        .mapInArrow(_far, "at int, side int, rank int, host string, texts array<string>")
+        .groupBy("at").agg(F.collect_list(F.struct("side", "rank", "host", "texts")).alias("far"))
     )
-    dealt = parsed.repartition("block").sortWithinPartitions("block", "host", "path", "page_id", F.xxhash64("lines", "marks"))
-    return dealt.select("page_id", "url", "host", "lines", "marks", "block", "own").mapInArrow(
+    # Sorted after the join, which promises no order. Its hint keeps the many pages where they are.
+    met = dealt.join(far.hint("shuffle_hash"), (F.col("block") == F.col("at")) & F.col("host").isNull(), "left")
+    return met.sortWithinPartitions(*order).select(*read, "far").mapInArrow(
         _differenced(cfg), f"page_id {kind}, url string, text string, n_chars long"
     )
