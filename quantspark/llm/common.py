@@ -134,10 +134,11 @@ def ascii_lower(col) -> F.Column:
 def mix(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser (murmur3 constants), vectorised."""
     x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(33)
+    return x
 
 
 def _space_table() -> np.ndarray:
@@ -181,10 +182,14 @@ class WordHasher:
 
     def _segment(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         self._grow(len(buf) + 1)
-        edge = np.diff(np.concatenate(([0], self.word[buf].view(np.int8), [0])))
-        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        inside = np.zeros(len(buf) + 2, dtype=bool)
+        self.word.take(buf, out=inside[1:-1], mode="clip")
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        start, end = edge[::2], edge[1::2]
         total = np.zeros(len(buf) + 1, dtype=np.uint64)
-        np.cumsum(self.value[buf] * self.power[: len(buf)], dtype=np.uint64, out=total[1:])
+        value = self.value.take(buf, mode="clip")
+        value *= self.power[: len(buf)]
+        np.cumsum(value, out=total[1:])
         return start, end, mix((total[end] - total[start]) * self.back[start])
 
     def __call__(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -28,6 +28,8 @@ class LMConfig:
     docs_per_speller: int = 12000
     warm_up: float = 0.1
     batch: int = 4096
+    #: Inner nodes nearest to the root that are worked on as one matrix; only the cost depends on it.
+    near_root: int = 15
     rate: float = 0.2
     fan_in: int = 16
     seed: int = 17
@@ -125,8 +127,8 @@ class Speller:
             out.append(cell)
         return out
 
-    def letters(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
-        """Symbols of the given words with an end each; the word of each; cells of the contexts, shortest first."""
+    def letters(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+        """Symbols of the given words with an end each; the word of each; the first ones; cells of the contexts, shortest first."""
         size = end - start + 1
         word = np.repeat(np.arange(len(start)), size)
         first = np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64)
@@ -144,7 +146,7 @@ class Speller:
             before.append(last.astype(np.uint64))
         near = before[0] | (before[1] << np.uint64(8)) | (before[2] << np.uint64(16))
         levels = [self.cells(_salted(1, before[0]), symbol), self.cells(_salted(2, near), symbol), self.cells(_salted(3, begun), symbol, True)]
-        return symbol, word, levels
+        return symbol, word, first, levels
 
     def beside(self, left: np.ndarray, right: np.ndarray, symbol: np.ndarray) -> list:
         """Cells of the first symbol of words after the word on the left, and before the one on the right."""
@@ -153,12 +155,11 @@ class Speller:
 
     def count(self, spelled: tuple) -> None:
         buf, start, end, back, left, right = spelled
-        symbol, word, levels = self.letters(buf, start, end)
+        symbol, word, first, levels = self.letters(buf, start, end)
         times = np.bincount(back, minlength=len(start)).astype(np.float64)[word]
         for level in levels:
             for cell in level:
                 np.add.at(self.counts, cell, times)
-        first = np.searchsorted(word, np.arange(len(start)))
         for level in self.beside(left, right, symbol[first][back]):
             for cell in level:
                 np.add.at(self.counts, cell, 1.0)
@@ -168,11 +169,10 @@ class Speller:
 
     def log_probabilities(self, spelled: tuple) -> np.ndarray:
         buf, start, end, back, left, right = spelled
-        symbol, word, levels = self.letters(buf, start, end)
+        symbol, word, first, levels = self.letters(buf, start, end)
         p = [np.full(len(symbol), 1 / 16) for _ in range(2)]
         for level in levels:
             p = [self.after(cell, q) for cell, q in zip(level, p, strict=True)]
-        first = np.searchsorted(word, np.arange(len(start)))
         own = np.log(p[0] * p[1])
         own[first] = 0  # the first byte depends on the words beside it
         rest = np.bincount(word, weights=own, minlength=len(start))[back]
@@ -248,6 +248,12 @@ class WindowNet:
         v, h = len(vocabulary), cfg.hidden
         self.ids = WordIds(vocabulary)
         self.start, self.node, self.turn = code_lengths_and_paths(np.concatenate(([others], counts)))
+        self.far = max(0, v - cfg.near_root)  # later nodes are nearer to the root, so paths begin with the ones before
+        far = np.concatenate(([0], np.cumsum(self.node < self.far)))
+        self.steps = far[self.start[1:]] - far[self.start[:-1]]
+        leaf, near = np.repeat(np.arange(v + 1), np.diff(self.start)), self.node >= self.far
+        self.near = np.zeros((v + 1, v - self.far), dtype=np.int8)
+        self.near[leaf[near], self.node[near] - self.far] = self.turn[near]
         self.at = np.cumsum([0, v + 2, v, 2 * cfg.side, 1])
         rng = np.random.default_rng(cfg.seed)
         self.rows = rng.normal(0, 0.3, (self.at[-1], h)).astype(np.float32)
@@ -289,45 +295,61 @@ class WindowNet:
             side.append(np.where((to == inside) & (doc[inside] == doc[rare]), key[inside], np.uint64(0)))
         return ids, context, doc, rare, (buf, start[rare[at]], end[rare[at]], back, *side)
 
-    def hidden(self, context: np.ndarray) -> np.ndarray:
+    def hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The hidden units of every context, and the inputs they come from (context, place, unit)."""
         words, _, gates, bias = self.parts()
-        z = np.repeat(bias[None, :], len(context), axis=0)
-        for j in range(context.shape[1]):
-            z += words.take(context[:, j], axis=0) * gates[j]
+        inputs = words.take(context.reshape(-1), axis=0).reshape(len(context), gates.size)
+        weighed = (np.eye(gates.shape[1], dtype=np.float32) * gates[:, :, None]).reshape(gates.size, -1)
+        z = inputs @ weighed
+        z += bias
         np.tanh(z, out=z)
         z[:, -1] = 1
-        return z
+        return z, inputs.reshape(len(context), *gates.shape)
 
-    def descents(self, ids: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        """The tokens by falling length of their paths; and of each step down the tree the nodes and turns of the tokens
-        that go so far, which are the first ones of that order."""
-        size = self.start[ids + 1] - self.start[ids]
+    def descents(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens by falling number of far nodes on their paths; nodes and turns of all steps there, the first ones of
+        all tokens before the second ones; and where each step's begin. They belong to the first tokens of that order."""
+        size = self.steps.take(ids)
         by = np.argsort((255 - np.minimum(size, 255)).astype(np.uint8), kind="stable")
-        begin, deep = self.start.take(ids.take(by)), size.take(by)
-        left = len(ids) - np.cumsum(np.bincount(size))  # tokens with longer paths than 0, 1, ...
-        if len(left) > 256:  # more turns than the short keys tell apart
-            by = by.take(np.argsort(-deep, kind="stable"))
-            begin = self.start.take(ids.take(by))
-        return by, [(self.node.take(begin[:n] + d), self.turn.take(begin[:n] + d)) for d, n in enumerate(left[:-1])]
+        left = len(ids) - np.cumsum(np.bincount(size))  # tokens with more far nodes than 0, 1, ...
+        if len(left) > 256:  # more steps than the short keys tell apart
+            by = np.argsort(-size, kind="stable")
+        begin, at = self.start.take(ids.take(by)), np.concatenate(([0], np.cumsum(left[:-1])))
+        place = np.empty(at[-1], dtype=np.int64)
+        for d, n in enumerate(left[:-1]):
+            np.add(begin[:n], d, out=place[at[d] : at[d + 1]])
+        return by, self.node.take(place), self.turn.take(place), at
+
+    def agreements(self, h: np.ndarray, node: np.ndarray, turn: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How far the hidden units favour the turn of each step, and the nodes' parameters."""
+        held, s = self.parts()[1].take(node, axis=0), np.empty(len(node), dtype=np.float32)
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            np.einsum("ij,ij->i", h[: b - a], held[a:b], out=s[a:b])
+        s *= turn
+        return s, held
 
     def log_probabilities(self, ids: np.ndarray, context: np.ndarray, step: int = 4096) -> np.ndarray:
-        out, nodes = np.zeros(len(ids)), self.parts()[1]
+        out, near_root = np.zeros(len(ids)), self.parts()[1][self.far :]
+        cost = lambda s: np.log(1 + np.exp(np.minimum(-s, 60)))
         for i in range(0, len(ids), step):
-            by, steps = self.descents(ids[i : i + step])
-            h, total = self.hidden(context[i : i + step].take(by, axis=0)), np.zeros(len(by))
-            for node, turn in steps:
-                n = len(node)
-                s = np.einsum("ij,ij->i", h[:n], nodes.take(node, axis=0)) * turn
-                total[:n] -= np.log1p(np.exp(np.minimum(-s, 60)))
+            by, node, turn, at = self.descents(ids[i : i + step])
+            h, _ = self.hidden(context[i : i + step].take(by, axis=0))
+            near = self.near.take(ids[i : i + step].take(by), axis=0).astype(np.float32)
+            total = -(cost(h @ near_root.T * near) * np.abs(near)).sum(axis=1, dtype=np.float64)
+            far = cost(self.agreements(h, node, turn, at)[0])
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                total[: b - a] -= far[a:b]
             out[i + by] = total
         return out
 
     def train(self, ids: np.ndarray, context: np.ndarray, seed: int, squares: np.ndarray, seen: np.ndarray) -> None:
         """One pass of Adagrad over the given tokens, touching only the rows that a batch uses. squares: what Adagrad
-        has summed; seen: how many tokens have used a row."""
+        has summed; seen: how many tokens have used a row.
+
+        Gradients of rows are summed a hidden unit at a time, as long columns."""
         cfg, order = self.cfg, np.random.default_rng(seed).permutation(len(ids))
-        words, nodes, gates, _ = self.parts()
-        at, places = self.at, context.shape[1]
+        _, nodes, gates, _ = self.parts()
+        begin, near_root = self.at, nodes[self.far :]
 
         def descend(rows: np.ndarray, gradient: np.ndarray, uses: np.ndarray | float) -> None:
             total = squares.take(rows, axis=0) + gradient * gradient
@@ -335,43 +357,42 @@ class WindowNet:
             self.rows[rows] -= cfg.rate * gradient / np.sqrt(total)
             seen[rows] += uses
 
-        def summed(key: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            by = np.argsort(key, kind="stable")
-            ordered = key[by]
-            first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-            return ordered[first].astype(np.int64), np.add.reduceat(values.take(by, axis=0), first, axis=0), np.diff(np.append(first, len(key)))
-
-        small = np.uint16 if at[-1] < 1 << 16 else np.int32  # short keys are sorted by radix
-        for i in range(0, len(order), cfg.batch):
+        def descend_summed(first: int, key: np.ndarray, columns: Iterable[np.ndarray]) -> None:
+            """columns: of each hidden unit, gradients of the rows first + key, which repeat."""
+            uses = np.bincount(key)
+            used = np.flatnonzero(uses)
+            summed = np.empty((cfg.hidden, len(used)), dtype=np.float32)
+            for total, column in zip(summed, columns, strict=True):
+                total[:] = np.bincount(key, weights=column).take(used)
+            descend(first + used, np.ascontiguousarray(summed.T), uses.take(used))
+
+        slope = lambda s, turn: -turn / (1 + np.exp(np.minimum(s, 60))) / 32
+        for i in range(0, len(order) if len(nodes) else 0, cfg.batch):
             pick = order[i : i + cfg.batch]
-            by, steps = self.descents(ids[pick])
-            if not steps:
-                continue
-            x = context.take(pick.take(by), axis=0)
-            h = self.hidden(x)
-            back, moved = np.zeros_like(h), np.empty((sum(len(n) for n, _ in steps), cfg.hidden), dtype=np.float32)
-            done = 0
-            for node, turn in steps:
-                n = len(node)
-                held = nodes.take(node, axis=0)
-                s = np.einsum("ij,ij->i", h[:n], held) * turn
-                g = (-turn / (1 + np.exp(np.minimum(s, 60))) / 32)[:, None]
-                held *= g
-                back[:n] += held
-                np.multiply(h[:n], g, out=moved[done : done + n])
-                done += n
+            by, node, turn, at = self.descents(ids[pick])
+            pick = pick.take(by)
+            x = context.take(pick, axis=0)
+            h, inputs = self.hidden(x)
+            near = self.near.take(ids.take(pick), axis=0).astype(np.float32)
+            g = slope(h @ near_root.T * near, near)
+            back, near_gradient = g @ near_root, g.T @ h
+            s, held = self.agreements(h, node, turn, at)
+            g = slope(s, turn)
+            held *= g[:, None]
+            columns, moved = np.ascontiguousarray(h.T), np.empty((cfg.hidden, len(node)), dtype=np.float32)
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                back[: b - a] += held[a:b]
+                np.multiply(columns[:, : b - a], g[a:b], out=moved[:, a:b])
             dz = back * (1 - h * h)  # nothing for the constant unit
-            rows, gradient, uses = summed(np.concatenate([n for n, _ in steps]).astype(small), moved)
-            blocks = np.empty((places, len(x), cfg.hidden), dtype=np.float32)
-            gated = np.empty((places, cfg.hidden), dtype=np.float32)
-            for j in range(places):
-                np.multiply(dz, gates[j], out=blocks[j])
-                gated[j] = np.einsum("ij,ij->j", dz, words.take(x[:, j], axis=0))
-            entered, deeper, often = summed(x.T.reshape(-1), blocks.reshape(-1, cfg.hidden))
-            descend(at[1] + rows, gradient, uses)
-            descend(entered, deeper, often)
-            descend(np.arange(at[2], at[3]), gated / 64, len(x))
-            descend(at[3:4], dz.sum(axis=0)[None, :] / 64, len(x))
+            gated = np.einsum("ik,ijk->jk", dz, inputs)
+            blocks = [np.multiply.outer(gate, z).reshape(-1) for gate, z in zip(gates.T, np.ascontiguousarray(dz.T), strict=True)]
+            descend_summed(begin[1], node, moved)
+            uses = np.einsum("ij,ij->j", near, near)
+            met = np.flatnonzero(uses)
+            descend(begin[1] + self.far + met, near_gradient[met], uses[met])
+            descend_summed(begin[0], x.T.reshape(-1).astype(np.int64), blocks)
+            descend(np.arange(begin[2], begin[3]), gated / 64, len(x))
+            descend(np.arange(begin[3], begin[3] + 1), dz.sum(axis=0)[None, :] / 64, len(x))
 
 
 def train_lm(docs: DataFrame, cfg: LMConfig = LMConfig()) -> WindowNet:
