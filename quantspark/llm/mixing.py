@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantspark.llm.common import cut, fresh
+from quantspark.llm.common import cut, drop, fresh, release
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -78,29 +78,28 @@ def inclusion_scales(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     """+ scale, certain: documents are included with probability scale * size, those that reach 1 for certain, such that
     the expected words are the target left; certain: the words of the latter.
 
-    sizes: source, size, n (documents of that size); plan: one row a source with the words left. The largest size whose
-    probability, if all larger ones are certain, is at most 1 gives the scale. One row a source and size.
+    sizes: source, size, n (documents of that size); plan: one row a source of ``sizes`` with the words left. The largest
+    size whose probability, if all larger ones are certain, is at most 1 gives the scale. One row a source.
     """
-    down = Window.partitionBy("source").orderBy(F.desc("size"))
+    every = Window.partitionBy("source")
+    down = every.orderBy(F.desc("size"))
     words = F.sum(F.col("size") * F.col("n")).over(down) - F.col("size") * F.col("n")
     squares = F.sum((F.col("size") * F.col("size") * F.col("n")).cast("double")).over(down.rowsBetween(0, Window.unboundedFollowing))
-    by = plan.select(F.col("source").alias("of"), "left")
-    tried = (
-        sizes.where("size > 0").withColumn("larger", words).withColumn("squares", squares)
-        .join(by, F.col("source").eqNullSafe(F.col("of"))).withColumn("scale", (F.col("left") - F.col("larger")) / F.col("squares"))
-    )
-    open_ = F.max(F.when(F.col("scale") * F.col("size") <= 1, F.struct("size", "scale")))
-    scales = tried.groupBy("of").agg(open_.alias("o")).select("of", F.greatest(F.col("o.scale"), F.lit(0.0)).alias("scale"))
-    sure = sizes.join(scales, F.col("source").eqNullSafe(F.col("of"))).groupBy("of").agg(
-        F.first("scale").alias("scale"), F.sum(F.when(F.col("scale") * F.col("size") >= 1, F.col("size") * F.col("n")).otherwise(0)).alias("certain")
-    )
-    return plan.join(sure, F.col("source").eqNullSafe(F.col("of")), "left").drop("of").withColumns(
-        {"scale": F.coalesce("scale", F.lit(0.0)), "certain": F.coalesce("certain", F.lit(0))}
+    by = plan.withColumnRenamed("source", "of")
+    # Windows and sums by source alone, so that one exchange serves them all.
+    tried = sizes.join(by, F.col("source").eqNullSafe(F.col("of"))).withColumn("larger", words).withColumn("squares", squares)
+    tried = tried.withColumn("scale", F.when(F.col("size") > 0, (F.col("left") - F.col("larger")) / F.col("squares")))
+    open_ = F.max(F.when(F.col("scale") * F.col("size") <= 1, F.struct("size", "scale"))).over(every)
+    sure = tried.withColumn("scale", F.greatest(open_["scale"], F.lit(0.0)))
+    return sure.groupBy("source").agg(
+        *[F.first(c).alias(c) for c in plan.columns if c != "source"], F.first("scale").alias("scale"),
+        F.sum(F.when(F.col("scale") * F.col("size") >= 1, F.col("size") * F.col("n")).otherwise(0)).alias("certain"),
     )
 
 
 def _planned(docs: DataFrame, cfg: MixConfig) -> tuple[DataFrame, DataFrame]:
-    """mix_sources() with the Pareto rank (rank, null where it doesn't decide), and one row a source with its plan."""
+    """The documents' sizes with the plan of their source and their Pareto rank (null where it doesn't decide), and the
+    plan, one row a source."""
     # Several readers follow; the sizes are kept, so that the texts are read once.
     base = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     sizes = base.groupBy("source", "size").agg(F.count("*").alias("n"))
@@ -110,19 +109,20 @@ def _planned(docs: DataFrame, cfg: MixConfig) -> tuple[DataFrame, DataFrame]:
     plan = cut(inclusion_scales(sizes, plan))
     by = plan.withColumnRenamed("source", "of")
     drawn = base.join(by, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("u", _draw("doc_id"))
-    drawn = drawn.withColumn("rank", _odds(F.col("u"), F.col("size"), F.col("scale"))).drop("u")
+    return drawn.withColumn("rank", _odds(F.col("u"), F.col("size"), F.col("scale"))).drop("u"), plan
+
+
+def _in_order(drawn: DataFrame, cfg: MixConfig) -> DataFrame:
+    """The documents that have a rank, with more: 1 if the sample takes them."""
     # Slices of the logarithm of the rank, so that a source is summed slice by slice over all tasks.
-    drawn = drawn.withColumn("slice", F.floor(F.ln("rank") * cfg.slices))
-    slices = drawn.where("rank is not null").groupBy("source", "slice").agg(F.sum("size").alias("words"))
+    ranked = drawn.where("rank is not null").withColumn("slice", F.floor(F.ln("rank") * cfg.slices))
+    slices = ranked.groupBy("source", "slice").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("source").orderBy("slice")
     begun = slices.select(F.col("source").alias("of"), F.col("slice").alias("s"), (F.sum("words").over(upto) - F.col("words")).alias("begin"))
     order = Window.partitionBy("source", "slice").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = drawn.where("rank is not null").join(begun, F.col("source").eqNullSafe(F.col("of")) & (F.col("slice") == F.col("s")))
+    ranked = ranked.join(begun, F.col("source").eqNullSafe(F.col("of")) & (F.col("slice") == F.col("s")))
     last = F.col("begin") + F.sum("size").over(order) - F.col("size") / 2
-    ranked = ranked.withColumn("more", (last <= F.col("left") - F.col("certain")).cast("int")).drop("of", "s", "begin")
-    sure = drawn.where("rank is null").withColumn("more", ((F.col("scale") > 0) & (F.col("scale") * F.col("size") >= 1)).cast("int"))
-    mixed = ranked.unionByName(sure).withColumn("copies", F.least(F.col("whole") + F.col("more"), F.lit(cfg.max_repeats)).cast("int"))
-    return mixed.withColumn("taken", F.col("size") * F.col("copies")), plan
+    return ranked.withColumn("more", (last <= F.col("left") - F.col("certain")).cast("int")).drop("of", "s", "begin", "slice")
 
 
 def mix_sources(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
@@ -138,7 +138,11 @@ def mix_sources(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
     empty string; repeated rows draw alike and are ranked next to each other; an empty table gives no rows. Other
     columns of ``docs`` are not read.
     """
-    return _planned(docs, cfg)[0].select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    drawn, _ = _planned(docs, cfg)
+    sure = drawn.where("rank is null").withColumn("more", ((F.col("scale") > 0) & (F.col("scale") * F.col("size") >= 1)).cast("int"))
+    copies = F.least(F.col("whole") + F.col("more"), F.lit(cfg.max_repeats)).cast("int")
+    mixed = _in_order(drawn, cfg).unionByName(sure).withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
 def mix_rows(docs: DataFrame, cfg: MixConfig = MixConfig(), broadcast_sources: int = 20_000) -> DataFrame:
@@ -149,11 +153,14 @@ def mix_rows(docs: DataFrame, cfg: MixConfig = MixConfig(), broadcast_sources: i
     is broadcast only up to ``broadcast_sources`` rows. A column ``copies`` of the documents is replaced.
     """
     docs = docs.drop("copies")
-    planned, plan = _planned(docs, cfg)
+    drawn, plan = _planned(docs, cfg)
     of, edge, whole, scale = fresh(docs, "of", "edge", "whole", "scale")
-    last = planned.groupBy("source").agg(F.max(F.when(F.col("more") == 1, F.struct("rank", "doc_id", "size"))).alias(edge))
-    last = last.withColumnRenamed("source", "s").join(plan, F.col("s").eqNullSafe(F.col("source")))
-    edges = cut(last.select(F.col("source").alias(of), edge, F.col("whole").alias(whole), F.col("scale").alias(scale)))
+    # Only documents with a rank can end a prefix; the certain ones are known by their size.
+    last = _in_order(drawn, cfg).where("more = 1").groupBy(F.col("source").alias("s")).agg(F.max(F.struct("rank", "doc_id", "size")).alias("last"))
+    edges = plan.join(last, F.col("source").eqNullSafe(F.col("s")), "left")
+    edges = cut(edges.select(F.col("source").alias(of), F.col("last").alias(edge), F.col("whole").alias(whole), F.col("scale").alias(scale)))
+    drop(plan)
+    release(docs.sparkSession)
     few = F.broadcast(edges) if edges.count() <= broadcast_sources else edges
     # Bound to lambda variables, so that a text is counted once, however often its size is used and filters are pushed.
     sized = F.array(F.struct(word_count(F.col("text")).alias("size"), _draw("doc_id").alias("u")))

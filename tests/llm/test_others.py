@@ -317,6 +317,29 @@ def test_mix_reaches_targets(spark):
     assert mix_sources(df.limit(0)).count() == 0
 
 
+def test_mix_rows_plans_few_exchanges(spark):
+    """Every exchange costs the driver memory: plans, generated classes, threads. Rows stay those of mix_sources()."""
+    rng = random.Random(12)
+    names = ["a"] * 300 + ["b"] * 20 + [None] * 80 + [f"x{i % 40}" for i in range(120)]
+    rows = [(i, " ".join(["w"] * rng.randint(0, 50)), "en", s, 0) for i, s in enumerate(names)]
+    df = spark.createDataFrame(rows + rows[:9] + [(None, "w w", "en", "a", 0)], SCHEMA)
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def executions():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = store.executionsList()
+        return {found.apply(i).executionId() for i in range(found.size())}
+
+    before = executions()
+    got = mix_rows(df).collect()
+    exchanges = 0
+    for x in executions() - before:
+        nodes = store.planGraph(x).allNodes()
+        exchanges += sum(nodes.apply(i).name().split(" ")[0] in ("Exchange", "BroadcastExchange") for i in range(nodes.size()))
+    assert 0 < exchanges <= 17
+    assert sorted((r.doc_id or -1, r.copies) for r in got) == sorted((r.doc_id or -1, r.copies) for r in mix_sources(df).collect())
+
+
 # --- LM ---
 
 
