@@ -28,9 +28,11 @@ class LMConfig:
     docs_per_speller: int = 12000
     warm_up: float = 0.1
     batch: int = 4096
+    #: Consecutive words of a text that go into a batch together: their contexts overlap, so each is read once, not six times.
+    run: int = 16
     #: Inner nodes nearest to the root that are worked on as one matrix; only the cost depends on it.
     near_root: int = 15
-    rate: float = 0.2
+    rate: float = 0.25
     fan_in: int = 16
     seed: int = 17
     #: Rows of the speller's table: so many a document, a power of two up to the greatest. Buckets of neighbouring
@@ -127,8 +129,9 @@ class Speller:
             out.append(cell)
         return out
 
-    def letters(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
-        """Symbols of the given words with an end each; the word of each; the first ones; cells of the contexts, shortest first."""
+    def letters(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
+        """Symbols of the given words with an end each; the word of each; the first ones; each symbol with the one before;
+        cells of the longer contexts, shortest first."""
         size = end - start + 1
         word = np.repeat(np.arange(len(start)), size)
         first = np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64)
@@ -145,8 +148,13 @@ class Speller:
             last[first] = 0
             before.append(last.astype(np.uint64))
         near = before[0] | (before[1] << np.uint64(8)) | (before[2] << np.uint64(16))
-        levels = [self.cells(_salted(1, before[0]), symbol), self.cells(_salted(2, near), symbol), self.cells(_salted(3, begun), symbol, True)]
-        return symbol, word, first, levels
+        levels = [self.cells(_salted(2, near), symbol), self.cells(_salted(3, begun), symbol, True)]
+        pair = (before[0] << np.uint64(8) | symbol).view(np.int64)
+        return symbol, word, first, pair, levels
+
+    def after_one(self, pair: np.ndarray) -> list[np.ndarray]:
+        """Cells of the shortest context, the symbol before; a text has few such pairs, so each is looked up once."""
+        return self.cells(_salted(1, pair >> 8), (pair & 255).astype(np.uint8))
 
     def beside(self, left: np.ndarray, right: np.ndarray, symbol: np.ndarray) -> list:
         """Cells of the first symbol of words after the word on the left, and before the one on the right."""
@@ -155,8 +163,12 @@ class Speller:
 
     def count(self, spelled: tuple) -> None:
         buf, start, end, back, left, right = spelled
-        symbol, word, first, levels = self.letters(buf, start, end)
+        symbol, word, first, pair, levels = self.letters(buf, start, end)
         times = np.bincount(back, minlength=len(start)).astype(np.float64)[word]
+        of_pairs = np.bincount(pair, weights=times)
+        met = np.flatnonzero(of_pairs)
+        for cell in self.after_one(met):
+            np.add.at(self.counts, cell, of_pairs[met])
         for level in levels:
             for cell in level:
                 np.add.at(self.counts, cell, times)
@@ -169,8 +181,12 @@ class Speller:
 
     def log_probabilities(self, spelled: tuple) -> np.ndarray:
         buf, start, end, back, left, right = spelled
-        symbol, word, first, levels = self.letters(buf, start, end)
-        p = [np.full(len(symbol), 1 / 16) for _ in range(2)]
+        symbol, word, first, pair, levels = self.letters(buf, start, end)
+        met, p = np.flatnonzero(np.bincount(pair)), []
+        for cell in self.after_one(met):
+            of_pairs = np.zeros(1 << 16)
+            of_pairs[met] = self.after(cell, np.full(len(met), 1 / 16))
+            p.append(of_pairs.take(pair))
         for level in levels:
             p = [self.after(cell, q) for cell, q in zip(level, p, strict=True)]
         own = np.log(p[0] * p[1])
@@ -232,6 +248,23 @@ class WordIds:
         return out
 
 
+def falls(s: np.ndarray, high: np.ndarray | float) -> np.ndarray:
+    """high / (1 + e^s); s is overwritten."""
+    np.minimum(s, 60, out=s)
+    np.exp(s, out=s)
+    s += 1
+    return np.divide(high, s, out=s)
+
+
+def costs(s: np.ndarray) -> np.ndarray:
+    """log(1 + e^-s); s is overwritten."""
+    np.negative(s, out=s)
+    np.minimum(s, 60, out=s)
+    np.exp(s, out=s)
+    s += 1
+    return np.log(s, out=s)
+
+
 class WindowNet:
     """Embeddings of the words on both sides, weighed by a gate for each place, summed; tanh; hierarchical softmax.
 
@@ -246,7 +279,7 @@ class WindowNet:
     def __init__(self, vocabulary: np.ndarray, counts: np.ndarray, others: int, cfg: LMConfig) -> None:
         self.cfg, self.vocabulary, self.speller = cfg, vocabulary, None
         v, h = len(vocabulary), cfg.hidden
-        self.ids = WordIds(vocabulary)
+        self.ids, self.beside = WordIds(vocabulary), np.delete(np.arange(-cfg.side, cfg.side + 1), cfg.side)
         self.start, self.node, self.turn = code_lengths_and_paths(np.concatenate(([others], counts)))
         self.far = max(0, v - cfg.near_root)  # later nodes are nearer to the root, so paths begin with the ones before
         far = np.concatenate(([0], np.cumsum(self.node < self.far)))
@@ -268,43 +301,67 @@ class WindowNet:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(token ids, their contexts, the text of each)."""
-        return self.encode_words(*token_keys(texts))
-
-    def encode_words(self, key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        key, doc = token_keys(texts)
         ids = self.ids(key)
-        edge, side = len(self.vocabulary) + 1, self.cfg.side
-        context = np.full((len(ids), 2 * side), edge, dtype=np.uint16 if edge < 1 << 16 else np.int32)
-        for j, o in enumerate([*range(-side, 0), *range(1, side + 1)]):
-            a, b = (slice(-o, None), slice(None, o)) if o < 0 else (slice(None, -o), slice(o, None))
-            if len(ids) > abs(o):
-                context[a, j] = np.where(doc[a] == doc[b], ids[b], edge)
-        return ids, context, doc
-
-    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple | None]:
-        """encode(); the places of the words outside the vocabulary; and those words, each once, as the speller reads
-        them: buffer, starts, ends, the word of each place, the hashes of the words on its left and right."""
+        line, place = self.line(ids, doc)
+        return ids, line[place[:, None] + self.beside], doc
+
+    def line(self, ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words of all texts on one line, with places beyond the text before, between and after them; the place of each word."""
+        side = self.cfg.side
+        place = np.arange(side, side + len(ids))
+        place[1:] += side * np.cumsum(doc[1:] != doc[:-1])
+        line = np.full(place[-1] + side + 1 if len(ids) else 0, len(self.vocabulary) + 1, dtype=np.int64)
+        line[place] = ids
+        return line, place
+
+    def apart(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A line of contexts that don't overlap, whatever they hold; the place of the word of each."""
+        side = self.cfg.side
+        line = np.insert(context.astype(np.int64), side, len(self.vocabulary) + 1, axis=1)
+        return line.reshape(-1), np.arange(side, line.size, 2 * side + 1)
+
+    def stretches(self, line: np.ndarray, place: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The parts of the line that hold the words begin:end of every pair and what is beside them, one after the other;
+        the places of these words there, and the words."""
+        side = self.cfg.side
+        size, words = place[end - 1] - place[begin] + 1 + 2 * side, end - begin
+        shift = np.cumsum(size) - size - place[begin] + side
+        at = np.arange(size.sum()) - np.repeat(shift, size)
+        word = np.arange(words.sum()) + np.repeat(begin - np.cumsum(words) + words, words)
+        return line.take(at), place.take(word) + np.repeat(shift, words), word
+
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple | None]:
+        """Token ids; the text of each; which words are outside the vocabulary; and those words, each once, as the speller
+        reads them: buffer, starts, ends, the word of each place, the hashes of the words on its left and right."""
         key, doc, start, end, buf = _words(texts)
-        ids, context, _ = self.encode_words(key, doc)
+        ids = self.ids(key)
         rare = np.flatnonzero(ids == 0)
         if not len(rare):
-            return ids, context, doc, rare, None
+            return ids, doc, rare, None
         _, at, back = np.unique(key[rare], return_index=True, return_inverse=True)
         side = []
         for to in (rare - 1, rare + 1):
             inside = np.clip(to, 0, len(key) - 1)
             side.append(np.where((to == inside) & (doc[inside] == doc[rare]), key[inside], np.uint64(0)))
-        return ids, context, doc, rare, (buf, start[rare[at]], end[rare[at]], back, *side)
+        return ids, doc, rare, (buf, start[rare[at]], end[rare[at]], back, *side)
 
-    def hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The hidden units of every context, and the inputs they come from (context, place, unit)."""
+    def hidden(self, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The hidden units of every place on the line that has all places beside it, and the inputs of all places; both
+        (unit, place)."""
         words, _, gates, bias = self.parts()
-        inputs = words.take(context.reshape(-1), axis=0).reshape(len(context), gates.size)
-        weighed = (np.eye(gates.shape[1], dtype=np.float32) * gates[:, :, None]).reshape(gates.size, -1)
-        z = inputs @ weighed
-        z += bias
-        np.tanh(z, out=z)
-        z[:, -1] = 1
-        return z, inputs.reshape(len(context), *gates.shape)
+        inputs = np.ascontiguousarray(words.take(line, axis=0).T)
+        n, first = len(line) - 2 * self.cfg.side, self.beside + self.cfg.side
+        z = np.repeat(bias[:, None], n, axis=1)
+        weighed = np.empty_like(z)
+        for gate, a in zip(gates, first, strict=True):
+            np.multiply(inputs[:, a : a + n], gate[:, None], out=weighed)
+            z += weighed
+        z *= 2  # tanh by the exponential, which numpy has in vector code everywhere
+        falls(z, -2)
+        z += 1
+        z[-1] = 1
+        return z, inputs
 
     def descents(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The tokens by falling number of far nodes on their paths; nodes and turns of all steps there, the first ones of
@@ -328,26 +385,34 @@ class WindowNet:
         s *= turn
         return s, held
 
-    def log_probabilities(self, ids: np.ndarray, context: np.ndarray, step: int = 4096) -> np.ndarray:
+    def log_probabilities(self, ids: np.ndarray, context: np.ndarray) -> np.ndarray:
+        return self.log_probabilities_on(*self.apart(context), ids)
+
+    def log_probabilities_on(self, line: np.ndarray, place: np.ndarray, ids: np.ndarray, step: int = 4096) -> np.ndarray:
+        """Of every word ids at its place, given those beside it on the line."""
+        side = self.cfg.side
         out, near_root = np.zeros(len(ids)), self.parts()[1][self.far :]
-        cost = lambda s: np.log(1 + np.exp(np.minimum(-s, 60)))
         for i in range(0, len(ids), step):
-            by, node, turn, at = self.descents(ids[i : i + step])
-            h, _ = self.hidden(context[i : i + step].take(by, axis=0))
-            near = self.near.take(ids[i : i + step].take(by), axis=0).astype(np.float32)
-            total = -(cost(h @ near_root.T * near) * np.abs(near)).sum(axis=1, dtype=np.float64)
-            far = cost(self.agreements(h, node, turn, at)[0])
+            own, to = ids[i : i + step], place[i : i + step]
+            by, node, turn, at = self.descents(own)
+            h = self.hidden(line[to[0] - side : to[-1] + side + 1])[0].T.take(to.take(by) - to[0], axis=0)
+            near = self.near.take(own.take(by), axis=0).astype(np.float32)
+            total = -np.einsum("ij,ij->i", costs(h @ near_root.T * near), np.abs(near)).astype(np.float64)
+            far = costs(self.agreements(h, node, turn, at)[0])
             for a, b in zip(at[:-1], at[1:], strict=True):
                 total[: b - a] -= far[a:b]
             out[i + by] = total
         return out
 
     def train(self, ids: np.ndarray, context: np.ndarray, seed: int, squares: np.ndarray, seen: np.ndarray) -> None:
-        """One pass of Adagrad over the given tokens, touching only the rows that a batch uses. squares: what Adagrad
-        has summed; seen: how many tokens have used a row.
+        self.train_on(*self.apart(context), ids, 1, seed, squares, seen)
+
+    def train_on(self, line: np.ndarray, place: np.ndarray, ids: np.ndarray, run: int, seed: int, squares: np.ndarray, seen: np.ndarray) -> None:
+        """One pass of Adagrad over the words ids at their places on the line, in random order of runs of so many words,
+        touching only the rows that a batch uses. squares: what Adagrad has summed; seen: how many tokens have used a row.
 
-        Gradients of rows are summed a hidden unit at a time, as long columns."""
-        cfg, order = self.cfg, np.random.default_rng(seed).permutation(len(ids))
+        Gradients of rows are summed a hidden unit at a time, as long columns; those of inputs first by place on the line."""
+        cfg, side, order = self.cfg, self.cfg.side, np.random.default_rng(seed).permutation(-(-len(ids) // run)) * run
         _, nodes, gates, _ = self.parts()
         begin, near_root = self.at, nodes[self.far :]
 
@@ -357,42 +422,51 @@ class WindowNet:
             self.rows[rows] -= cfg.rate * gradient / np.sqrt(total)
             seen[rows] += uses
 
-        def descend_summed(first: int, key: np.ndarray, columns: Iterable[np.ndarray]) -> None:
-            """columns: of each hidden unit, gradients of the rows first + key, which repeat."""
-            uses = np.bincount(key)
+        def descend_summed(first: int, key: np.ndarray, columns: np.ndarray, times: np.ndarray | None = None) -> None:
+            """columns: of each hidden unit, gradients of the rows first + key, which repeat; times: the uses of each."""
+            uses = np.bincount(key, weights=times)
             used = np.flatnonzero(uses)
             summed = np.empty((cfg.hidden, len(used)), dtype=np.float32)
             for total, column in zip(summed, columns, strict=True):
                 total[:] = np.bincount(key, weights=column).take(used)
             descend(first + used, np.ascontiguousarray(summed.T), uses.take(used))
 
-        slope = lambda s, turn: -turn / (1 + np.exp(np.minimum(s, 60))) / 32
-        for i in range(0, len(order) if len(nodes) else 0, cfg.batch):
-            pick = order[i : i + cfg.batch]
-            by, node, turn, at = self.descents(ids[pick])
-            pick = pick.take(by)
-            x = context.take(pick, axis=0)
-            h, inputs = self.hidden(x)
-            near = self.near.take(ids.take(pick), axis=0).astype(np.float32)
-            g = slope(h @ near_root.T * near, near)
+        each = max(1, cfg.batch // run)
+        for i in range(0, len(order) if len(nodes) else 0, each):
+            first = order[i : i + each]
+            words, to, pick = self.stretches(line, place, first, np.minimum(first + run, len(ids)))
+            own = ids.take(pick)
+            by, node, turn, at = self.descents(own)
+            own, to = own.take(by), to.take(by)
+            units, inputs = self.hidden(words)
+            h = units.T.take(to - side, axis=0)
+            near = self.near.take(own, axis=0).astype(np.float32)
+            g = falls(h @ near_root.T * near, near * np.float32(-1 / 32))
             back, near_gradient = g @ near_root, g.T @ h
             s, held = self.agreements(h, node, turn, at)
-            g = slope(s, turn)
+            turn *= np.float32(-1 / 32)
+            g = falls(s, turn)
             held *= g[:, None]
             columns, moved = np.ascontiguousarray(h.T), np.empty((cfg.hidden, len(node)), dtype=np.float32)
             for a, b in zip(at[:-1], at[1:], strict=True):
                 back[: b - a] += held[a:b]
                 np.multiply(columns[:, : b - a], g[a:b], out=moved[:, a:b])
-            dz = back * (1 - h * h)  # nothing for the constant unit
-            gated = np.einsum("ik,ijk->jk", dz, inputs)
-            blocks = [np.multiply.outer(gate, z).reshape(-1) for gate, z in zip(gates.T, np.ascontiguousarray(dz.T), strict=True)]
+            back *= 1 - h * h  # nothing for the constant unit
+            placed, is_word = np.zeros((len(words), cfg.hidden), dtype=np.float32), np.zeros(len(words), dtype=np.int64)
+            placed[to], is_word[to] = back, 1
+            dz, n = np.ascontiguousarray(placed[side : len(words) - side].T), len(words) - 2 * side
+            spread, times, gated = np.zeros_like(inputs), np.zeros(len(words), dtype=np.int64), np.empty_like(gates)
+            for j, a in enumerate(self.beside + side):
+                np.einsum("ij,ij->i", dz, inputs[:, a : a + n], out=gated[j])
+                spread[:, a : a + n] += dz * gates[j][:, None]
+                times[a : a + n] += is_word[side : side + n]
             descend_summed(begin[1], node, moved)
             uses = np.einsum("ij,ij->j", near, near)
             met = np.flatnonzero(uses)
             descend(begin[1] + self.far + met, near_gradient[met], uses[met])
-            descend_summed(begin[0], x.T.reshape(-1).astype(np.int64), blocks)
-            descend(np.arange(begin[2], begin[3]), gated / 64, len(x))
-            descend(np.arange(begin[3], begin[3] + 1), dz.sum(axis=0)[None, :] / 64, len(x))
+            descend_summed(begin[0], words, spread, times)
+            descend(np.arange(begin[2], begin[3]), gated / 64, len(own))
+            descend(np.arange(begin[3], begin[3] + 1), back.sum(axis=0)[None, :] / 64, len(own))
 
 
 def train_lm(docs: DataFrame, cfg: LMConfig = LMConfig()) -> WindowNet:
@@ -435,8 +509,9 @@ def train_round(texts: DataFrame, net: WindowNet, r: int, tasks: int) -> None:
         for i, batch in enumerate(batches):
             texts = bytes_of(batch.column(0))
             for a, b in groups_of_texts(texts, 1 << 20):
-                ids, context, _ = own.encode(texts[a:b])
-                own.train(ids, context, cfg.seed + 31 * r + i, squares, seen)
+                key, doc = token_keys(texts[a:b])
+                ids = own.ids(key)
+                own.train_on(*own.line(ids, doc), ids, cfg.run, cfg.seed + 31 * r + i, squares, seen)
         made = np.concatenate([own.rows, seen[:, None]], axis=1)
         own.rows[...] = start  # the worker's copy is shared with later tasks
         if seen.any():
@@ -526,8 +601,8 @@ def score_lm(docs: DataFrame, net: WindowNet) -> DataFrame:
             texts = bytes_of(batch.column(1))
             count, total = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
             for a, b in groups_of_texts(texts, 1 << 20):
-                ids, context, doc, rare, spelled = net.read(texts[a:b])
-                p = net.log_probabilities(ids, context)
+                ids, doc, rare, spelled = net.read(texts[a:b])
+                p = net.log_probabilities_on(*net.line(ids, doc), ids)
                 if spelled and net.speller:
                     p[rare] += net.speller.log_probabilities(spelled)
                 count[a:b] = np.bincount(doc, minlength=b - a)

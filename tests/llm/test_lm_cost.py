@@ -63,3 +63,52 @@ def test_a_batch_follows_the_gradient_of_a_slow_version():
     want = net.rows - net.cfg.rate * flat / np.sqrt(1e-3 + flat * flat)
     got, seen = trained(net, ids, context)
     assert np.abs(got - want).max() < 1e-3 and (seen == uses).all()
+
+
+def test_overlapping_contexts_are_read_once():
+    """Runs of words on a line give what contexts of their own give, with texts of every length between others."""
+    net, _, _ = network()
+    rng = np.random.default_rng(8)
+    doc = np.repeat(np.arange(60), rng.integers(0, 40, 60))
+    ids = rng.integers(0, len(net.vocabulary) + 1, len(doc)).astype(np.int32)
+    line, place = net.line(ids, doc)
+    context = np.full((len(ids), 6), len(net.vocabulary) + 1)
+    for i in range(len(ids)):
+        for j, o in enumerate((-3, -2, -1, 1, 2, 3)):
+            if 0 <= i + o < len(ids) and doc[i + o] == doc[i]:
+                context[i, j] = ids[i + o]
+    assert (line[place] == ids).all() and (line[place[:, None] + net.beside] == context).all() and len(line) == len(ids) + 3 * (len(set(doc)) + 1)
+    assert net.log_probabilities_on(line, place, ids, 100) == pytest.approx(net.log_probabilities(ids, context), abs=1e-5)
+    got = []
+    for run in (1, 16):  # all words fit in one batch, so their order doesn't matter
+        own, squares, seen = network()[0], np.full(net.rows.shape, 1e-3, dtype=np.float32), np.zeros(len(net.rows), dtype=np.float32)
+        own.train_on(line, place, ids, run, 5, squares, seen)
+        got.append((own.rows.astype(float), seen))
+    got.append(trained(network()[0], ids, context))
+    assert len(ids) < net.cfg.batch and all(np.abs(got[2][0] - rows).max() < 1e-3 and (got[2][1] == seen).all() for rows, seen in got[:2])
+    first = np.arange(0, len(ids), 16)[::-1]
+    words, _, pick = net.stretches(line, place, first, np.minimum(first + 16, len(ids)))
+    assert sorted(pick) == list(range(len(ids))) and len(words) < 2 * len(ids)  # contexts apart would be 6 places a word
+
+
+def test_shortest_spelling_contexts_are_looked_up_once_a_pair(monkeypatch):
+    rng = np.random.default_rng(9)
+    text = b" ".join(bytes(rng.integers(97, 105, rng.integers(1, 12)).astype(np.uint8)) for _ in range(4000))
+    net, cfg = lm.WindowNet(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), 1, lm.LMConfig()), lm.LMConfig()
+    speller, looked = lm.Speller(1 << 12, cfg), []
+    cells = lm.Speller.cells
+    monkeypatch.setattr(lm.Speller, "cells", lambda self, context, *a: looked.append(len(context)) or cells(self, context, *a))
+    spelled = net.read([text])[-1]
+    speller.count(spelled)
+    letters = int((spelled[2] - spelled[1] + 1).sum())
+    assert sum(looked) < 2.1 * letters + 2 * len(spelled[3])
+    want, buf = np.zeros(speller.rows * 16), spelled[0]
+    words, n = np.unique([bytes(buf[a:b]) + b" " for a, b in zip(spelled[1][spelled[3]], spelled[2][spelled[3]], strict=True)], return_counts=True)
+    for w, times in zip(words, n, strict=True):
+        w = w if w.endswith(b" ") else w + b" "
+        for before, symbol in zip(b"\0" + w, w, strict=False):
+            for cell in cells(speller, lm._salted(1, np.array([before])), np.array([symbol], dtype=np.uint8)):
+                want[cell] += times
+    rows = np.unique(np.concatenate([c >> 4 for b in (0, 32, *range(97, 105)) for s in range(0, 256, 16) for c in cells(speller, lm._salted(1, np.array([b])), np.array([s], dtype=np.uint8))]))
+    held = speller.counts.reshape(-1, 16)[rows].sum(axis=1)
+    assert (held >= want.reshape(-1, 16)[rows].sum(axis=1)).all() and speller.counts.sum() == 2 * (3 * (n * [len(w.rstrip() + b" ") for w in words]).sum() + 2 * n.sum())
